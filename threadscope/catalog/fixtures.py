@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadscope import presets
 from threadscope.operators import cleaning, labelling, tagging
 from threadscope.session import use_utc
+from threadscope.sources.readers import spread_small
 
 PHRASES = {
     0: " I am worried my H1B will be denied. What should I do?",
@@ -20,6 +21,9 @@ PHRASES = {
 }
 GROUPS = {"src0": "F1Visa", "src1": "h1b", "src2": "greencard", "src3": "citizenship", "src4": "immigrationnews"}
 
+# Text tables, whose rows are expensive to process, and a unique key of each.
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
 # Events inside the time span of the test tables.
 TEST_EVENTS = (presets.PolicyEvent("spring_rule", date(2024, 6, 22)), presets.PolicyEvent("new_year", date(2025, 1, 20)),
                presets.PolicyEvent("edge_rule", date(2025, 11, 6)))
@@ -27,7 +31,8 @@ ORDER_EVENTS = (presets.PolicyEvent("early", date(1996, 1, 27)), presets.PolicyE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

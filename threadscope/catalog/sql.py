@@ -69,8 +69,10 @@ STAGED = f"""staged as (
 
 def apply_rules(expr: str, rules: Iterable[T.Rule]) -> str:
     for rule in rules:
-        pattern = ("(?m)" if rule.line_start else "") + rule.pattern
-        expr = f"regexp_replace({expr}, {lit(pattern)}, {lit(chr(92) + '1' if rule.keep else '')}, 'g')"
+        # No look-behind here: the character before is captured and put back.
+        before = f"(^|[^{rule.behind}])" if rule.behind else ""
+        pattern = ("(?m)" if rule.line_start else "") + before + rule.pattern
+        expr = f"regexp_replace({expr}, {lit(pattern)}, {lit(chr(92) + '1' if rule.keep or before else '')}, 'g')"
     return expr
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadscope import presets
 from threadscope.catalog import sql as S
-from threadscope.catalog.fixtures import cleaned, posts, staged, table
+from threadscope.catalog.fixtures import posts, table
 from threadscope.catalog.registry import query
 from threadscope.functions import text as T
 from threadscope.operators import cleaning, lookup
@@ -41,22 +41,23 @@ _text_query("filter_tokens", lambda c: F.array_join(T.filter_tokens(T.tokenize(c
 
 @query("clean_text", f"with {S.POSTS} select id, {S.cleaned_expr('text')} as cleaned_text from posts")
 def clean_text(spark, sf):
-    return T.clean_text(posts(spark, sf)).select("id", "cleaned_text")
+    return posts(spark, sf).select("id", T.clean_text(F.col("text")).alias("cleaned_text"))
 
 
 @query("clean_text_compat", f"with {S.POSTS} select id, {S.cleaned_expr('text', compat=True)} as cleaned_text from posts")
 def clean_text_compat(spark, sf):
-    return T.clean_text(posts(spark, sf), compat=True).select("id", "cleaned_text")
+    return posts(spark, sf).select("id", T.clean_text(F.col("text"), compat=True).alias("cleaned_text"))
 
 
 @query("clean_pages", f"select page_id, {S.cleaned_expr('html')} as cleaned_text from pages")
 def clean_pages(spark, sf):
-    return T.clean_text(table(spark, sf, "pages"), "html").select("page_id", "cleaned_text")
+    return table(spark, sf, "pages").select("page_id", T.clean_text(F.col("html")).alias("cleaned_text"))
 
 
 @query("clean_conversations", f"select conv_id, turn, {S.cleaned_expr('text')} as cleaned_text from conversations")
 def clean_conversations(spark, sf):
-    return T.clean_text(table(spark, sf, "conversations")).select("conv_id", "turn", "cleaned_text")
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", T.clean_text(F.col("text")).alias("cleaned_text"))
 
 
 @query("remove_stopwords", lambda: f"""with {S.POSTS} select id, array_to_string(

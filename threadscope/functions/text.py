@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from threadscope.functions.matching import WORD_CLASS
 
 # --- fixed values: character classes and patterns the cleaned text depends on ---------------------------------------
 
 # Unicode white space as code points; the same class in Java and RE2.
-WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_ASCII = r"\t-\r\x1c-\x20"
+WS_WIDE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = WS_ASCII + WS_WIDE
 
 EMOJI_NARROW = (
     r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
@@ -39,15 +40,19 @@ PUNCT_ONLY = r"^[!-/:-@\[-`{-~]+$"
 
 @dataclass(frozen=True)
 class Rule:
-    """Replace ``pattern`` by nothing, or by its first group where ``keep`` is set."""
+    """Replace ``pattern`` by nothing, or by its first group where ``keep`` is set.
+
+    ``behind`` names characters that must not stand before the match; engines without look-behind have to capture them.
+    """
 
     pattern: str
     keep: bool = False
     line_start: bool = False
+    behind: str = ""
 
 
-USER_MENTION = Rule(r"(^|[^A-Za-z0-9])u/[A-Za-z0-9_-]+", keep=True)
-GROUP_MENTION = Rule(r"(^|[^A-Za-z0-9])r/[A-Za-z0-9_-]+", keep=True)
+USER_MENTION = Rule("u/[A-Za-z0-9_-]+", behind="A-Za-z0-9")
+GROUP_MENTION = Rule("r/[A-Za-z0-9_-]+", behind="A-Za-z0-9")
 URL = Rule(r"https?://[^" + WS + "]+")
 LINK = Rule(r"\[([^\]]+)\]\(https?://[^\)]+\)", keep=True)
 CODE_BLOCK = Rule(r"```[\s\S]*?```")
@@ -81,10 +86,26 @@ FORMAT_FAMILIES = (
 # --- end of fixed values -----------------------------------------------------------------------------------------
 
 
+def _bits(*spans: str) -> str:
+    """ASCII ranges spelled out as single characters.
+
+    The JVM compiles single characters of a class to one bit set, but a union of ranges to a chain of calls per
+    character, which is ten times slower on text.
+    """
+    return "".join(f"\\x{code:02x}" for a, b in spans for code in range(ord(a), ord(b) + 1))
+
+
+_SPACE_BITS = _bits("\t\r", "\x1c\x20")
+_OTHER_SPACE_BITS = _bits("\t\r", "\x1c\x1f")
+_WORD_BITS = _bits("az", "09", "__")
+# ASCII that cleaning deletes: everything but word characters, white space and . ! ? , ; : -
+_DROPPED_BITS = _bits("\x00\x08", "\x0e\x1b", '"+', "//", "<>", "@@", "[^", "``", "{\x7f")
+
+
 def _apply(col: Column, rules: Iterable[Rule]) -> Column:
     for rule in rules:
         # (?md): line starts after a line feed only, as elsewhere; plain (?m) would also split at U+2028.
-        pattern = ("(?md)" if rule.line_start else "") + rule.pattern
+        pattern = ("(?md)" if rule.line_start else "") + (f"(?<![{rule.behind}])" if rule.behind else "") + rule.pattern
         col = F.regexp_replace(col, pattern, "$1" if rule.keep else "")
     return col
 
@@ -106,17 +127,26 @@ def strip_urls_mentions(col: Column, compat: bool = False) -> Column:
     return _apply(col, REPEAT_RULES_COMPAT if compat else REPEAT_RULES)
 
 
-def squash_whitespace(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, f"[{WS}]+", " "))
+def squash_whitespace(col: Column, ascii_text: bool = False) -> Column:
+    """Runs of white space become one blank, none at the ends. Single blanks, nearly all of them, are never touched.
+
+    ``ascii_text`` promises text without other characters; the regex engine has a faster class for that.
+    """
+    if not ascii_text:
+        col = F.regexp_replace(col, f"[^\\x00-\\x7f](?<=[{WS_WIDE}])", " ")
+    return F.trim(F.regexp_replace(col, f"(?: [{_SPACE_BITS}]|[{_OTHER_SPACE_BITS}])[{_SPACE_BITS}]*", " "))
 
 
 def remove_emoji(col: Column, wide: bool = False) -> Column:
     return F.regexp_replace(col, f"[{EMOJI_WIDE if wide else EMOJI_NARROW}]+", "")
 
 
-def keep_basic_chars(col: Column) -> Column:
+def keep_basic_chars(col: Column, ascii_text: bool = False) -> Column:
     """Keep word characters, white space and ``. ! ? , ; : -``."""
-    return F.regexp_replace(col, rf"[^{WORD_CLASS}{WS}.!?,;:\-]", "")
+    kept = F.regexp_replace(col, f"[{_DROPPED_BITS}]", "")
+    if ascii_text:
+        return kept
+    return F.regexp_replace(kept, rf"[^\x00-\x7f](?<![\p{{L}}\p{{N}}{WS_WIDE}])", "")
 
 
 def squash_punctuation(col: Column) -> Column:
@@ -149,36 +179,32 @@ def ascii_residues() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
-def _escape_class(chars: Iterable[str]) -> str:
-    """Code points as a compact character class."""
+def _wide_class(chars: Iterable[str], exact_below: int = 0x180) -> str:
+    """A short character class that covers the characters: exact in the common blocks, one span above them.
+
+    It only decides which rows take the slow path, so covering more is harmless; a class of hundreds of ranges is slow.
+    """
     codes = sorted(map(ord, chars))
-    spans: list[list[int]] = []
-    for code in codes:
-        if spans and code == spans[-1][1] + 1:
-            spans[-1][1] = code
-        else:
-            spans.append([code, code])
-    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
+    low = "".join(f"\\x{{{c:X}}}" for c in codes if c < exact_below)
+    high = [c for c in codes if c >= exact_below]
+    return low + (f"\\x{{{high[0]:X}}}-\\x{{{high[-1]:X}}}" if high else "")
 
 
-def _literal_map(table: Mapping[str, str]) -> Column:
-    return F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values())))
+def literal_map(table: Mapping[str, str]) -> Column:
+    """A lookup table as one constant that the optimizer folds."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
 
 
 def _swap_chars(col: Column, table: Mapping[str, str], pad: str = "") -> Column:
     """Replace single characters by strings, only in rows that hold one of them."""
-    wanted = _escape_class(table)
-    swapped = F.array_join(
-        F.transform(
-            F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)),
-            lambda ch: F.when(
-                F.octet_length(ch) > 1,
-                F.coalesce(F.concat(F.lit(pad), F.try_element_at(_literal_map(table), ch), F.lit(pad)), ch),
-            ).otherwise(ch),
-        ),
-        "",
+    names = literal_map({k: f"{pad}{v}{pad}" for k, v in table.items()})
+    listed = list(table)
+    swap = lambda ch: F.when(ch.isin(*listed), F.try_element_at(names, ch)).otherwise(ch)
+    wanted = f"[{_wide_class(table)}]"
+    return _guarded(
+        col, has_non_ascii(col) & col.rlike(wanted),
+        lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), swap), ""),
     )
-    return F.when(has_non_ascii(col) & col.rlike(f"[{wanted}]"), swapped).otherwise(col)
 
 
 def has_non_ascii(col: Column) -> Column:
@@ -195,41 +221,52 @@ def to_ascii(col: Column) -> Column:
     single, several = ascii_residues()
     opened = _swap_chars(col, several)
     mapped = F.translate(opened, "".join(single), "".join(single.values()))
-    return F.regexp_replace(mapped, rf"[^\x00-\x7f{WS}]+", "")
+    # The look-behind runs on non-ASCII characters only and spares white space.
+    return F.regexp_replace(mapped, rf"(?:[^\x00-\x7f](?<![{WS_WIDE}]))+", "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
 
+def _guarded(value: Column, condition: Column, change: Callable[[Column], Column]) -> Column:
+    return let(value, lambda x: F.when(condition, change(x)).otherwise(x))
 
-def clean_text(df: DataFrame, column: str = "text", out: str = "cleaned_text", emoji: str = "describe",
-               compat: bool = False) -> DataFrame:
+
+def clean_text(col: Column, emoji: str = "describe", compat: bool = False) -> Column:
     """All cleaning steps in order; null gives an empty string.
 
     Each family of patterns runs only on rows that hold its trigger character, so a plain post pays for a few byte
     searches instead of fifteen regex passes. The guards read the original text, which is safe because no step adds a
-    trigger character.
+    trigger character. Every intermediate value is bound once: written as plain nested ``when`` the optimizer would
+    double the expression at each step.
     """
-    raw = F.coalesce(F.col(column), F.lit(""))
-    df = df.withColumn(out, raw)
+    if emoji not in ("describe", "remove", "remove_wide", "keep"):
+        raise ValueError(f"unknown emoji mode {emoji!r}")
+    return let(F.coalesce(col, F.lit("")), lambda raw: _clean(raw, emoji, compat))
 
-    def step(frame: DataFrame, guard: Column, value: Column) -> DataFrame:
-        return frame.withColumn(out, F.when(guard, value).otherwise(F.col(out)))
 
-    cur = F.col(out)
+def _clean(raw: Column, emoji: str, compat: bool) -> Column:
+    cur = raw
     for triggers, rules in _families(compat):
-        if triggers == "/":
-            # The mention and address rules run twice: markup in between may have hidden a match.
-            df = step(df, _any_char(raw, triggers), _apply(cur, rules))
-        else:
-            df = step(df, _any_char(raw, triggers), _apply(cur, rules))
-    df = step(df, raw.contains("/"), strip_urls_mentions(cur, compat))
-    df = df.withColumn(out, squash_whitespace(cur))
+        cur = _guarded(cur, _any_char(raw, triggers), lambda x: _apply(x, rules))
+    # Addresses and mentions once more: markup in between may have hidden a match.
+    cur = _guarded(cur, raw.contains("/"), lambda x: strip_urls_mentions(x, compat))
+    special = has_non_ascii(raw)
+    cur = let(cur, lambda x: F.when(special, _unicode_steps(x, emoji)).otherwise(
+        keep_basic_chars(squash_whitespace(x, ascii_text=True), ascii_text=True)
+    ))
+    return F.trim(_guarded(squash_punctuation(cur), special, to_ascii))
+
+
+def _unicode_steps(cur: Column, emoji: str) -> Column:
+    cur = squash_whitespace(cur)
     if emoji == "describe":
-        df = step(df, has_non_ascii(raw), describe_emoji(cur))
-    elif emoji in ("remove", "remove_wide"):
-        df = step(df, has_non_ascii(raw), remove_emoji(cur, wide=emoji == "remove_wide"))
+        cur = describe_emoji(cur)
     elif emoji != "keep":
-        raise ValueError(f"unknown emoji mode {emoji!r}")
-    df = df.withColumn(out, squash_punctuation(keep_basic_chars(cur)))
-    df = step(df, has_non_ascii(raw), to_ascii(cur))
-    return df.withColumn(out, F.trim(cur))
+        cur = remove_emoji(cur, wide=emoji == "remove_wide")
+    return keep_basic_chars(cur)
 
 
 def _any_char(col: Column, chars: str) -> Column:
@@ -244,7 +281,13 @@ def _any_char(col: Column, chars: str) -> Column:
 
 def tokenize(col: Column) -> Column:
     """Lower-cased runs of word characters and single punctuation marks."""
-    return F.regexp_extract_all(F.lower(col), F.lit(TOKEN), F.lit(0))
+    mark = f"[^{_WORD_BITS}{_SPACE_BITS}](?<![{WS_WIDE}])"
+    return F.regexp_extract_all(F.lower(col), F.lit(f"[{_WORD_BITS}]+|{mark}"), F.lit(0))
+
+
+def tokenize_words(col: Column) -> Column:
+    """The tokens that are no punctuation mark."""
+    return F.regexp_extract_all(F.lower(col), F.lit(f"[{_WORD_BITS}]+"), F.lit(0))
 
 
 def default_stop_words(spark: SparkSession) -> list[str]:
@@ -262,7 +305,7 @@ def remove_stopwords(tokens: Column, stop_words: Iterable[str]) -> Column:
 
 def lemmatize(tokens: Column, lemmas: Mapping[str, str]) -> Column:
     """Replace tokens found in a small literal table; for a large one see ``operators.lookup.lemmatize_by_table``."""
-    table = _literal_map(lemmas)
+    table = literal_map(lemmas)
     known = list(lemmas)
     return F.transform(
         tokens, lambda t: F.when(t.isin(*known), F.try_element_at(table, t)).otherwise(t)

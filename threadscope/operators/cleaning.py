@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadscope import presets
@@ -20,21 +20,27 @@ def preprocess(df: DataFrame, column: str = "text", min_length: int = presets.MI
     A text shorter than ``min_length`` after cleaning becomes an empty, invalid record. Tokens stay an array.
     """
     stop = list(T.default_stop_words(df.sparkSession) if stop_words is None else stop_words) + list(extra_stop_words)
-    df = T.clean_text(df, column, "cleaned_text", emoji=emoji, compat=compat)
-    long_enough = F.length("cleaned_text") >= min_length
-    words = T.remove_stopwords(T.tokenize(F.col("cleaned_text")), stop)
-    if lemmas:
-        words = T.lemmatize(words, lemmas)
     empty = F.array().cast("array<string>")
-    return (
-        df.withColumn("cleaned_text", F.when(long_enough, F.col("cleaned_text")).otherwise(""))
-        .withColumn("tokens", F.when(F.length("cleaned_text") > 0, T.filter_tokens(words)).otherwise(empty))
-        .withColumns({
-            "processed_text": F.array_join("tokens", " "),
-            "word_count": F.size("tokens"),
-            "is_valid": F.size("tokens") > 0,
-        })
-    )
+
+    def record(clean: Column) -> Column:
+        # Punctuation marks are tokens of one character, which the length filter would drop anyway.
+        words = T.remove_stopwords(T.tokenize_words(clean), stop)
+        if lemmas:
+            words = T.lemmatize(words, lemmas)
+        long_enough = F.length(clean) >= min_length
+        return F.struct(
+            F.when(long_enough, clean).otherwise("").alias("cleaned_text"),
+            F.when(long_enough, T.filter_tokens(words)).otherwise(empty).alias("tokens"),
+        )
+
+    # The generator keeps a later filter on the tokens above it; pushed below, it would clean every text twice.
+    source = T.clean_text(F.col(column), emoji, compat)
+    keep = [c for c in df.columns if c not in ("cleaned_text", "tokens")]
+    return df.select(*keep, F.inline(F.transform(F.array(source), record))).withColumns({
+        "processed_text": F.array_join("tokens", " "),
+        "word_count": F.size("tokens"),
+        "is_valid": F.size("tokens") > 0,
+    })
 
 
 def drop_invalid(df: DataFrame, observation: Observation | None = None) -> DataFrame:

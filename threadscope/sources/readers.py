@@ -29,6 +29,15 @@ def read_posts(spark: SparkSession, base: str, years: Sequence[int] | None = Non
     return df
 
 
+def spread_small(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores, such as one small file with a single row group.
+
+    Looks at the planned splits only; an input with enough of them stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str = POST_SCHEMA) -> DataFrame:
     """One JSON object per line."""
     return spark.read.schema(schema).json(path)
