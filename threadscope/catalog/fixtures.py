@@ -35,11 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
+_ROWS: dict[tuple[str, str], int] = {}
+
+
+def rows_in(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a driver table, from its footers."""
+    if (sf_dir, name) not in _ROWS:
+        _ROWS[sf_dir, name] = spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    return _ROWS[sf_dir, name]
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts: phrases with known hits appended, five groups renamed, times spread over 24 months."""
     docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
-    count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    step = F.floor(count(events) / count(docs))
+    step = rows_in(spark, sf_dir, "events") // rows_in(spark, sf_dir, "documents")
     phrase = F.lit("")
     for rest, words in PHRASES.items():
         phrase = F.when(F.col("doc_id") % 8 == rest, F.lit(words)).otherwise(phrase)

@@ -1 +1,47 @@
+"""C11, E19–E22: model output, so no SQL can repeat it."""
 
+from pyspark.sql import functions as F
+
+from threadscope import presets
+from threadscope.catalog.fixtures import cleaned
+from threadscope.catalog.registry import query
+from threadscope.operators import evaluation, labelling, tagging, topics
+
+
+def _topic_model(spark, sf):
+    docs = cleaned(spark, sf).select("id", "tokens")
+    return docs, topics.fit_topics(docs, k=5, max_iter=10)
+
+
+@query("topic_terms")
+def topic_terms(spark, sf):
+    return topics.topic_terms(_topic_model(spark, sf)[1], 10)
+
+
+@query("assign_topics")
+def assign_topics(spark, sf):
+    docs, model = _topic_model(spark, sf)
+    return topics.assign_topics(docs, model).select("id", "dominant_topic", "topic_confidence")
+
+
+@query("topic_distribution")
+def topic_distribution(spark, sf):
+    docs, model = _topic_model(spark, sf)
+    return topics.topic_distribution(topics.assign_topics(docs, model))
+
+
+def _predicted(spark, sf):
+    rows = tagging.four_label(tagging.flag_rare(cleaned(spark, sf))).select("id", "tokens", F.col("label").alias("labels"))
+    rows = labelling.encode_multihot(rows)
+    model = labelling.train_text_classifier(rows, features=1 << 12, max_iter=5)
+    return labelling.predict(model, rows)
+
+
+@query("train_and_predict")
+def train_and_predict(spark, sf):
+    return _predicted(spark, sf).select("id", *[f"{x}_{k}" for x in presets.LABELS for k in ("score", "pred")])
+
+
+@query("evaluate_classifier")
+def evaluate_classifier(spark, sf):
+    return evaluation.label_metrics(evaluation.to_long(_predicted(spark, sf), presets.LABELS))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,14 +27,18 @@ def minimal_terms(terms: Iterable[str]) -> list[str]:
     return kept
 
 
-def contains_any(lowered: Column, terms: Iterable[str]) -> Column:
-    """True where any term occurs as a substring; null text gives false.
+def sql_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_any(column: str, terms: Iterable[str]) -> Column:
+    """True where any term occurs as a substring of a lower-cased column; null text gives false.
 
     A chain of ``contains`` is a byte search per term and stops at the first hit; it is several times faster than one
     alternation in a backtracking regex engine.
     """
-    hits = [lowered.contains(F.lit(term)) for term in minimal_terms(terms)]
-    return F.coalesce(reduce(Column.__or__, hits), F.lit(False))
+    hits = [f"contains(`{column}`, {sql_literal(term)})" for term in minimal_terms(terms)]
+    return F.expr(f"coalesce({' or '.join(hits)}, false)")
 
 
 def whole_word_pattern(words: Iterable[str]) -> str:
@@ -43,12 +46,13 @@ def whole_word_pattern(words: Iterable[str]) -> str:
     return f"(?:^|[^{WORD_CLASS}])(?:{body})(?:$|[^{WORD_CLASS}])"
 
 
-def contains_word(lowered: Column, words: Iterable[str]) -> Column:
+def contains_word(column: str, words: Iterable[str]) -> Column:
     """True where any word occurs between word boundaries; the regex only runs on rows with a substring hit."""
     words = list(words)
-    return contains_any(lowered, words) & F.coalesce(lowered.rlike(whole_word_pattern(words)), F.lit(False))
+    return contains_any(column, words) & F.coalesce(F.col(column).rlike(whole_word_pattern(words)), F.lit(False))
 
 
-def count_hits(lowered: Column, terms: Iterable[str]) -> Column:
+def count_hits(column: str, terms: Iterable[str]) -> Column:
     """Number of distinct terms that occur as a substring."""
-    return reduce(Column.__add__, [F.coalesce(lowered.contains(F.lit(t)), F.lit(False)).cast("int") for t in terms])
+    tests = [f"cast(contains(`{column}`, {sql_literal(t)}) as int)" for t in dict.fromkeys(terms)]
+    return F.expr(f"coalesce({' + '.join(tests)}, 0)")

@@ -10,7 +10,7 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -179,15 +179,26 @@ def ascii_residues() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
+def _spans(chars: Iterable[str], gap: int) -> list[tuple[int, int]]:
+    """Code point ranges that cover the characters, neighbours closer than ``gap`` joined."""
+    spans: list[tuple[int, int]] = []
+    for code in sorted(map(ord, chars)):
+        if spans and code - spans[-1][1] <= gap:
+            spans[-1] = (spans[-1][0], code)
+        else:
+            spans.append((code, code))
+    return spans
+
+
 def _wide_class(chars: Iterable[str], exact_below: int = 0x180) -> str:
-    """A short character class that covers the characters: exact in the common blocks, one span above them.
+    """A short character class that covers the characters: exact in the common blocks, a few spans above them.
 
     It only decides which rows take the slow path, so covering more is harmless; a class of hundreds of ranges is slow.
     """
-    codes = sorted(map(ord, chars))
-    low = "".join(f"\\x{{{c:X}}}" for c in codes if c < exact_below)
-    high = [c for c in codes if c >= exact_below]
-    return low + (f"\\x{{{high[0]:X}}}-\\x{{{high[-1]:X}}}" if high else "")
+    low = [c for c in chars if ord(c) < exact_below]
+    high = [c for c in chars if ord(c) >= exact_below]
+    spans = _spans(low, 1) + _spans(high, 0x400)
+    return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in spans)
 
 
 def literal_map(table: Mapping[str, str]) -> Column:
@@ -198,11 +209,16 @@ def literal_map(table: Mapping[str, str]) -> Column:
 def _swap_chars(col: Column, table: Mapping[str, str], pad: str = "") -> Column:
     """Replace single characters by strings, only in rows that hold one of them."""
     names = literal_map({k: f"{pad}{v}{pad}" for k, v in table.items()})
-    listed = list(table)
-    swap = lambda ch: F.when(ch.isin(*listed), F.try_element_at(names, ch)).otherwise(ch)
-    wanted = f"[{_wide_class(table)}]"
+    spans = _spans(table, gap=0x400)
+
+    def listed(ch: Column) -> Column:
+        # UTF-8 text compares in code point order.
+        tests = [ch.between(chr(lo), chr(hi)) for lo, hi in spans]
+        return reduce(Column.__or__, tests)
+
+    swap = lambda ch: F.when(listed(ch), F.coalesce(F.try_element_at(names, ch), ch)).otherwise(ch)
     return _guarded(
-        col, has_non_ascii(col) & col.rlike(wanted),
+        col, has_non_ascii(col) & col.rlike(f"[{_wide_class(table)}]"),
         lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), swap), ""),
     )
 
@@ -222,7 +238,7 @@ def to_ascii(col: Column) -> Column:
     opened = _swap_chars(col, several)
     mapped = F.translate(opened, "".join(single), "".join(single.values()))
     # The look-behind runs on non-ASCII characters only and spares white space.
-    return F.regexp_replace(mapped, rf"(?:[^\x00-\x7f](?<![{WS_WIDE}]))+", "")
+    return F.regexp_replace(mapped, rf"[^\x00-\x7f](?<![{WS_WIDE}])", "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -22,16 +22,16 @@ def score_labels(df: DataFrame, text: str = "cleaned_text",
     Points per keyword plus bonuses, divided by the number of keywords, at most 1. The fallback scores 1 where the best
     score is weak, else null (not suggested).
     """
-    low, raw = F.col("_low"), F.col(text)
+    raw = F.col(text)
     mark = F.when(F.coalesce(raw.contains("?"), F.lit(False)), 0.5).otherwise(0.0)
-    asks = F.when(contains_any(low, presets.WH_WORDS), 0.3).otherwise(0.0)
+    asks = F.when(contains_any("_low", presets.WH_WORDS), 0.3).otherwise(0.0)
     scores: dict[str, Column] = {}
     for g in guidelines:
-        points: Column = count_hits(low, g.keywords).cast("double")
+        points: Column = count_hits("_low", g.keywords).cast("double")
         if g.question_bonus:
             points = points + mark + asks
         if g.fear_bonus:
-            points = points + count_hits(low, presets.FEAR_WORDS) * 0.5
+            points = points + count_hits("_low", presets.FEAR_WORDS) * 0.5
         scores[f"score_{g.label}"] = F.least(points / float(max(len(g.keywords), 1)), F.lit(1.0))
     best = F.greatest(*[F.col(c) for c in scores]) if len(scores) > 1 else F.col(next(iter(scores)))
     return (

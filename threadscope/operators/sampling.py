@@ -69,7 +69,7 @@ def annotation_sample(df: DataFrame, n: int = 1000, keys: Sequence[str] = ("visa
                       ids: Sequence[str] = ("id",), seed: str = "42") -> DataFrame:
     """Rows to annotate: per group ``max(1, floor(n * group / total))``, then n of them in hash order."""
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    quota = lambda size: F.greatest(F.lit(1), F.floor(F.lit(n) * size / total))
+    quota = lambda size: F.greatest(F.lit(1), F.floor(F.lit(n).cast("double") * size / total))
     ranked = keep_by_hash(df, keys, ids, quota, seed)
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), *[F.col(c).cast("string") for c in ids]))
     return ranked.orderBy(order, *ids).limit(n).withColumns({

@@ -19,10 +19,9 @@ def lowered(df: DataFrame, text: str, out: str = "_low") -> DataFrame:
 def flag_lexicon(df: DataFrame, text: str = "text", fear: Sequence[str] = presets.FEAR_9,
                  question: Sequence[str] = presets.QA_9) -> DataFrame:
     """``has_fear`` and ``is_question`` by substring; null text gives false."""
-    low = F.col("_low")
     return (
         lowered(df, text)
-        .withColumns({"has_fear": contains_any(low, fear), "is_question": contains_any(low, question)})
+        .withColumns({"has_fear": contains_any("_low", fear), "is_question": contains_any("_low", question)})
         .drop("_low")
     )
 
@@ -30,10 +29,9 @@ def flag_lexicon(df: DataFrame, text: str = "text", fear: Sequence[str] = preset
 def stage_hits(df: DataFrame, text: str = "text",
                stages: Mapping[str, Sequence[str]] = presets.STAGES_6_WIDE) -> DataFrame:
     """One boolean ``stage_<name>`` per stage; a post may hit several."""
-    low = F.col("_low")
     return (
         lowered(df, text)
-        .withColumns({f"stage_{name}": contains_any(low, terms) for name, terms in stages.items()})
+        .withColumns({f"stage_{name}": contains_any("_low", terms) for name, terms in stages.items()})
         .drop("_low")
     )
 
@@ -42,20 +40,18 @@ def tag_posts(df: DataFrame, text: str = "text", fear: Sequence[str] = presets.F
               question: Sequence[str] = presets.QA_9,
               stages: Mapping[str, Sequence[str]] = presets.STAGES_6_WIDE) -> DataFrame:
     """Both flags and all stage booleans from one lower-casing."""
-    low = F.col("_low")
-    flags = {"has_fear": contains_any(low, fear), "is_question": contains_any(low, question)}
-    flags |= {f"stage_{name}": contains_any(low, terms) for name, terms in stages.items()}
+    flags = {"has_fear": contains_any("_low", fear), "is_question": contains_any("_low", question)}
+    flags |= {f"stage_{name}": contains_any("_low", terms) for name, terms in stages.items()}
     return lowered(df, text).withColumns(flags).drop("_low")
 
 
 def flag_rare(df: DataFrame, text: str = "text", fear: Sequence[str] = presets.FEAR_WORDS_3GROUP,
               question: Sequence[str] = presets.QUESTION_WORDS) -> DataFrame:
     """Whole-word flags ``has_fear``, ``has_question`` (a question mark also counts) and ``is_rare_event`` = both."""
-    low = F.col("_low")
-    asks = F.coalesce(low.contains("?"), F.lit(False)) | contains_word(low, question)
+    asks = contains_any("_low", ("?",)) | contains_word("_low", question)
     return (
         lowered(df, text)
-        .withColumns({"has_fear": contains_word(low, fear), "has_question": asks})
+        .withColumns({"has_fear": contains_word("_low", fear), "has_question": asks})
         .withColumn("is_rare_event", F.col("has_fear") & F.col("has_question"))
         .drop("_low")
     )
@@ -65,9 +61,8 @@ def assign_stage(df: DataFrame, text: str = "text", group: str = "subreddit",
                  stages: Sequence[presets.Stage] = presets.STAGES_5, out: str = "visa_stage") -> DataFrame:
     """One stage per post: first stage whose pattern is in the group name, else first with a keyword in the text."""
     name = F.lower(F.coalesce(F.col(group), F.lit("")))
-    low = F.col("_low")
-    rules: list[tuple[Column, str]] = [(contains_any(F.col("_group"), s.groups), s.name) for s in stages]
-    rules += [(contains_any(low, s.keywords), s.name) for s in stages]
+    rules: list[tuple[Column, str]] = [(contains_any("_group", s.groups), s.name) for s in stages]
+    rules += [(contains_any("_low", s.keywords), s.name) for s in stages]
     value = F.when(rules[0][0], F.lit(rules[0][1]))
     for cond, label in rules[1:]:
         value = value.when(cond, F.lit(label))

@@ -177,15 +177,19 @@ def seasonal(df: DataFrame, ts: str = "created_ts", words: str = "word_count", t
 
 def _rolling_flags(counts: DataFrame, order: str, before: int, after: int, sigmas: float) -> DataFrame:
     """Centred rolling mean and deviation over a small table of counts (one row per day or week)."""
-    size = before + after + 1
+    k = before + after + 1
     frame = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(-before, after)
-    full = F.count(F.lit(1)).over(frame) == size
-    mean = F.when(full, F.avg("n").over(frame))
-    std = F.when(full, F.stddev_samp("n").over(frame))
-    return counts.withColumns({"rolling_mean": mean, "rolling_std": std}).withColumn(
-        "is_anomaly",
-        F.coalesce(F.abs(F.col("n") - F.col("rolling_mean")) > F.lit(sigmas) * F.col("rolling_std"), F.lit(False)),
-    ).withColumns({c: F.round(c, 6) for c in ("rolling_mean", "rolling_std")})
+    n = F.col("n").cast("double")
+    full = F.count(F.lit(1)).over(frame) == k
+    total = F.when(full, F.sum(n).over(frame))
+    # k (k - 1) times the sample variance; whole numbers, so a count exactly on the band edge is not flagged.
+    spread = F.when(full, k * F.sum(n * n).over(frame) - F.sum(n).over(frame) * F.sum(n).over(frame))
+    off = k * n - total
+    return counts.withColumns({
+        "rolling_mean": F.round(total / k, 6),
+        "rolling_std": F.round(F.sqrt(spread / (k * (k - 1))), 6),
+        "is_anomaly": F.coalesce(off * off * (k - 1) > F.lit(sigmas * sigmas * k) * spread, F.lit(False)),
+    })
 
 
 def daily_anomalies(df: DataFrame, ts: str = "created_ts", window: int = 7, sigmas: float = 2.0) -> DataFrame:

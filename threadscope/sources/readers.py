@@ -80,7 +80,8 @@ def _read_csv(spark: SparkSession, paths: list[str], columns: Sequence[str], enc
         .csv(paths)
     )
     # Both short and long rows arrive marked; only the long ones have more separators outside quotes than columns allow.
-    outside = F.regexp_replace("_line", r'"(?:[^"]|"")*"', "")
+    # A doubled quote inside quotes just ends one quoted run and starts the next.
+    outside = F.regexp_replace("_line", '"[^"]*"', "")
     extra = F.length(F.regexp_replace(outside, "[^,]", "")) >= len(columns)
     return rows.filter(F.col("_line").isNull() | ~extra).select(*columns)
 
