@@ -52,13 +52,12 @@ def read_csv_tolerant(spark, sf):
     line = F.concat_ws(",", F.col("doc_id").cast("string"), F.col("source"),
                        F.when((F.col("doc_id") % 7 != 0) | (F.col("doc_id") % 10 == 0), quoted),
                        F.when(F.col("doc_id") % 10 == 0, "one,more"))
-    # The line is written as it is: a separator that does not occur, and no quoting.
-    docs.filter("lang <> 'fr'").select(line.alias("doc_id,source,text")).write.option("header", "true").option(
-        "sep", "\x01").option("quote", "").csv(utf)
-    docs.filter("lang = 'fr'").select("doc_id", "source", "text").write.option("header", "true").option(
-        "encoding", "ISO-8859-1").option("escape", '"').csv(latin)
-    names = [p for folder in (utf, latin) for p in files.paths_of(files.discover_files(spark, folder), 10_000)]
-    rows = readers.read_csv_tolerant(spark, names, ["doc_id", "source", "text"])
+    docs.filter("lang <> 'fr'").select(line).write.text(utf)
+    docs.filter("lang = 'fr'").select("doc_id", "source", "text").write.option("encoding", "ISO-8859-1").option(
+        "escape", '"').csv(latin)
+    found = files.discover_files(spark, utf, (".txt",)).unionByName(files.discover_files(spark, latin))
+    names = files.paths_of(found, 10_000)
+    rows = readers.read_csv_tolerant(spark, names, ["doc_id", "source", "text"], header=False)
     langs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
     return rows.join(langs, "doc_id").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.count("text").alias("with_text"),

@@ -51,8 +51,8 @@ def _invalid_utf8_files(spark: SparkSession, paths: Sequence[str]) -> set[str]:
 
 
 def read_csv_tolerant(spark: SparkSession, paths: Sequence[str], columns: Sequence[str],
-                      multi_line: bool = True) -> DataFrame:
-    """CSV with a header, all columns as strings; rows with too many fields are skipped, short rows are padded.
+                      multi_line: bool = True, header: bool = True) -> DataFrame:
+    """CSV, all columns as strings; rows with too many fields are skipped, short rows are padded.
 
     A file with invalid UTF-8 is read as Latin-1. ``multi_line`` allows line breaks inside quotes, as forum text has
     them; a file is then read by one task. Turn it off to split big files without such breaks.
@@ -62,7 +62,7 @@ def read_csv_tolerant(spark: SparkSession, paths: Sequence[str], columns: Sequen
         "UTF-8": [p for p in paths if _bare(p) not in bad],
         "ISO-8859-1": [p for p in paths if _bare(p) in bad],
     }
-    parts = [_read_csv(spark, p, columns, enc, multi_line) for enc, p in groups.items() if p]
+    parts = [_read_csv(spark, p, columns, enc, multi_line, header) for enc, p in groups.items() if p]
     return union_samples(*parts)
 
 
@@ -71,10 +71,10 @@ def _bare(path: str) -> str:
 
 
 def _read_csv(spark: SparkSession, paths: list[str], columns: Sequence[str], encoding: str,
-              multi_line: bool) -> DataFrame:
+              multi_line: bool, header: bool) -> DataFrame:
     schema = StructType([StructField(c, StringType()) for c in (*columns, "_line")])
     rows = (
-        spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
+        spark.read.schema(schema).option("header", str(header).lower()).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_line").option("encoding", encoding)
         .option("multiLine", str(multi_line).lower()).option("escape", '"').option("columnPruning", "false")
         .csv(paths)
@@ -83,7 +83,9 @@ def _read_csv(spark: SparkSession, paths: list[str], columns: Sequence[str], enc
     # A doubled quote inside quotes just ends one quoted run and starts the next.
     outside = F.regexp_replace("_line", '"[^"]*"', "")
     extra = F.length(F.regexp_replace(outside, "[^,]", "")) >= len(columns)
-    return rows.filter(F.col("_line").isNull() | ~extra).select(*columns)
+    # Always true, but it keeps a value column in the scan, without which Spark refuses to read the marks (as in a count).
+    any_value = F.coalesce(F.length(columns[0]), F.lit(0)) >= 0
+    return rows.filter(any_value & (F.col("_line").isNull() | ~extra)).select(*columns)
 
 
 def read_lenient_parquet(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
