@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadscope import presets
 from threadscope.catalog import sql as S
-from threadscope.catalog.fixtures import cleaned, event_posts, order_posts, posts, staged, table
+from threadscope.catalog.fixtures import cleaned, order_posts, posts, saved, saved_cleaned, staged, table
 from threadscope.catalog.registry import query
 from threadscope.functions import text as T
 from threadscope.operators import describe, lookup, words
@@ -28,13 +28,13 @@ def _ranked_words(key: str, k: int, least: int, where: str = "true") -> str:
 
 @query("top_words_by_stage", lambda: f"with {S.words_cte()} {_ranked_words('visa_stage', 20, 3, KNOWN)}")
 def top_words_by_stage(spark, sf):
-    return words.top_words_by(cleaned(spark, sf), "visa_stage", 20, min_count=3)
+    return words.top_words_by(saved_cleaned(spark, sf), "visa_stage", 20, min_count=3)
 
 
 @query("top_words_by_group", lambda: f"""with {S.words_cte()}
 {_ranked_words('subreddit', 15, 2, 'subreddit in ' + TOP10.format('cleaned'))}""")
 def top_words_by_group(spark, sf):
-    rows = words.within_largest(cleaned(spark, sf), "subreddit", 10)
+    rows = words.within_largest(saved_cleaned(spark, sf), "subreddit", 10)
     return words.top_words_by(rows, "subreddit", 15, min_count=2, skip=())
 
 
@@ -110,7 +110,7 @@ g as (select subreddit, count(*) as posts, round(avg(word_count), 6) as avg_word
   round(avg(length(processed_text)), 6) as avg_text_length from cleaned group by 1 order by 2 desc, 1 limit 20)
 select g.*, visa_stage, count(*) as stage_posts from cleaned join g using (subreddit) group by all""")
 def group_profile(spark, sf):
-    return describe.group_profile(cleaned(spark, sf))
+    return describe.group_profile(saved_cleaned(spark, sf))
 
 
 @query("n_distinct", """select 'user_id' as "column", count(distinct user_id) as n from events
@@ -124,7 +124,7 @@ def polarity(spark):
 
 
 def scored(spark, sf):
-    return lookup.score_sentiment(cleaned(spark, sf), polarity(spark))
+    return lookup.score_sentiment(saved_cleaned(spark, sf), polarity(spark))
 
 
 def _scored() -> str:
@@ -156,7 +156,7 @@ def sentiment_by_stage(spark, sf):
 @query("sentiment_by_group", lambda: f"""with {_scored()} select subreddit, round(avg(sentiment), 6) as mean,
   round(stddev_samp(sentiment), 6) as std from scored where subreddit in {TOP10.format('scored')} group by 1""")
 def sentiment_by_group(spark, sf):
-    return describe.sentiment_by(scored(spark, sf), "subreddit", (), 10)
+    return describe.sentiment_by(saved(spark, scored(spark, sf)), "subreddit", (), 10)
 
 
 def _bigrams(tokens: str) -> str:
@@ -178,7 +178,7 @@ vocab as (select term, cast(sum(tf) as bigint) as cf, count(*) as df from counts
 
 @query("vocabulary", lambda: f"with {_vocab(1000)} select * from vocab")
 def vocabulary(spark, sf):
-    docs = cleaned(spark, sf)
+    docs = saved_cleaned(spark, sf)
     return words.vocabulary(words.term_counts(docs), docs)
 
 
@@ -186,7 +186,7 @@ def vocabulary(spark, sf):
   tf * (ln((1 + (select count(*) from cleaned)) / (1 + df)) + 1) as w from counts join vocab using (term))
 select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w""")
 def tfidf(spark, sf):
-    docs = cleaned(spark, sf)
+    docs = saved_cleaned(spark, sf)
     counts = words.term_counts(docs)
     return words.tfidf(counts, words.vocabulary(counts, docs, 300), docs)
 
@@ -233,7 +233,7 @@ def histogram(spark, sf):
 select cast(least(floor((word_count - lo) / ((hi - lo) / 50)) + 1, 50) as int) as bin, count(*) as n
 from cleaned, b group by 1""")
 def histogram_words(spark, sf):
-    return describe.histogram(cleaned(spark, sf), "word_count")
+    return describe.histogram(saved_cleaned(spark, sf), "word_count")
 
 
 NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -256,7 +256,7 @@ def term_cloud(spark, sf):
     select visa_stage, word, count(*) as n from words where visa_stage <> 'unknown' group by 1, 2))
 select visa_stage, word, n, round(n / max(n) over (partition by visa_stage), 6) as weight from ranked where r <= 50""")
 def term_cloud_by_stage(spark, sf):
-    return words.term_cloud(cleaned(spark, sf), "visa_stage", 50)
+    return words.term_cloud(saved_cleaned(spark, sf), "visa_stage", 50)
 
 
 HOLED = """holed as (select case when event_id % 10 = 0 then null else user_id end as user_id,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from threadscope import presets
 from threadscope.operators import cleaning, labelling, tagging
-from threadscope.session import use_utc
+from threadscope.plans.study import StageStore
+from threadscope.session import scratch_path, use_utc
 from threadscope.sources.readers import spread_small
 
 PHRASES = {
@@ -76,6 +77,19 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_invalid(cleaning.preprocess(tagging.assign_stage(posts(spark, sf_dir))))
 
 
+def saved(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write a stage to the shared scratch folder and read it back, for queries that go over it more than once."""
+    return StageStore(spark, scratch_path(spark, "stage")).save("rows", df)
+
+
+def saved_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(spark, staged(spark, sf_dir))
+
+
+def saved_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(spark, cleaned(spark, sf_dir))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with automatic labels; the low threshold gives every label some rows."""
     rows = posts(spark, sf_dir).withColumn("cleaned_text", F.col("text"))

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from threadscope import presets
-from threadscope.catalog.fixtures import cleaned
+from threadscope.catalog.fixtures import saved, saved_cleaned
 from threadscope.catalog.registry import query
 from threadscope.operators import evaluation, labelling, tagging, topics
 
 
 def _topic_model(spark, sf):
-    docs = cleaned(spark, sf).select("id", "tokens")
+    docs = saved_cleaned(spark, sf).select("id", "tokens")
     return docs, topics.fit_topics(docs, k=5, max_iter=10)
 
 
@@ -31,8 +31,8 @@ def topic_distribution(spark, sf):
 
 
 def _predicted(spark, sf):
-    rows = tagging.four_label(tagging.flag_rare(cleaned(spark, sf))).select("id", "tokens", F.col("label").alias("labels"))
-    rows = labelling.encode_multihot(rows)
+    rows = tagging.four_label(tagging.flag_rare(saved_cleaned(spark, sf))).select("id", "tokens", F.col("label").alias("labels"))
+    rows = saved(spark, labelling.encode_multihot(rows))
     model = labelling.train_text_classifier(rows, features=1 << 12, max_iter=5)
     return labelling.predict(model, rows)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadscope import presets
 from threadscope.catalog import sql as S
-from threadscope.catalog.fixtures import EVAL_LABELS, eval_long, event_posts, posts, staged, table
+from threadscope.catalog.fixtures import EVAL_LABELS, eval_long, posts, saved_staged, staged, table
 from threadscope.catalog.registry import query
 from threadscope.operators import sampling
 
@@ -60,7 +60,7 @@ def sample_files_per_month(spark, sf):
 @query("stratified_sample", f"""with {STAGED} select id, subreddit, month, visa_stage from (
   {_ranked('months', 'subreddit, month, visa_stage')}) where r <= greatest(floor(n * cast(0.25 as double)), 1)""")
 def stratified_sample(spark, sf):
-    rows = staged(spark, sf).withColumn("month", F.month("created_ts"))
+    rows = saved_staged(spark, sf).withColumn("month", F.month("created_ts"))
     return sampling.stratified_sample(rows, rate=0.25).select("id", "subreddit", "month", "visa_stage")
 
 
@@ -72,7 +72,7 @@ draws as (select i as draw, cast('0x' || substr({_hash(id_='i')}, 1, 8) as bigin
 @query("oversample", f"""with {S.POSTS}, {S.STAGED}, {OVERSAMPLED}
 select draw, id, subreddit from draws join rare using (r)""")
 def oversample(spark, sf):
-    return sampling.oversample(staged(spark, sf), F.col("is_rare_event")).select("draw", "id", "subreddit")
+    return sampling.oversample(saved_staged(spark, sf), F.col("is_rare_event")).select("draw", "id", "subreddit")
 
 
 @query("union_samples", f"""with {STAGED}, {OVERSAMPLED}
@@ -80,7 +80,7 @@ select id, subreddit, cast(null as bigint) as draw from ({_ranked('months', 'sub
 where r <= greatest(floor(n * cast(0.01 as double)), 1)
 union all select id, subreddit, draw from draws join rare using (r)""")
 def union_samples(spark, sf):
-    rows = staged(spark, sf).withColumn("month", F.month("created_ts"))
+    rows = saved_staged(spark, sf).withColumn("month", F.month("created_ts"))
     parts = sampling.stratified_sample(rows), sampling.oversample(rows, F.col("is_rare_event"))
     return sampling.union_samples(*parts).select("id", "subreddit", "draw")
 
@@ -92,7 +92,7 @@ from ({_ranked('staged', 'visa_stage, subreddit')})
 where r <= greatest(1, floor(cast(200 as double) * n / (select count(*) from staged)))
 order by {_hash('42/order')}, id limit 200""")
 def annotation_sample(spark, sf):
-    return sampling.annotation_sample(staged(spark, sf), 200).select(
+    return sampling.annotation_sample(saved_staged(spark, sf), 200).select(
         "id", "visa_stage", "subreddit", "annotated", "labels", "confidence", "annotator_notes")
 
 

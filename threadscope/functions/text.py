@@ -10,7 +10,7 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -193,7 +193,7 @@ def _spans(chars: Iterable[str], gap: int) -> list[tuple[int, int]]:
 def _wide_class(chars: Iterable[str], exact_below: int = 0x180) -> str:
     """A short character class that covers the characters: exact in the common blocks, a few spans above them.
 
-    It only decides which rows take the slow path, so covering more is harmless; a class of hundreds of ranges is slow.
+    It only decides what is looked up, so covering more is harmless; a class of hundreds of ranges is slow.
     """
     low = [c for c in chars if ord(c) < exact_below]
     high = [c for c in chars if ord(c) >= exact_below]
@@ -209,17 +209,17 @@ def literal_map(table: Mapping[str, str]) -> Column:
 def _swap_chars(col: Column, table: Mapping[str, str], pad: str = "") -> Column:
     """Replace single characters by strings, only in rows that hold one of them."""
     names = literal_map({k: f"{pad}{v}{pad}" for k, v in table.items()})
-    spans = _spans(table, gap=0x400)
-
-    def listed(ch: Column) -> Column:
-        # UTF-8 text compares in code point order.
-        tests = [ch.between(chr(lo), chr(hi)) for lo, hi in spans]
-        return reduce(Column.__or__, tests)
-
-    swap = lambda ch: F.when(listed(ch), F.coalesce(F.try_element_at(names, ch), ch)).otherwise(ch)
+    listed = _wide_class(table)
+    # Listed characters come out one by one, the text between them in long runs, so few pieces are looked up.
+    pieces = F.lit(f"[{listed}]|[^{listed}]+")
     return _guarded(
-        col, has_non_ascii(col) & col.rlike(f"[{_wide_class(table)}]"),
-        lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), swap), ""),
+        col, has_non_ascii(col) & col.rlike(f"[{listed}]"),
+        lambda x: F.array_join(
+            F.transform(
+                F.regexp_extract_all(x, pieces, F.lit(0)),
+                lambda piece: F.when(F.length(piece) == 1, F.coalesce(F.try_element_at(names, piece), piece)).otherwise(piece),
+            ), "",
+        ),
     )
 
 
@@ -337,9 +337,10 @@ def filter_tokens(tokens: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n neighbouring tokens joined by a blank."""
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    return F.coalesce(
-        F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")), F.array().cast("array<string>")
-    )
+    grams = tokens
+    for k in range(2, n + 1):
+        count = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, F.lit(1), count), F.slice(tokens, F.lit(k), count), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+    return grams

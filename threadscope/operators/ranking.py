@@ -8,6 +8,7 @@ works inside one block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,8 @@ def hash_ranked(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: st
 
     With ``quota``, a function of the group size, only rows with ``_rank <= quota(_n)`` are kept, and blocks wholly
     beyond the quota are dropped before the rows are sorted. Rows with a null key belong to no group and are dropped.
-    ``ids`` must be unique within a group.
+    ``ids`` must be unique within a group. The input is read twice, once for the counts with only the key columns; give
+    it a saved table where the keys are costly to compute.
     """
     keys = list(keys)
     on = keys or ["_all"]
@@ -73,16 +75,25 @@ def running_totals(df: DataFrame, key: str, key_values: Sequence[str], value: st
     so every evaluation cuts alike. Both small tables joined back have at most ``len(key_values) * (splits + 1)`` rows,
     which bounds the broadcasts. Rows whose key is not listed are dropped.
     """
+    step = math.isqrt(splits)
     base = df.filter(F.col(key).isin(*key_values))
     picked = Window.partitionBy(key).orderBy("_h", value)
     cuts = (
         base.select(key, value, F.xxhash64(key, value).alias("_h"))
         .withColumn("_r", F.row_number().over(picked)).filter(F.col("_r") <= splits)
         .groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
+        .withColumn("_coarse", F.transform(
+            F.sequence(F.lit(1), F.size("_cuts"), F.lit(step)), lambda i: F.element_at("_cuts", i)))
+    )
+    # Two short searches, first among every step-th cut and then between two of those, instead of a pass over all cuts.
+    not_above = lambda points: F.size(F.filter(points, lambda c: c <= F.col(value)))
+    start = F.greatest(F.col("_c") - 1, F.lit(0)) * step
+    blocked = (
+        base.join(F.broadcast(cuts), key).withColumn("_c", not_above(F.col("_coarse")))
+        .withColumn("_block", F.when(F.col("_c") == 0, 0).otherwise(
+            start + not_above(F.slice("_cuts", start + 1, F.lit(step)))))
+        .drop("_cuts", "_coarse", "_c")
     )
-    blocked = base.join(F.broadcast(cuts), key).withColumn(
-        "_block", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    ).drop("_cuts")
     above = Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocked.groupBy(key, "_block").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     offsets = offsets.select(

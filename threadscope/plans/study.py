@@ -67,12 +67,16 @@ class StudySettings:
     polarity: Mapping[str, float] = field(default_factory=lambda: dict(presets.POLARITY_STARTER))
 
 
-def draw_sample(posts: DataFrame, settings: StudySettings = StudySettings()) -> DataFrame:
-    """Duplicates out first, then the per-file sample, stage tags, the stratified sample and the extra rare rows."""
-    rows = cleaning.dedupe(posts, ("text", "subreddit"), ("created_utc", "id"))
+def draw_sample(posts: DataFrame, store: StageStore, settings: StudySettings = StudySettings()) -> DataFrame:
+    """Duplicates out first, then the per-file sample, stage tags, the stratified sample and the extra rare rows.
+
+    Each draw reads its input more than once, so what it draws from is saved before.
+    """
+    rows = store.save("sampling_unique", cleaning.dedupe(posts, ("text", "subreddit"), ("created_utc", "id")))
     rows = sampling.sample_per_file_rate(rows, settings.file_rate, settings.min_rows_per_file)
     rows = rows.withColumn("created_ts", timeparts.epoch_to_timestamp(F.col("created_utc")))
     rows = tagging.flag_rare(tagging.assign_stage(rows)).withColumn("month", F.month("created_ts"))
+    rows = store.save("sampling_tagged", rows)
     strata = sampling.stratified_sample(rows, rate=settings.stratum_rate)
     if not settings.oversample_rare:
         return strata
@@ -83,14 +87,17 @@ def polarity_table(spark: SparkSession, polarity: Mapping[str, float]) -> DataFr
     return spark.createDataFrame(list(polarity.items()), "token string, polarity double")
 
 
-def descriptive_reports(cleaned: DataFrame, settings: StudySettings = StudySettings()) -> dict[str, DataFrame]:
+def descriptive_reports(cleaned: DataFrame, store: StageStore,
+                        settings: StudySettings = StudySettings()) -> dict[str, DataFrame]:
     spark = cleaned.sparkSession
     # A post drawn several times appears once per draw, so the pair is the row's name.
     draw = F.col("draw").cast("string") if "draw" in cleaned.columns else F.lit(None).cast("string")
     named = cleaned.withColumn("_row", F.concat_ws("/", F.col("id"), F.coalesce(draw, F.lit("-"))))
-    scored = lookup.score_sentiment(named, polarity_table(spark, settings.polarity), "_row").drop("_row")
+    scored = store.save(
+        "sentiment", lookup.score_sentiment(named, polarity_table(spark, settings.polarity), "_row").drop("_row")
+    )
     model = topics.fit_topics(cleaned, settings.topics, settings.topic_iterations)
-    assigned = topics.assign_topics(cleaned, model)
+    assigned = topics.assign_topics(cleaned, model).select("id", "dominant_topic", "topic_confidence")
     return {
         "top_words": word_ops.top_words(cleaned),
         "stage_words": word_ops.top_words_by(cleaned, "visa_stage", 20, min_count=3),
@@ -154,16 +161,16 @@ def run_study(posts: DataFrame, root: str, steps: Iterable[str] = STEPS,
 
     sampled = cleaned = annotated = None
     if chosen & {"sampling", "cleaning"}:
-        sampled = store.load_or_run("sampling", lambda: draw_sample(posts, settings), "sampling" in chosen)
+        sampled = store.load_or_run("sampling", lambda: draw_sample(posts, store, settings), "sampling" in chosen)
     if chosen & {"cleaning", "descriptive", "annotation", "training", "evaluation", "temporal"}:
         cleaned = store.load_or_run(
             "cleaning",
             lambda: cleaning.drop_invalid(cleaning.preprocess(cleaning.fill_missing(sampled))), "cleaning" in chosen
         )
     if "descriptive" in chosen:
-        reports("descriptive", descriptive_reports(cleaned, settings))
+        reports("descriptive", descriptive_reports(cleaned, store, settings))
     if chosen & {"annotation", "training", "evaluation"}:
-        annotated = store.load_or_run("annotation", lambda: annotate(cleaned, settings), "annotation" in chosen)
+        annotated = store.load_or_run("annotation", lambda: annotate(cleaned, store, settings), "annotation" in chosen)
     if chosen & {"training", "evaluation"}:
         scored = store.load_or_run("training", lambda: train_and_score(annotated), "training" in chosen)
         if "evaluation" in chosen:
@@ -173,9 +180,9 @@ def run_study(posts: DataFrame, root: str, steps: Iterable[str] = STEPS,
     return written
 
 
-def annotate(cleaned: DataFrame, settings: StudySettings = StudySettings()) -> DataFrame:
+def annotate(cleaned: DataFrame, store: StageStore, settings: StudySettings = StudySettings()) -> DataFrame:
     """Draw rows to annotate (each post once, however often it was drawn) and label the clear ones."""
-    once = cleaning.dedupe(cleaned.drop("draw"), ("id",), ("created_utc", "text"))
+    once = store.save("annotation_pool", cleaning.dedupe(cleaned.drop("draw"), ("id",), ("created_utc", "text")))
     drawn = sampling.annotation_sample(once, settings.annotation_rows)
     return labelling.auto_label(labelling.score_labels(drawn))
 
