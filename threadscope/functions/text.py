@@ -95,6 +95,8 @@ def _bits(*spans: str) -> str:
     return "".join(f"\\x{code:02x}" for a, b in spans for code in range(ord(a), ord(b) + 1))
 
 
+# A cheap test in front of a costly class: nearly all characters fail it.
+_NON_ASCII = r"(?=[^\x00-\x7f])"
 _SPACE_BITS = _bits("\t\r", "\x1c\x20")
 _OTHER_SPACE_BITS = _bits("\t\r", "\x1c\x1f")
 _WORD_BITS = _bits("az", "09", "__")
@@ -133,7 +135,7 @@ def squash_whitespace(col: Column, ascii_text: bool = False) -> Column:
     ``ascii_text`` promises text without other characters; the regex engine has a faster class for that.
     """
     if not ascii_text:
-        col = F.regexp_replace(col, f"[^\\x00-\\x7f](?<=[{WS_WIDE}])", " ")
+        col = F.regexp_replace(col, f"{_NON_ASCII}[{WS_WIDE}]", " ")
     return F.trim(F.regexp_replace(col, f"(?: [{_SPACE_BITS}]|[{_OTHER_SPACE_BITS}])[{_SPACE_BITS}]*", " "))
 
 
@@ -146,7 +148,7 @@ def keep_basic_chars(col: Column, ascii_text: bool = False) -> Column:
     kept = F.regexp_replace(col, f"[{_DROPPED_BITS}]", "")
     if ascii_text:
         return kept
-    return F.regexp_replace(kept, rf"[^\x00-\x7f](?<![\p{{L}}\p{{N}}{WS_WIDE}])", "")
+    return F.regexp_replace(kept, rf"{_NON_ASCII}[^\p{{L}}\p{{N}}{WS_WIDE}]", "")
 
 
 def squash_punctuation(col: Column) -> Column:
@@ -212,15 +214,16 @@ def _swap_chars(col: Column, table: Mapping[str, str], pad: str = "") -> Column:
     listed = _wide_class(table)
     # Listed characters come out one by one, the text between them in long runs, so few pieces are looked up.
     pieces = F.lit(f"[{listed}]|[^{listed}]+")
-    return _guarded(
-        col, has_non_ascii(col) & col.rlike(f"[{listed}]"),
-        lambda x: F.array_join(
-            F.transform(
-                F.regexp_extract_all(x, pieces, F.lit(0)),
-                lambda piece: F.when(F.length(piece) == 1, F.coalesce(F.try_element_at(names, piece), piece)).otherwise(piece),
-            ), "",
-        ),
-    )
+    holds = f"{_NON_ASCII}[{listed}]"
+
+    def swap(text: Column) -> Column:
+        found = F.transform(
+            F.regexp_extract_all(text, pieces, F.lit(0)),
+            lambda p: F.when(F.length(p) == 1, F.coalesce(F.try_element_at(names, p), p)).otherwise(p),
+        )
+        return F.when(has_non_ascii(text) & text.rlike(holds), F.array_join(found, "")).otherwise(text)
+
+    return let(col, swap)
 
 
 def has_non_ascii(col: Column) -> Column:
@@ -237,8 +240,7 @@ def to_ascii(col: Column) -> Column:
     single, several = ascii_residues()
     opened = _swap_chars(col, several)
     mapped = F.translate(opened, "".join(single), "".join(single.values()))
-    # The look-behind runs on non-ASCII characters only and spares white space.
-    return F.regexp_replace(mapped, rf"[^\x00-\x7f](?<![{WS_WIDE}])", "")
+    return F.regexp_replace(mapped, f"{_NON_ASCII}[^{WS_WIDE}]", "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
