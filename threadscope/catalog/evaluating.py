@@ -60,14 +60,14 @@ def average_precision(spark, sf):
     return evaluation.average_precision(eval_long(spark, sf), EVAL_LABELS)
 
 
-# The amount of a line as score of its return flag: many distinct scores, so many blocks of running totals.
-LINES = """lines as (select l_orderkey * 10 + l_linenumber as id, 'returned' as label, cast(l_returnflag = 'R' as int) as y_true,
+# The amount of a line as score of its return flag, per line status: many distinct scores, so many blocks of running totals.
+LINES = """lines as (select l_orderkey * 10 + l_linenumber as id, l_linestatus as label, cast(l_returnflag = 'R' as int) as y_true,
   cast(l_quantity > 25 as int) as y_pred, l_extendedprice as score from lineitem), e as (select * from lines)"""
 
 
 def lines(spark, sf):
     return table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("returned").alias("label"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linestatus").alias("label"),
         (F.col("l_returnflag") == "R").cast("int").alias("y_true"), (F.col("l_quantity") > 25).cast("int").alias("y_pred"),
         F.col("l_extendedprice").alias("score"))
 
@@ -75,7 +75,7 @@ def lines(spark, sf):
 @query("roc_points_lineitem", f"""with {LINES}, {SCORED} select label, round(score, 6) as threshold,
   round(cn / n, 6) as fpr, round(cp / p, 6) as tpr from cum""")
 def roc_points_lineitem(spark, sf):
-    return evaluation.roc_points(lines(spark, sf), ("returned",))
+    return evaluation.roc_points(lines(spark, sf), ("F", "O"))
 
 
 @query("class_imbalance", f"""with {S.EVAL} select label, cast(sum(y_true) as bigint) as positive_count, count(*) as total_count,
