@@ -9,33 +9,36 @@ BROADCAST_ROWS = 500_000
 SALTS = 32
 
 
-def join_words(tokens: DataFrame, table: DataFrame, column: str, max_rows: int = BROADCAST_ROWS,
+def join_words(tokens: DataFrame, table: DataFrame, column: str, how: str = "left", max_rows: int = BROADCAST_ROWS,
                salts: int = SALTS) -> DataFrame:
-    """Left join on a word column whose values are very uneven.
+    """Join on a word column whose values are very uneven.
 
     The table's size is checked with a bounded count: up to ``max_rows`` rows it is broadcast. Beyond that both sides
     are salted, so that the occurrences of one common word spread over ``salts`` tasks.
     """
     if table.limit(max_rows + 1).count() <= max_rows:
-        return tokens.join(F.broadcast(table), column, "left")
+        return tokens.join(F.broadcast(table), column, how)
     salted = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     seed = F.pmod(F.xxhash64(*[c for c in tokens.columns if c != column]), F.lit(salts)).cast("int")
-    return tokens.withColumn("_salt", seed).join(salted, [column, "_salt"], "left").drop("_salt")
+    return tokens.withColumn("_salt", seed).join(salted, [column, "_salt"], how).drop("_salt")
 
 
 def lemmatize_by_table(df: DataFrame, lemmas: DataFrame, id_col: str = "id", tokens: str = "tokens",
                        max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Replace tokens by the lemma of a (token, lemma) table; order is kept, unknown tokens stay."""
-    words = df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
-    joined = join_words(words, lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")), "token", max_rows)
-    rebuilt = (
-        joined.select(id_col, F.struct("pos", F.coalesce("lemma", "token").alias("word")).alias("item"))
-        .groupBy(id_col).agg(F.sort_array(F.collect_list("item")).alias("_items"))
+    """Replace tokens by the lemma of a (token, lemma) table; order is kept, unknown tokens stay.
+
+    Each post looks up its distinct tokens and gets back a small map of those found; its token list is never taken apart
+    and put together again.
+    """
+    words = df.select(id_col, F.explode(F.array_distinct(tokens)).alias("token"))
+    found = join_words(words, lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")), "token", "inner", max_rows)
+    maps = found.groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas")
     )
-    empty = F.array().cast("array<string>")
+    replaced = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
     return (
-        df.join(rebuilt, id_col, "left")
-        .withColumn(tokens, F.coalesce(F.transform("_items", lambda i: i["word"]), empty)).drop("_items")
+        df.join(maps, id_col, "left")
+        .withColumn(tokens, F.when(F.col("_lemmas").isNull(), F.col(tokens)).otherwise(replaced)).drop("_lemmas")
     )
 
 
@@ -43,16 +46,12 @@ def score_sentiment(df: DataFrame, polarity: DataFrame, id_col: str = "id", toke
                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``sentiment``: mean polarity over the tokens found in a (token, polarity) table, 0 without a hit.
 
-    Tokens are counted per post first, so a post sends each distinct word once. A null token list gives null.
+    Only tokens found in the table reach the shuffle. A null token list gives null.
     """
-    counted = df.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(
-        F.count(F.lit(1)).alias("times")
-    )
     scores = polarity.groupBy("token").agg(F.avg(F.col("polarity").cast("double")).alias("polarity"))
-    hits = join_words(counted, scores, "token", max_rows).filter("polarity is not null")
-    per_post = hits.groupBy(id_col).agg(
-        (F.sum(F.col("polarity") * F.col("times")) / F.sum("times")).alias("_mean")
-    )
+    words = df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
+    hits = join_words(words, scores, "token", "inner", max_rows)
+    per_post = hits.groupBy(id_col).agg(F.avg("polarity").alias("_mean"))
     return (
         df.join(per_post, id_col, "left")
         .withColumn("sentiment", F.when(F.col(tokens).isNotNull(), F.coalesce("_mean", F.lit(0.0)))).drop("_mean")
