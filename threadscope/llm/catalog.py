@@ -1,6 +1,6 @@
 """All queries of the subpackage and their SQL."""
 
-from threadscope.llm import line_dedup, toxicity  # noqa: F401
+from threadscope.llm import line_dedup, simhash, toxicity  # noqa: F401
 from threadscope.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
