@@ -1,4 +1,9 @@
-"""Documents to training sequences: each stage calls one operator of ``threadscope.llm`` on all its predecessor kept."""
+"""Documents to training sequences: each stage calls one operator of ``threadscope.llm`` on all its predecessor kept.
+
+Stages before the last return the columns of ``documents``, whatever these are; a null text is kept as null and treated
+as empty. Toxic documents go, shared lines stay in their largest document, one document of each near-duplicate group
+stays (the smallest id), documents that hold a benchmark item go, and the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +11,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadscope.llm import line_dedup
+from threadscope.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from threadscope.llm.common import checkpoint_dir, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the rejection score; the classifier learns from the ``labels`` table."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines stay in one document only; a document that loses all its lines stays with an empty text."""
+    """Lines that three or more documents share stay in one; a document may be left with an empty text."""
     return line_dedup.dedup_lines(docs)
 
 
-STAGES = [("line dedup", line_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of fingerprints that link at 3 bits."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and the sequence each belongs to."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: The classifier and the tokenizer cannot be put in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
