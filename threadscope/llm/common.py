@@ -55,8 +55,8 @@ def utf8(col) -> F.Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``limit`` bytes of text (or one row)."""
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` bytes of text (or one row); numpy needs about 100 bytes for each of them."""
     for batch in batches:
         col = batch.column(column)
         ends = np.cumsum(pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 4 << 20):
             rows, number, starts, sizes, sums = [], [], [], [], []
             for row, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
                 ids += end
