@@ -272,19 +272,24 @@ def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, component) of every distinct fingerprint of ``prints`` (doc, fp)."""
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc").alias("rep")))
+    """(fp, component, rows) of every distinct fingerprint of ``prints`` (doc, fp)."""
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")))
     edges = checkpoint(links(nodes, make_plan(nodes, radius), radius))
     labels = nodes.select(F.col("fp").alias("node"), F.col("rep").alias("label"))
     found = least_labels(edges, labels)
     joined = nodes.join(found.select(F.col("node").alias("fp"), "label"), "fp", "left")
-    return joined.select("fp", F.coalesce("label", "rep").alias("component"))
+    return joined.select("fp", F.coalesce("label", "rep").alias("component"), "rows")
 
 
 def near_groups(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     """(doc, fp, component) of every row of ``docs``."""
     prints = checkpoint(fingerprints(docs, size))
-    return prints.join(components(prints, radius), "fp")
+    found = checkpoint(components(prints, radius))
+    # At most 1,000 fingerprints hold over a thousandth of the rows each; these are not joined by a shuffle.
+    hot = F.col("rows") * 1000 > F.lit(prints.count())
+    few, many = F.broadcast(found.filter(hot).drop("rows")), found.filter(~hot).drop("rows")
+    rest = prints.join(few.select("fp"), "fp", "left_anti")
+    return prints.join(few, "fp").unionByName(rest.join(many, "fp"))
 
 
 def one_of_each(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
