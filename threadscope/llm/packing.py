@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from threadscope.llm.common import checkpoint, query, small_batches, table, utf8
 
 LENGTH, END = 4096, 1
-CACHE = 300_000
+CACHE = 800_000
 
 
 def default_tokenizer() -> str:
@@ -38,27 +38,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else the next beyond 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, extra = [], 256
+    for b in range(256):
+        out.append(chr(b if b in shown else extra))
+        extra += b not in shown
+    return out
+
+
 class Encoder:
-    """Token ids as little-endian 32-bit bytes.
+    """Token ids as little-endian 32-bit bytes, equal to what the tokenizer gives for the whole text.
 
     The pre-tokenizer of this vocabulary never joins text across blanks, so blank-separated chunks are encoded on their
-    own and kept, up to a bounded number.
+    own and kept, up to a bounded number. It lower-cases and puts a word and the marks after it into tokens of their own;
+    for Latin-1 texts, which normalization leaves alone, that is done beforehand, so that fewer chunks differ, and words of
+    small letters go straight to the model. All other chunks take the tokenizer's whole path.
     """
 
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(model), {}
+        self.tokenizer, self.known, self.letters = Tokenizer.from_str(model), {}, byte_letters()
+        self.words = self.tokenizer.model
+
+    def chunks(self, text: str) -> list[str]:
+        if "<|" not in text:  # special tokens are matched before lower-casing
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
+    def word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.words.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        chunks = [self.chunks(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        new = list({c for part in chunks for c in part if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        whole, split = set(), []
+        for c in {c for part in chunks for c in part if c not in known}:
+            word = c.rstrip(".,")
+            if word.isalpha() and word == word.lower() and max(word) < "\u0100":
+                split.append((c, word, c[len(word):]))
+                whole.add(c[len(word):])
+            else:
+                whole.add(c)
+        rest = [c for c in whole if c not in known]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             known[c] = array("I", e.ids).tobytes()
+        for c, word, marks in split:
+            if word not in known:
+                known[word] = self.word(word)
+            known[c] = known[word] + known[marks]
         return [b"".join([known[c] for c in part]) for part in chunks]
 
 
