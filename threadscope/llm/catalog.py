@@ -1,6 +1,6 @@
 """All queries of the subpackage and their SQL."""
 
-from threadscope.llm import decontaminate, line_dedup, packing, secrets, sharding, simhash, topk, toxicity  # noqa: F401
+from threadscope.llm import decontaminate, licenses, line_dedup, packing, secrets, sharding, simhash, topk, toxicity  # noqa: F401
 from threadscope.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -183,3 +183,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``left`` joined to ``right``, which has each ``key`` once and in ``rows`` how many rows of ``left`` have it.
+
+    Keys that hold more than one row in ``share`` are fewer than ``share``; they are broadcast, so that none of them
+    becomes one task. All others go through a shuffle. With ``how="left"`` rows without a partner stay.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * share > F.lit(total)
+    few, many = F.broadcast(right.filter(hot).drop(rows)), right.filter(~hot).drop(rows)
+    rest = left.join(few.select(key), key, "left_anti")
+    return left.join(few, key).unionByName(rest.join(many, key, how))

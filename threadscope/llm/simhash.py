@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadscope.llm.common import checkpoint, fresh, query, shuffle_partitions, table, utf8
+from threadscope.llm.common import checkpoint, fresh, join_counted, query, shuffle_partitions, table, utf8
 
 LOWEST = -(1 << 63)
 
@@ -285,11 +285,7 @@ def near_groups(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     """(doc, fp, component) of every row of ``docs``."""
     prints = checkpoint(fingerprints(docs, size))
     found = checkpoint(components(prints, radius))
-    # At most 1,000 fingerprints hold over a thousandth of the rows each; these are not joined by a shuffle.
-    hot = F.col("rows") * 1000 > F.lit(prints.count())
-    few, many = F.broadcast(found.filter(hot).drop("rows")), found.filter(~hot).drop("rows")
-    rest = prints.join(few.select("fp"), "fp", "left_anti")
-    return prints.join(few, "fp").unionByName(rest.join(many, "fp"))
+    return join_counted(prints, found, "fp", "rows")
 
 
 def one_of_each(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
