@@ -101,7 +101,7 @@ class Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            self.up = np.cumprod(np.concatenate([[1], np.full(size - 1, BASE, np.uint64)]).astype(np.uint64))
+            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, BASE, np.uint64)]))
             inverse = pow(BASE, -1, 1 << 64)
             self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, inverse, np.uint64)]))
         return self.up, self.down
