@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Iterable
-from functools import cache
-from pathlib import Path
 
 from threadscope import presets
 from threadscope.catalog.fixtures import GROUPS, PHRASES
@@ -109,23 +106,12 @@ def cleaned_expr(text: str, compat: bool = False) -> str:
     return f"trim({ascii_only(squash_marks(basic_chars(name_emoji(squash_space(expr)))))})"
 
 
-@cache
-def stop_words() -> tuple[str, ...]:
-    """Spark's English list, read from its jar because the SQL side has no session."""
-    import pyspark
-
-    for jar in Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"):
-        with zipfile.ZipFile(jar) as archive:
-            return tuple(archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n"))
-    raise FileNotFoundError("spark-mllib jar")
-
-
 def tokens_expr(text: str) -> str:
     return f"regexp_extract_all(lower({text}), {lit(T.TOKEN)})"
 
 
 def kept_tokens_expr(tokens: str) -> str:
-    stop = lits(sorted({w for w in stop_words() if w} | set(presets.DOMAIN_STOP_WORDS)))
+    stop = lits(sorted({*presets.ENGLISH_STOP_WORDS, *presets.DOMAIN_STOP_WORDS}))
     return (
         f"[t for t in {tokens} if t not in ({stop}) and length(t) >= 2 and not regexp_matches(t, '^[0-9]+$')"
         f" and not regexp_matches(t, {lit(T.PUNCT_ONLY)})]"

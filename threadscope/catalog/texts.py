@@ -61,10 +61,10 @@ def clean_conversations(spark, sf):
 
 
 @query("remove_stopwords", lambda: f"""with {S.POSTS} select id, array_to_string(
-  [t for t in {S.tokens_expr('text')} if t not in ({S.lits(sorted(w for w in S.stop_words() if w))},
+  [t for t in {S.tokens_expr('text')} if t not in ({S.lits(presets.ENGLISH_STOP_WORDS)},
    {S.lits(presets.DOMAIN_STOP_WORDS)})], ' ') as text from posts""")
 def remove_stopwords(spark, sf):
-    stop = [*T.default_stop_words(spark), *presets.DOMAIN_STOP_WORDS]
+    stop = [*presets.ENGLISH_STOP_WORDS, *presets.DOMAIN_STOP_WORDS]
     return posts(spark, sf).select(
         "id", F.array_join(T.remove_stopwords(T.tokenize(F.col("text")), stop), " ").alias("text"))
 

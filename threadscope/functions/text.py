@@ -308,13 +308,6 @@ def tokenize_words(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(f"[{_WORD_BITS}]+"), F.lit(0))
 
 
-def default_stop_words(spark: SparkSession) -> list[str]:
-    """Spark's English list."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def remove_stopwords(tokens: Column, stop_words: Iterable[str]) -> Column:
     """Drop listed tokens; a long literal list becomes a hash lookup."""
     words = sorted(set(stop_words))

@@ -19,7 +19,7 @@ def preprocess(df: DataFrame, column: str = "text", min_length: int = presets.MI
 
     A text shorter than ``min_length`` after cleaning becomes an empty, invalid record. Tokens stay an array.
     """
-    stop = list(T.default_stop_words(df.sparkSession) if stop_words is None else stop_words) + list(extra_stop_words)
+    stop = list(presets.ENGLISH_STOP_WORDS if stop_words is None else stop_words) + list(extra_stop_words)
     empty = F.array().cast("array<string>")
 
     def record(clean: Column) -> Column:
