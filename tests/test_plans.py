@@ -56,3 +56,25 @@ def test_no_plan_has_a_product_or_python(spark):
         text = plan(run(spark, SF))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
             assert bad not in text, (name, bad)
+
+
+def test_two_years_take_one_scan_with_a_pushed_range(spark, tmp_path):
+    rows = spark.sql("select concat('fear ', id) as text, timestamp'2023-06-01' + make_dt_interval(cast(id as int)) as created_ts, 'f' as source_file from range(1000)")
+    rows.write.parquet(str(tmp_path / "p"))
+    tidy = reports.tidy_years(spark.read.parquet(str(tmp_path / "p")), (2024, 2025))
+    plan = reports.insights(reports.pct_changes(reports.compare_years(tidy, 2024, 2025)))._jdf.queryExecution().optimizedPlan().toString()
+    text = tidy._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 1 and "PushedFilters: [IsNotNull(created_ts), GreaterThanOrEqual(created_ts" in text
+    assert plan.count("Relation [") <= 2
+    got = {(r["year"], r["metric"]): r["value"] for r in tidy.collect()}
+    assert got[2024, "total_records"] == 366 and got[2025, "total_records"] == 365
+
+
+def test_curves_take_their_labels_from_the_data(spark):
+    from threadscope.operators import evaluation
+
+    rows = [(i, label, i % 2, (i * 7 % 10) / 10) for i in range(40) for label in ("no preset", "quality")] + [(1, None, 1, 0.5)]
+    df = spark.createDataFrame(rows, "id long, label string, y_true int, score double")
+    assert {r["label"] for r in evaluation.roc_auc(df).collect()} == {"no preset", "quality", "micro_average", "macro_average"}
+    assert {r["label"] for r in evaluation.roc_points(df).collect()} == {"no preset", "quality"}
+    assert {r["label"] for r in evaluation.pr_points(df, ["quality"]).collect()} == {"quality"}

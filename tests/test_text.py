@@ -30,6 +30,8 @@ def apply(spark, expr, values):
     (T.remove_emoji, "漢字 ok", "漢字 ok"),
     (lambda c: T.remove_emoji(c, wide=True), "漢字 ok", " ok"),
     (T.describe_emoji, "hi 😀x", "hi  grinning_face x"),
+    (T.describe_emoji, "a🇺🇸b", "a regional_indicator_symbol_letter_u  regional_indicator_symbol_letter_s b"),
+    (T.describe_emoji, "⭐⌚🀄", " white_medium_star  watch  mahjong_tile_red_dragon "),
     (T.squash_whitespace, "  a \t\n b c  d ", "a b c d"),
     (T.keep_basic_chars, "a@b #c 𝐀é_1!?", "ab c 𝐀é_1!?"),
     (T.squash_punctuation, "a... b!! c??! d", "a. b! c?! d"),

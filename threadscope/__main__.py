@@ -44,8 +44,7 @@ def main() -> None:
         tables = {"files": reports.file_report(counts), "months": reports.monthly_report(counts),
                   "years": reports.yearly_report(counts), "rollup": reports.rollup_report(counts)}
     else:
-        a, b = (reports.tidy_year(posts, year) for year in args.years)
-        changes = reports.pct_changes(reports.compare_years(a, b))
+        changes = reports.pct_changes(reports.compare_years(reports.tidy_years(posts, args.years), *args.years))
         tables = {"changes": changes, "top_changes": reports.top_changes(changes), "insights": reports.insights(changes)}
     for name, table in tables.items():
         writers.write_report(table, f"{args.output}/reports/{name}", mode="overwrite")

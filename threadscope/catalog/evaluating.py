@@ -51,13 +51,13 @@ def _macro(name: str) -> str:
   coalesce((max(p) * max(n) - sum(pos * cn) + sum(pos * neg) / 2) / nullif(max(p) * max(n), 0), 0) as v from cum group by 1)
 {_macro('roc_auc')}""")
 def roc_auc(spark, sf):
-    return evaluation.roc_auc(eval_long(spark, sf), EVAL_LABELS)
+    return evaluation.roc_auc(eval_long(spark, sf))
 
 
 @query("average_precision", f"""with {WITH_MICRO}, {SCORED}, per as (select label,
   coalesce(sum(pos * (cp / (cp + cn))) / nullif(max(p), 0), 0) as v from cum group by 1) {_macro('average_precision')}""")
 def average_precision(spark, sf):
-    return evaluation.average_precision(eval_long(spark, sf), EVAL_LABELS)
+    return evaluation.average_precision(eval_long(spark, sf))
 
 
 # The amount of a line as score of its return flag, per line status: many distinct scores, so many blocks of running totals.
@@ -75,7 +75,7 @@ def lines(spark, sf):
 @query("roc_points_lineitem", f"""with {LINES}, {SCORED} select label, round(score, 6) as threshold,
   round(cn / n, 6) as fpr, round(cp / p, 6) as tpr from cum""")
 def roc_points_lineitem(spark, sf):
-    return evaluation.roc_points(lines(spark, sf), ("F", "O"))
+    return evaluation.roc_points(lines(spark, sf))
 
 
 @query("class_imbalance", f"""with {S.EVAL} select label, cast(sum(y_true) as bigint) as positive_count, count(*) as total_count,
@@ -110,13 +110,13 @@ def error_examples(spark, sf):
 @query("roc_points", f"""with {S.EVAL}, e as (select * from eval_long), {SCORED} select label, round(score, 6) as threshold,
   round(cn / n, 6) as fpr, round(cp / p, 6) as tpr from cum""")
 def roc_points(spark, sf):
-    return evaluation.roc_points(eval_long(spark, sf), EVAL_LABELS)
+    return evaluation.roc_points(eval_long(spark, sf))
 
 
 @query("pr_points", f"""with {S.EVAL}, e as (select * from eval_long), {SCORED} select label, round(score, 6) as threshold,
   round(cp / (cp + cn), 6) as precision, round(cp / p, 6) as recall from cum""")
 def pr_points(spark, sf):
-    return evaluation.pr_points(eval_long(spark, sf), EVAL_LABELS)
+    return evaluation.pr_points(eval_long(spark, sf))
 
 
 @query("label_ranking", f"""with {RATES}, o as (select *, row_number() over (order by f1_score desc, label) as k from r)

@@ -92,8 +92,7 @@ CHANGES = f"""{COMPARED}, changes as (
 
 
 def compared(spark, sf):
-    rows = posts(spark, sf)
-    return reports.compare_years(reports.tidy_year(rows, 2024), reports.tidy_year(rows, 2025))
+    return reports.compare_years(reports.tidy_years(posts(spark, sf), (2024, 2025)), 2024, 2025)
 
 
 @query("compare_years", f"with {COMPARED} select * from compared")

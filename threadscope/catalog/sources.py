@@ -56,7 +56,7 @@ def read_csv_tolerant(spark, sf):
     docs.filter("lang = 'fr'").select("doc_id", "source", "text").write.option("encoding", "ISO-8859-1").option(
         "escape", '"').csv(latin)
     found = files.discover_files(spark, utf, (".txt",)).unionByName(files.discover_files(spark, latin))
-    names = files.paths_of(found, 10_000)
+    names = files.paths_of(found)
     rows = readers.read_csv_tolerant(spark, names, ["doc_id", "source", "text"], header=False)
     langs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
     return rows.join(langs, "doc_id").groupBy("lang").agg(
@@ -105,7 +105,7 @@ def with_lineage(spark, sf):
   (select distinct o_orderpriority from orders order by 1 limit 2) group by 1""")
 def first_files(spark, sf):
     path = priority_files(spark, sf)
-    chosen = files.paths_of(files.first_files(files.discover_files(spark, path), 2), 2)
+    chosen = files.paths_of(files.first_files(files.discover_files(spark, path), 2))
     return spark.read.option("basePath", path).parquet(*chosen).groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"))
 

@@ -32,7 +32,14 @@ EMOJI_WIDE = (
     r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
     r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}"
 )
-EMOJI_NAME_BLOCKS = ((0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1FAFF), (0x2600, 0x27BF))
+# Pictograph blocks, and the single characters of other blocks that are shown as emoji. Letters of flags get
+# a name each; the joiners of sequences have none, so the parts of a sequence are named one by one.
+EMOJI_NAME_BLOCKS = (
+    (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F7E0, 0x1F7EB), (0x1F900, 0x1FAFF), (0x2600, 0x27BF), (0x1F1E6, 0x1F1FF),
+    (0x231A, 0x231B), (0x23E9, 0x23F3), (0x23F8, 0x23FA), (0x25FD, 0x25FE), (0x2B1B, 0x2B1C), (0x2B50, 0x2B50), (0x2B55, 0x2B55),
+    (0x1F004, 0x1F004), (0x1F0CF, 0x1F0CF), (0x1F18E, 0x1F18E), (0x1F191, 0x1F19A), (0x1F201, 0x1F201), (0x1F21A, 0x1F21A),
+    (0x1F22F, 0x1F22F), (0x1F232, 0x1F236), (0x1F238, 0x1F23A), (0x1F250, 0x1F251),
+)
 
 TOKEN = r"[a-z0-9_]+|[^a-z0-9_" + WS + "]"
 PUNCT_ONLY = r"^[!-/:-@\[-`{-~]+$"

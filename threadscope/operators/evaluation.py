@@ -66,8 +66,11 @@ def _score_counts(df: DataFrame, micro: bool) -> DataFrame:
     )
 
 
-def _curve(df: DataFrame, labels: Sequence[str], micro: bool) -> DataFrame:
-    names = [*labels, MICRO] if micro else list(labels)
+def _curve(df: DataFrame, labels: Sequence[str] | None, micro: bool) -> DataFrame:
+    """Running totals of all labels of the data, or of the listed ones."""
+    if labels is not None:
+        df = df.filter(F.col("label").isin(*labels))
+    names = None if labels is None else [*labels, MICRO] if micro else list(labels)
     return running_totals(_score_counts(df, micro), "label", names, "score", ["pos", "neg"])
 
 
@@ -83,7 +86,7 @@ def _with_macro(per_label: DataFrame, value: str) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, labels: Sequence[str] = presets.LABELS) -> DataFrame:
+def roc_auc(df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """Area under the ROC curve per label, macro and micro; 0 where only one class occurs. Ties count half."""
     d = lambda c: F.col(c).cast("double")
     sums = _curve(df, labels, micro=True).groupBy("label").agg(
@@ -94,7 +97,7 @@ def roc_auc(df: DataFrame, labels: Sequence[str] = presets.LABELS) -> DataFrame:
     return _with_macro(sums.select("label", _ratio(area, F.col("p") * F.col("n")).alias("roc_auc")), "roc_auc")
 
 
-def average_precision(df: DataFrame, labels: Sequence[str] = presets.LABELS) -> DataFrame:
+def average_precision(df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """Sum of precision times recall step over the thresholds, per label, macro and micro."""
     hit = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     sums = _curve(df, labels, micro=True).groupBy("label").agg(
@@ -104,24 +107,24 @@ def average_precision(df: DataFrame, labels: Sequence[str] = presets.LABELS) ->
     return _with_macro(sums.select("label", value.alias("average_precision")), "average_precision")
 
 
-def _with_totals(curve: DataFrame) -> DataFrame:
-    """Positives and negatives per label beside each point; one row per listed label, so the broadcast is bounded."""
-    totals = curve.groupBy("label").agg(F.max("cum_pos").alias("p"), F.max("cum_neg").alias("n"))
-    return curve.join(F.broadcast(totals), "label")
+def _with_totals(curve: DataFrame, counts: DataFrame) -> DataFrame:
+    """Positives and negatives per label beside each point, from the counts per score; the curve is built once."""
+    totals = counts.groupBy("label").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return curve.join(totals, "label")
 
 
-def roc_points(df: DataFrame, labels: Sequence[str] = presets.LABELS) -> DataFrame:
+def roc_points(df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """False and true positive rate at each distinct score used as threshold."""
-    return _with_totals(_curve(df, labels, micro=False)).select(
+    return _with_totals(_curve(df, labels, micro=False), _score_counts(df, micro=False)).select(
         "label", F.round("score", 6).alias("threshold"),
         F.round(_ratio(F.col("cum_neg"), F.col("n")), 6).alias("fpr"),
         F.round(_ratio(F.col("cum_pos"), F.col("p")), 6).alias("tpr"),
     )
 
 
-def pr_points(df: DataFrame, labels: Sequence[str] = presets.LABELS) -> DataFrame:
+def pr_points(df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """Precision and recall at each distinct score used as threshold."""
-    return _with_totals(_curve(df, labels, micro=False)).select(
+    return _with_totals(_curve(df, labels, micro=False), _score_counts(df, micro=False)).select(
         "label", F.round("score", 6).alias("threshold"),
         F.round(F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), 6).alias("precision"),
         F.round(_ratio(F.col("cum_pos"), F.col("p")), 6).alias("recall"),

@@ -67,16 +67,25 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def running_totals(df: DataFrame, key: str, key_values: Sequence[str], value: str, sums: Sequence[str],
+KEYS_BROADCAST = 10_000
+
+
+def running_totals(df: DataFrame, key: str, key_values: Sequence[str] | None, value: str, sums: Sequence[str],
                    splits: int = 256) -> DataFrame:
     """Descending running totals of ``sums`` per key: for each row, the total over rows with a value not below its own.
 
     ``df`` has one row per (key, value). The cut points of a key are ``splits`` of its values picked by smallest hash,
-    so every evaluation cuts alike. Both small tables joined back have at most ``len(key_values) * (splits + 1)`` rows,
-    which bounds the broadcasts. Rows whose key is not listed are dropped.
+    so every evaluation cuts alike. Without ``key_values`` all keys count (null is none); with them, only those listed.
+    Both small tables joined back have ``splits + 1`` rows a key. They are broadcast if there are at most
+    ``KEYS_BROADCAST`` keys, which is looked up first; beyond that the joins shuffle.
     """
     step = math.isqrt(splits)
-    base = df.filter(F.col(key).isin(*key_values))
+    if key_values is None:
+        base = df.filter(F.col(key).isNotNull())
+        few = len(base.select(key).distinct().take(KEYS_BROADCAST + 1)) <= KEYS_BROADCAST
+    else:
+        base, few = df.filter(F.col(key).isin(*key_values)), len(key_values) <= KEYS_BROADCAST
+    small = F.broadcast if few else lambda t: t
     picked = Window.partitionBy(key).orderBy("_h", value)
     cuts = (
         base.select(key, value, F.xxhash64(key, value).alias("_h"))
@@ -89,7 +98,7 @@ def running_totals(df: DataFrame, key: str, key_values: Sequence[str], value: st
     not_above = lambda points: F.size(F.filter(points, lambda c: c <= F.col(value)))
     start = F.greatest(F.col("_c") - 1, F.lit(0)) * step
     blocked = (
-        base.join(F.broadcast(cuts), key).withColumn("_c", not_above(F.col("_coarse")))
+        base.join(small(cuts), key).withColumn("_c", not_above(F.col("_coarse")))
         .withColumn("_block", F.when(F.col("_c") == 0, 0).otherwise(
             start + not_above(F.slice("_cuts", start + 1, F.lit(step)))))
         .drop("_cuts", "_coarse", "_c")
@@ -100,7 +109,7 @@ def running_totals(df: DataFrame, key: str, key_values: Sequence[str], value: st
         key, "_block", *[F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_o_{s}") for s in sums]
     )
     inside = Window.partitionBy(key, "_block").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocked.join(F.broadcast(offsets), [key, "_block"])
+    out = blocked.join(small(offsets), [key, "_block"])
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.sum(s).over(inside) + F.col(f"_o_{s}"))
     return out.drop("_block", *[f"_o_{s}" for s in sums])

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from threadscope import presets
 from threadscope.functions import timeparts
@@ -107,37 +108,46 @@ def year_summary(yearly: DataFrame) -> DataFrame:
 # --- two years side by side ------------------------------------------------------------------------------------------
 
 
-def tidy_year(df: DataFrame, year: int, text: str = "text", ts: str = "created_ts", file: str = "source_file",
-              stages: Mapping[str, Sequence[str]] = presets.STAGES_6_WIDE,
-              fear: Sequence[str] = presets.FEAR_9, question: Sequence[str] = presets.QA_9) -> DataFrame:
-    """One year as (kind, metric, value): totals, rates, days covered and stage counts."""
-    rows = df.filter(F.year(ts) == year).select(
-        F.col(text).alias("_text"), F.col(ts).alias("_ts"), F.col(file).alias("_file")
-    )
+def _in_years(df: DataFrame, ts: str, first: int, last: int) -> Column:
+    """A half-open time range in the column's own type, so that it reaches the scan."""
+    kind = df.schema[ts].dataType
+    kind = kind.simpleString() if isinstance(kind, (TimestampType, TimestampNTZType, DateType)) else "timestamp"
+    bound = lambda year: F.lit(f"{year:04d}-01-01 00:00:00").cast(kind)
+    return (F.col(ts) >= bound(first)) & (F.col(ts) < bound(last + 1))
+
+
+def tidy_years(df: DataFrame, years: Sequence[int], text: str = "text", ts: str = "created_ts", file: str = "source_file",
+               stages: Mapping[str, Sequence[str]] = presets.STAGES_6_WIDE,
+               fear: Sequence[str] = presets.FEAR_9, question: Sequence[str] = presets.QA_9) -> DataFrame:
+    """Each year as (year, kind, metric, value): totals, rates, days covered and stage counts, from one scan.
+
+    A year without rows has totals of 0.
+    """
+    rows = df.filter(_in_years(df, ts, min(years), max(years)) & F.year(ts).isin(*years)).select(
+        F.col(text).alias("_text"), F.col(ts).alias("_ts"), F.col(file).alias("_file"))
     tagged = tag_posts(rows, "_text", fear, question, stages)
-    one = tagged.agg(
-        F.count(F.lit(1)).alias("total_records"), F.count_if("has_fear").alias("total_fear"),
-        F.count_if("is_question").alias("total_qa"),
-        *[F.count_if(f"stage_{s}").alias(f"stage_{s}") for s in stages],
-        F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"),
-    )
+    counts = {"total_records": F.count(F.lit(1)), "total_fear": F.count_if("has_fear"), "total_qa": F.count_if("is_question"),
+              **{f"stage_{s}": F.count_if(f"stage_{s}") for s in stages}}
+    found = tagged.groupBy(F.year("_ts").alias("year")).agg(
+        *[c.alias(name) for name, c in counts.items()], F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
+    asked = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(y) for y in years])).alias("year"))
+    every = asked.join(found, "year", "left").fillna(0, list(counts))
     days = F.floor((timeparts.micros(F.col("_hi")) - timeparts.micros(F.col("_lo"))) / 86_400_000_000) + F.lit(1)
-    one = _with_rates(one).withColumn("total_days", days)
+    every = _with_rates(every).withColumn("total_days", days)
     entries = [("summary", c) for c in ("total_records", "total_fear", "total_qa", "fear_rate", "qa_rate",
                                         "total_days")]
     entries += [("stage", f"stage_{s}") for s in stages]
-    return one.select(F.inline(F.array(*[
+    return every.select("year", F.inline(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.lit(c.removeprefix("stage_")).alias("metric"),
                  F.col(c).cast("double").alias("value"))
         for kind, c in entries
     ])))
 
 
-def compare_years(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Full outer join of two tidy reports: (kind, metric, value_a, value_b)."""
-    left = a.withColumnRenamed("value", "value_a")
-    right = b.withColumnRenamed("value", "value_b")
-    return left.join(right, ["kind", "metric"], "full")
+def compare_years(tidy: DataFrame, a: int, b: int) -> DataFrame:
+    """Two years side by side: (kind, metric, value_a, value_b)."""
+    of = lambda year: F.max(F.when(F.col("year") == year, F.col("value")))
+    return tidy.groupBy("kind", "metric").agg(of(a).alias("value_a"), of(b).alias("value_b"))
 
 
 def pct_changes(compared: DataFrame) -> DataFrame:
