@@ -236,13 +236,13 @@ def histogram_words(spark, sf):
     return describe.histogram(saved_cleaned(spark, sf), "word_count")
 
 
-NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @query("correlation_matrix", " union all ".join(
     f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from lineitem" for a in NUMERIC for b in NUMERIC))
 def correlation_matrix(spark, sf):
-    return describe.correlation_matrix(table(spark, sf, "lineitem"), NUMERIC)
+    return describe.correlation_matrix(table(spark, sf, "lineitem"))
 
 
 @query("term_cloud", lambda: f"""with {S.words_cte()}, top as (select word, count(*) as n from words group by 1
@@ -280,12 +280,13 @@ def quality_report(spark, sf):
     return describe.quality_report(rows, ["event_type"], ["day"])
 
 
-@query("quality_documents", """select 'null' as "check", 'text' as "column", count(*) filter (where text is null) as n from documents
-union all select 'null', 'source', count(*) filter (where source is null) from documents
+@query("quality_documents", " union all ".join(
+    f"""select 'null' as "check", '{c}' as "column", count(*) filter (where {c} is null) as n from documents"""
+    for c in ("doc_id", "text", "lang", "source", "n_chars")) + """
 union all select 'empty_text', 'text', count(*) filter (where trim(text) = '') from documents
-union all select 'duplicate_rows', '', (select count(*) from documents) - (select count(*) from (select distinct text, source from documents))""")
+union all select 'duplicate_rows', '', (select count(*) from documents) - (select count(*) from (select distinct * from documents))""")
 def quality_documents(spark, sf):
-    return describe.quality_report(table(spark, sf, "documents").select("text", "source"), ["text"], [])
+    return describe.quality_report(table(spark, sf, "documents"), ["text"], [])
 
 
 @query("text_stats", """select min(length(text)) as min_length, max(length(text)) as max_length,

@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from threadscope import presets
 from threadscope.functions import timeparts
@@ -144,8 +145,16 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return df.filter(x.isNotNull()).groupBy(bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair (both orders) in one aggregate; a pair uses the rows where both are set."""
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of every pair (both orders) in one aggregate; a pair uses the rows where both are set.
+
+    Without a list, all numeric columns of the table.
+    """
+    columns = numeric_columns(df) if columns is None else columns
     pairs = list(combinations_with_replacement(columns, 2))
     one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     rows = [
@@ -158,22 +167,22 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def quality_report(df: DataFrame, text_columns: Sequence[str], time_columns: Sequence[str]) -> DataFrame:
     """Tidy (check, column, n): nulls, empty texts, unparsable times, repeated rows.
 
-    Equal rows are combined before the shuffle, so copies of one row cost one row per task.
+    Repeated rows are counted by a 256-bit digest, so no row's content is shuffled; all other checks are one aggregate.
     """
-    unique = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    total = lambda cond: F.sum(F.when(cond, F.col("_n")).otherwise(0))
-    checks: list[tuple[str, str, Column]] = [("null", c, total(F.col(c).isNull())) for c in df.columns]
-    checks += [("empty_text", c, total(F.trim(F.col(c)) == "")) for c in text_columns]
+    checks: list[tuple[str, str, Column]] = [("null", c, F.count_if(F.col(c).isNull())) for c in df.columns]
+    checks += [("empty_text", c, F.count_if(F.trim(F.col(c)) == "")) for c in text_columns]
     checks += [
         ("invalid_timestamp", c,
-         total(F.col(c).isNull() | F.col(c).cast("string").try_cast("timestamp").isNull())) for c in time_columns
+         F.count_if(F.col(c).isNull() | F.col(c).cast("string").try_cast("timestamp").isNull())) for c in time_columns
     ]
-    checks.append(("duplicate_rows", "", F.sum(F.col("_n") - 1)))
-    one = unique.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(f"_{i}") for i, (_, _, v) in enumerate(checks)])
-    return one.select(F.inline(F.array(*[
+    one = df.agg(*[v.alias(f"_{i}") for i, (_, _, v) in enumerate(checks)])
+    found = one.select(F.inline(F.array(*[
         F.struct(F.lit(kind).alias("check"), F.lit(c).alias("column"), F.col(f"_{i}").alias("n"))
         for i, (kind, c, _) in enumerate(checks)
     ])))
+    row = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    copies = df.groupBy(F.sha2(row, 256)).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
+    return found.unionByName(copies.select(F.lit("duplicate_rows").alias("check"), F.lit("").alias("column"), F.col("n").cast("long").alias("n")))
 
 
 def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
