@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ SEGMENT = GRAM + 2 * REACH
 LOWEST = -(1 << 63)
 FULL = (1 << (REACH + 1)) - 1
 WORDS = 1 << 17  # 64-bit words of the bit table
+KNOWN = 1 << 31
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
@@ -68,13 +70,18 @@ def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(REACH, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, SEGMENT)[at]
     before, after = np.minimum(at, REACH), np.minimum(len(raw) - at - GRAM, REACH)
-    words = np.zeros((len(at), 96), np.uint8)
+    return rows, before, after, segment_keys(rows, before, after)
+
+
+def segment_keys(rows: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of each segment and of its sides."""
+    words = np.zeros((len(rows), 96), np.uint8)
     words[:, :SEGMENT] = rows
     words[:, SEGMENT], words[:, SEGMENT + 1] = before, after
-    h = np.zeros(len(at), np.uint64)
-    for column in np.ascontiguousarray(words).view(np.uint64).T:
+    h = np.zeros(len(rows), np.uint64)
+    for column in words.view(np.uint64).T:
         h = mix(h ^ column) + np.uint64(1)
-    return rows, before, after, h
+    return h
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,14 +115,20 @@ BLOB, LONG, INT = pa.binary(), pa.int64(), pa.int32()
 
 # --- 1: shared anchors ----------------------------------------------------------------------------------------------
 def _send_anchors(ranges: int, slice_bytes: int):
-    """Rows (part, hashes, docs): asked anchors by range; part -1: anchors of one document known to be shared."""
+    """Rows (part, hashes, numbers, docs): asked anchors by range; negative part: shared anchors of one document.
+
+    A hash travels as its upper 48 bits; anchors that agree in them are only candidates. A document is its number within
+    the slice, ``KNOWN`` is added if the slice itself shows that the anchor is shared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in small_batches(batches, "text", slice_bytes):
-            found = [(doc, np.unique(anchors(raw, powers)[1])) for doc, raw in _texts(batch)]
+            found = [(doc, np.unique(anchors(raw, powers)[1] >> np.uint64(16))) for doc, raw in _texts(batch)]
+            found = [(doc, x) for doc, x in found if len(x)]
+            ids, number = np.unique(np.array([d for d, _ in found], np.int64), return_inverse=True)
             h = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
-            doc = np.repeat(np.array([d for d, _ in found], np.int64), [len(x) for _, x in found])
+            doc = np.repeat(number.astype(np.uint32), [len(x) for _, x in found])
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             first = np.ones(len(h), bool)
@@ -124,15 +137,25 @@ def _send_anchors(ranges: int, slice_bytes: int):
             lowest = doc[first]
             both = np.bincount(group[doc != lowest[group]], minlength=len(lowest)) > 0
             known = both[group]
-            rows = [(p, a, b, c) for p, a, b, c in _packed(_by_range(h[first], ranges), h[first], doc[first], both.astype(np.uint8))]
+            six = np.ascontiguousarray(h[first].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+            sent = doc[first] + np.where(both, KNOWN, 0).astype(np.uint32)
+            rows = [(p, a, _tight(b), ids.tobytes()) for p, a, b in _packed(_by_range(h[first] << np.uint64(16), ranges), six, sent)]
             order = np.argsort(doc[known], kind="stable")
             for d, own in _groups(doc[known][order], h[known][order]):
-                rows.append((-1 - abs(d) % ranges, np.unique(own).tobytes(), np.int64(d).tobytes(), b""))
-            yield _record(rows, ["part", "hashes", "docs", "known"], [LONG, BLOB, BLOB, BLOB])
+                rows.append((-1 - int(abs(ids[d])) % ranges, np.unique(own).tobytes(), b"", ids[d].tobytes()))
+            yield _record(rows, ["part", "hashes", "numbers", "docs"], [LONG, BLOB, BLOB, BLOB])
 
     return run
 
 
+def _tight(blob: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(blob)
+
+
+def _loose(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def _groups(keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
     """(key, its values) of sorted keys."""
     cuts = np.flatnonzero(np.diff(keys)) + 1 if len(keys) else []
@@ -165,9 +188,13 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if part < 0:
             out.append((int(np.frombuffer(rows[0]["docs"], np.int64)[0]), rows[0]["hashes"]))
         else:
-            h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-            doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-            known = np.concatenate([np.frombuffer(r["known"], np.uint8) for r in rows]) > 0
+            six = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(six), 8), np.uint8)
+            wide[:, :6] = six
+            h = wide.view("<u8").ravel().astype(np.uint64)
+            numbers = [np.frombuffer(_loose(r["numbers"]), np.uint32) for r in rows]
+            known = np.concatenate(numbers) >= KNOWN
+            doc = np.concatenate([np.frombuffer(r["docs"], np.int64)[n & np.uint32(KNOWN - 1)] for r, n in zip(rows, numbers)])
             order = np.lexsort((doc, h))
             h, doc, known = h[order], doc[order], known[order]
             first = np.ones(len(h), bool)
@@ -185,15 +212,15 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 # --- 2 and 3: segments and their strings ------------------------------------------------------------------------------
 def _send_segments(ranges: int, slice_bytes: int):
-    """Rows (part, segs, docs, sizes, keys): segments by range of the anchor; part -1: settled masks of one document."""
+    """Rows (part, segs, docs, sizes): segments by range of the anchor; negative part: settled masks of one document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in small_batches(batches, "text", slice_bytes):
+        for rows in _slices(batches, slice_bytes):
             cols = []
-            for (doc, raw), flags in zip(_texts(batch), batch.column("flags").to_pylist()):
+            for doc, raw, flags in rows:
                 at, h = anchors(raw, powers)
-                mine = np.isin(h, np.frombuffer(b"".join(flags), np.uint64))
+                mine = np.isin(h >> np.uint64(16), np.frombuffer(b"".join(flags), np.uint64))
                 rows, before, after, key = segments(raw, at[mine])
                 key, one = np.unique(key, return_index=True)  # a segment counts once in a document
                 cols.append((h[mine][one], np.full(len(one), doc), rows[one], before[one], after[one], key))
@@ -209,16 +236,32 @@ def _send_segments(ranges: int, slice_bytes: int):
             ask = np.zeros(len(key), bool)
             ask[order] = first
             sizes = (before.astype(np.uint8), after.astype(np.uint8))
-            out = list(_packed(_by_range(h[ask], ranges), rows[ask], doc[ask], np.stack(sizes, 1)[ask], key[ask]))
+            packed = _packed(_by_range(h[ask], ranges), rows[ask], doc[ask], np.stack(sizes, 1)[ask])
+            out = [(p, _tight(a), _tight(b), _tight(c)) for p, a, b, c in packed]
             mask = _possible(before, after)
             order = np.flatnonzero(settled)[np.argsort(doc[settled], kind="stable")]
             for d, k, m in _groups(doc[order], key[order], mask[order]):
-                out.append((-1 - abs(d) % ranges, k.tobytes(), np.int64(d).tobytes(), m.tobytes(), b""))
-            yield _record(out, ["part", "segs", "docs", "sizes", "keys"], [LONG, BLOB, BLOB, BLOB, BLOB])
+                out.append((-1 - abs(d) % ranges, k.tobytes(), np.int64(d).tobytes(), m.tobytes()))
+            yield _record(out, ["part", "segs", "docs", "sizes"], [LONG, BLOB, BLOB, BLOB])
 
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
+    """(doc, bytes, flags) of about ``limit`` bytes of text at a time."""
+    rows, held = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            raw = np.frombuffer(_loose(batch.column("packed")[i].as_py()), np.uint8)
+            rows.append((batch.column("doc")[i].as_py(), raw, batch.column("flags")[i].as_py()))
+            held += len(raw)
+            if held >= limit:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
 def _possible(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Bits of the strings that lie inside the text: bit a is the string that starts a bytes before the anchor."""
     a = np.arange(REACH + 1)
@@ -229,16 +272,19 @@ def _possible(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 def repeated(rows: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Masks of the strings that a smaller document's segment in the table has too."""
     out, possible = np.zeros(len(rows), np.int64), _possible(before, after)
-    powers = Powers()
-    up, down = powers.get(SEGMENT + 1)
-    prefix = np.zeros((len(rows), SEGMENT + 1), np.uint64)
-    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * up[:SEGMENT], axis=1, out=prefix[:, 1:])
+    up, down = Powers().get(SEGMENT + 1)
+    total = np.zeros(len(rows), np.uint64)  # of each row's string of this round, moved on by one byte a round
+    for b in range(REACH, REACH + LENGTH):
+        total += (rows[:, b].astype(np.uint64) + np.uint64(1)) * up[b]
     for a in range(REACH + 1):
+        start = REACH - a
+        if a:
+            total += (rows[:, start].astype(np.uint64) + np.uint64(1)) * up[start]
+            total -= (rows[:, start + LENGTH].astype(np.uint64) + np.uint64(1)) * up[start + LENGTH]
         mine = np.flatnonzero(possible >> a & 1)
         if len(mine) < 2:
             continue
-        start = REACH - a
-        h = mix((prefix[mine, start + LENGTH] - prefix[mine, start]) * down[start])
+        h = mix(total[mine] * down[start])
         order = np.lexsort((doc[mine], h))
         mine, h = mine[order], h[order]
         first = np.ones(len(h), bool)
@@ -263,10 +309,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = rows[0]
             out.append((int(np.frombuffer(r["docs"], np.int64)[0]), r["segs"], r["sizes"]))
         else:
-            segs = np.concatenate([np.frombuffer(r["segs"], np.uint8).reshape(-1, SEGMENT) for r in rows])
-            doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-            sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint8).reshape(-1, 2) for r in rows])
-            key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+            segs, doc, sizes = (b"".join(_loose(r[c]) for r in rows) for c in ("segs", "docs", "sizes"))
+            segs, doc, sizes = np.frombuffer(segs, np.uint8).reshape(-1, SEGMENT), np.frombuffer(doc, np.int64), np.frombuffer(sizes, np.uint8).reshape(-1, 2)
+            key = segment_keys(segs, sizes[:, 0], sizes[:, 1])
             mask = repeated(segs, doc, sizes[:, 0], sizes[:, 1])
             hit = np.flatnonzero(mask)
             order = hit[np.argsort(doc[hit], kind="stable")]
@@ -327,7 +372,7 @@ def _slot() -> F.Column:
     return F.pmod(F.xxhash64("doc"), F.lit(WORDS * 64)).alias("slot")
 
 
-def masks(docs: DataFrame, slice_bytes: int = 1 << 20) -> DataFrame:
+def masks(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
     """(doc, keys, masks): per document the segments that hold repeated strings, and which; ``docs`` as :func:`keyed`."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -337,27 +382,29 @@ def masks(docs: DataFrame, slice_bytes: int = 1 << 20) -> DataFrame:
         return df.repartition(n, *ranges_by).sortWithinPartitions(*ranges_by)
 
     ranges = max(4 * n, -(-size // (8 << 20)))
-    asked = docs.mapInArrow(_send_anchors(ranges, slice_bytes), "part long, hashes binary, docs binary, known binary")
+    asked = docs.mapInArrow(_send_anchors(ranges, slice_bytes), "part long, hashes binary, numbers binary, docs binary")
     flags = deal(asked, "part").mapInArrow(_shared_anchors, "doc long, hashes binary").groupBy("doc").agg(F.collect_list("hashes").alias("flags"))
     flags = checkpoint(flags)
     bits = bit_table(flags)
     shared = flags.agg(F.sum(F.aggregate("flags", F.lit(0.0), lambda a, x: a + F.octet_length(x) / 8))).first()[0] or 0
-    likely = docs.select("doc", "text", _slot()).mapInArrow(_only(bits), "doc long, text string")
+    likely = docs.select("doc", "text", _slot()).mapInArrow(_only(bits), "doc long, packed binary")
     joined = likely.join(flags.hint("shuffle_hash"), "doc")
     ranges = max(4 * n, -(-int(shared) // 50_000))
-    sent = joined.mapInArrow(_send_segments(ranges, slice_bytes), "part long, segs binary, docs binary, sizes binary, keys binary")
+    sent = joined.mapInArrow(_send_segments(ranges, slice_bytes), "part long, segs binary, docs binary, sizes binary")
     return deal(sent, "part").mapInArrow(_settle, "doc long, keys binary, masks binary")
 
 
 def _only(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_table(bits, batch.column("slot").to_numpy()))).select(["doc", "text"])
+            some = batch.filter(pa.array(_in_table(bits, batch.column("slot").to_numpy())))
+            packed = [_tight(t.encode()) for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(packed, BLOB)], ["doc", "packed"])
 
     return run
 
 
-def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 20) -> DataFrame:
+def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     rows = keyed(docs)
     found = checkpoint(masks(rows, slice_bytes).groupBy("doc").agg(F.collect_list("keys").alias("keys"), F.collect_list("masks").alias("masks")))
@@ -370,25 +417,25 @@ def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 20) -> DataFrame:
             for part in small_batches(iter([batch]), "text"):
                 stays = ~_in_table(bits, part.column("slot").to_numpy())
                 facts = [_digest(raw, np.zeros(len(raw), bool)) if s else (None, None, None, None) for s, (_, raw) in zip(stays, _texts(part))]
-                text = [None if s else t for s, t in zip(stays, part.column("text").to_pylist())]
+                packed = [None if s else _tight(t.encode()) for s, t in zip(stays, part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(text, pa.string()), *(pa.array(c, t) for c, t in zip(zip(*facts), (LONG, LONG, LONG, pa.string())))],
-                    ["doc", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    [part.column("doc"), pa.array(packed, BLOB), *(pa.array(c, t) for c, t in zip(zip(*facts), (LONG, LONG, LONG, pa.string())))],
+                    ["doc", "packed", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             facts = []
             for row in batch.to_pylist():
-                if row["text"] is None:
+                if row["packed"] is None:
                     facts.append((row["doc"], row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]))
                     continue
-                raw = np.frombuffer(row["text"].encode(), np.uint8)
+                raw = np.frombuffer(_loose(row["packed"]), np.uint8)
                 keys, marks = (np.frombuffer(b"".join(row[c] or []), t) for c, t in (("keys", np.uint64), ("masks", np.int64)))
                 facts.append((row["doc"], *_digest(raw, removed(raw, keys, marks, powers))))
             yield _record(facts, ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [LONG, LONG, LONG, LONG, pa.string()])
 
-    split = rows.select("doc", "text", _slot()).mapInArrow(whole, "doc long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    split = rows.select("doc", "text", _slot()).mapInArrow(whole, "doc long, packed binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return split.join(found.hint("shuffle_hash"), "doc", "left").mapInArrow(cut, schema)
 
 
