@@ -109,29 +109,25 @@ def test_fingerprints_and_components_of_hard_rows(spark):
     assert sorted((r["doc"], r["fp"] % (1 << 64), r["component"]) for r in got) == sorted((d, f, comp[f]) for d, f in prints)
 
 
-@pytest.mark.parametrize("tile", [2000, 3])
-def test_links_of_clustered_fingerprints(spark, tile):
+@pytest.mark.parametrize(("tile", "parts"), [(3, 4), (2000, 2)])
+def test_links_of_clustered_fingerprints(spark, tile, parts):
     """Chains, dense balls and strangers; small tiles cut every bucket."""
     rng = np.random.default_rng(5)
     values = []
-    for _ in range(12):
+    for _ in range(6):
         f = int(rng.integers(0, 1 << 63))
-        for _ in range(int(rng.integers(1, 25))):
+        for _ in range(int(rng.integers(1, 20))):
             values.append(f)
             for b in rng.integers(0, 64, int(rng.integers(1, 5))):
                 f ^= 1 << int(b)
     prints = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(values)]
     comp = components_by_hand([(i, f % (1 << 64)) for i, f in prints])
-    df = spark.createDataFrame(prints, "doc long, fp long")
-    for options in ((4,), (3,), (2,)):
-        nodes = df.groupBy("fp").min("doc").toDF("fp", "rep")
-        plan = simhash.make_plan(nodes, 3, options)
-        assert sum(t + 1 for _, t in plan) >= 1
-        edges = simhash.links(nodes, plan, 3, tile)
-        assert all(bin((a ^ b) % (1 << 64)).count("1") <= 3 for a, b in edges.collect())
-        found = {r["node"]: r["label"] for r in simhash.least_labels(edges, nodes.toDF("node", "label")).collect()}
-        first = {f: i for i, f in reversed(prints)}
-        assert {f: found.get(f, first[f]) for _, f in prints} == {f: comp[f % (1 << 64)] for _, f in prints}
+    first = {f: i for i, f in reversed(prints)}
+    nodes = spark.createDataFrame([(f, i) for f, i in first.items()], "fp long, rep long").repartition(2)
+    edges = simhash.checkpoint(simhash.links(nodes, simhash.make_plan(nodes, 3, (parts,)), 3, tile))
+    assert all(bin((a ^ b) % (1 << 64)).count("1") <= 3 for a, b in edges.collect())
+    found = {r["node"]: r["label"] for r in simhash.least_labels(edges, nodes.toDF("node", "label")).collect()}
+    assert {f: found.get(f, first[f]) for f in first} == {f: comp[f % (1 << 64)] for f in first}
 
 
 def test_thresholds_sum_up_to_the_general_pigeonhole():

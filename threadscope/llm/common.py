@@ -152,7 +152,7 @@ def combine(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray,
     sums = np.zeros(len(word), np.uint64)
     for j in range(size):  # Horner's rule: earlier words get higher powers
         shifted = np.zeros(len(word), np.uint64)
-        shifted[:len(word) - j] = word[j:]
+        shifted[:max(len(word) - j, 0)] = word[j:]
         sums = sums * step + shifted
     row = np.repeat(np.arange(len(count)), count)
     at = np.arange(len(word)) - first[:-1][row]

@@ -12,7 +12,8 @@ Each pair gives back at most k rows a query. Scores are integers and exact: abov
 score beyond 64 bits is an error.
 
 Vectors that are null, hold null or non-finite components, or have no id take no part. Vectors of unlike length are filled
-up with zeros. Rows that repeat id and vector count once; rows of the query's own id are not its candidates. Ties go to
+up with zeros. Rows that repeat an id are candidates each; as a query an id counts once, with its smallest vector, and rows of its own id
+are not its candidates. Ties go to
 the smaller id. An empty table gives an empty result.
 """
 
@@ -163,12 +164,13 @@ def _search(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of every query; both sides as :func:`usable` gives them."""
+    queries = queries.groupBy("id").agg(F.min("x").alias("x"))
     n = max(1, -(-vectors.count() // BLOCK))
     blocks = checkpoint(vectors.repartition(n).mapInArrow(_packer(BLOCK), SCHEMA))  # a block's number is its partition's
     asked = queries.repartition(max(1, -(-queries.count() // BATCH))).mapInArrow(_packer(BATCH), SCHEMA)
     asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("x").alias("q_x"))
     pairs = asked.join(blocks, "block").repartition(n, "block", "piece").sortWithinPartitions("block", "piece")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
+    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
