@@ -78,3 +78,16 @@ def test_curves_take_their_labels_from_the_data(spark):
     assert {r["label"] for r in evaluation.roc_auc(df).collect()} == {"no preset", "quality", "micro_average", "macro_average"}
     assert {r["label"] for r in evaluation.roc_points(df).collect()} == {"no preset", "quality"}
     assert {r["label"] for r in evaluation.pr_points(df, ["quality"]).collect()} == {"quality"}
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    from threadscope.operators import words
+
+    docs = spark.createDataFrame([(i, ["a", "b", "a", f"w{i % 7}"]) for i in range(60)], "id long, tokens array<string>")
+    totals = words.term_totals(docs)
+    assert "hashpartitioning(id" not in totals._jdf.queryExecution().executedPlan().toString()
+    got = {r["term"]: (r["cf"], r["df"]) for r in totals.collect()}
+    assert got["a"] == (120, 60) and got["a b"] == (60, 60) and got["w3"] == (9, 9)
+    weights = words.tfidf(docs, words.vocabulary(totals, docs, 5, 1, 1.0))
+    plan = weights._jdf.queryExecution().executedPlan().toString().split("Window", 1)[1]
+    assert plan.count("hashpartitioning(id") == 1

@@ -179,7 +179,7 @@ vocab as (select term, cast(sum(tf) as bigint) as cf, count(*) as df from counts
 @query("vocabulary", lambda: f"with {_vocab(1000)} select * from vocab")
 def vocabulary(spark, sf):
     docs = saved_cleaned(spark, sf)
-    return words.vocabulary(words.term_counts(docs), docs)
+    return words.vocabulary(words.term_totals(docs), docs)
 
 
 @query("tfidf", lambda: f"""with {_vocab(300)}, w as (select id, term,
@@ -187,8 +187,7 @@ def vocabulary(spark, sf):
 select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w""")
 def tfidf(spark, sf):
     docs = saved_cleaned(spark, sf)
-    counts = words.term_counts(docs)
-    return words.tfidf(counts, words.vocabulary(counts, docs, 300), docs)
+    return words.tfidf(docs, words.vocabulary(words.term_totals(docs), docs, 300))
 
 
 STAGE_NAMES = [s.name for s in presets.STAGES_5] + ["unknown"]

@@ -77,17 +77,30 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_invalid(cleaning.preprocess(tagging.assign_stage(posts(spark, sf_dir))))
 
 
+_STAGES: dict[tuple[str, str, str], str] = {}
+
+
 def saved(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write a stage to the shared scratch folder and read it back, for queries that go over it more than once."""
     return StageStore(spark, scratch_path(spark, "stage")).save("rows", df)
 
 
+def _saved_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """One stage table for each application and input, however many queries read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        path = scratch_path(spark, name)
+        StageStore(spark, path).save("rows", build(spark, sf_dir))
+        _STAGES[key] = path
+    return StageStore(spark, _STAGES[key]).load("rows")
+
+
 def saved_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(spark, staged(spark, sf_dir))
+    return _saved_once(spark, sf_dir, "staged", staged)
 
 
 def saved_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(spark, cleaned(spark, sf_dir))
+    return _saved_once(spark, sf_dir, "cleaned", cleaned)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

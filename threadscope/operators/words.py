@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadscope import presets
@@ -59,32 +59,40 @@ def word_totals(df: DataFrame, tokens: str = "tokens", approximate: bool = False
     )
 
 
-def term_counts(df: DataFrame, id_col: str = "id", tokens: str = "tokens", max_n: int = 2) -> DataFrame:
-    """Count of each n-gram (1 to ``max_n`` words) per post."""
-    grams = F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in range(1, max_n + 1)]))
-    return (
-        df.select(id_col, F.explode(grams).alias("term"))
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def _grams(tokens: str, max_n: int) -> Column:
+    return F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in range(1, max_n + 1)]))
+
+
+def term_totals(df: DataFrame, tokens: str = "tokens", max_n: int = 2) -> DataFrame:
+    """(term, cf, df): occurrences of each n-gram (1 to ``max_n`` words) and posts that hold it.
 
+    All n-grams of a post lie in one row, so its distinct ones are known there; nothing is shuffled by post.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    seen = F.transform(_grams(tokens, max_n), lambda t: F.struct(t.alias("term"), one.alias("cf"), none.alias("df")))
+    held = F.transform(F.array_distinct(_grams(tokens, max_n)), lambda t: F.struct(t.alias("term"), none.alias("cf"), one.alias("df")))
+    return df.select(F.inline(F.concat(seen, held))).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
-def vocabulary(counts: DataFrame, documents: DataFrame, size: int = 1000, min_df: int = 5,
+
+def vocabulary(totals: DataFrame, documents: DataFrame, size: int = 1000, min_df: int = 5,
                max_df: float = 0.7) -> DataFrame:
     """Terms in at least ``min_df`` posts and at most a share ``max_df``; the ``size`` most frequent, ties by term."""
     total = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
-        counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= total * F.lit(max_df)))
+        totals.filter((F.col("df") >= min_df) & (F.col("df") <= total * F.lit(max_df)))
         .orderBy(F.desc("cf"), "term").limit(size)
     )
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, documents: DataFrame, id_col: str = "id") -> DataFrame:
-    """Weight tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 per post. The vocabulary is bounded by its limit."""
-    total = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
-    raw = counts.join(F.broadcast(vocab.select("term", "df")), "term").withColumn(
-        "w", F.col("tf") * (F.log((total + 1) / (F.col("df") + 1)) + 1)
-    )
+def tfidf(df: DataFrame, vocab: DataFrame, id_col: str = "id", tokens: str = "tokens", max_n: int = 2) -> DataFrame:
+    """Weight tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 per post. The vocabulary is bounded by its limit.
+
+    Only hits of the vocabulary leave their row; one exchange by post serves counts and lengths.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    hits = df.select(id_col, F.explode(_grams(tokens, max_n)).alias("term")).join(F.broadcast(vocab.select("term", "df")), "term")
+    raw = hits.repartition(id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("df").alias("df"))
+    raw = raw.withColumn("w", F.col("tf") * (F.log((total + 1) / (F.col("df") + 1)) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", F.round(F.col("w") / length, 6).alias("weight"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -14,15 +13,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused folder for stage tables and stream checkpoints.
-
-    It lies under ``spark.checkpoint.dir``, which a cluster sets to storage all executors share. Only where that is
-    unset (tests on one machine) is a local temporary folder used.
-    """
+def scratch_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which a cluster sets to storage all executors share; where it is unset, a folder of the
+    warehouse, which is shared too."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="threadscope-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new, unused folder for stage tables and stream checkpoints."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
