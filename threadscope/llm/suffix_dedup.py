@@ -115,7 +115,7 @@ BLOB, LONG, INT = pa.binary(), pa.int64(), pa.int32()
 
 # --- 1: shared anchors ----------------------------------------------------------------------------------------------
 def _send_anchors(ranges: int, slice_bytes: int):
-    """Rows (part, hashes, numbers, docs): asked anchors by range; negative part: shared anchors of one document.
+    """Rows (part, hashes, numbers, docs): asked anchors by range; negative parts: shared anchors by bucket of documents.
 
     A hash travels as its upper 48 bits; anchors that agree in them are only candidates. A document is its number within
     the slice, ``KNOWN`` is added if the slice itself shows that the anchor is shared.
@@ -140,9 +140,8 @@ def _send_anchors(ranges: int, slice_bytes: int):
             six = np.ascontiguousarray(h[first].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
             sent = doc[first] + np.where(both, KNOWN, 0).astype(np.uint32)
             rows = [(p, a, _tight(b), ids.tobytes()) for p, a, b in _packed(_by_range(h[first] << np.uint64(16), ranges), six, sent)]
-            order = np.argsort(doc[known], kind="stable")
-            for d, own in _groups(doc[known][order], h[known][order]):
-                rows.append((-1 - int(abs(ids[d])) % ranges, np.unique(own).tobytes(), b"", ids[d].tobytes()))
+            mine = ids[doc[known].astype(np.int64)] if len(ids) else ids
+            rows += [(-1 - p, b, b"", a) for p, a, b in _packed(_bucket(mine, ranges), mine, h[known])]
             yield _record(rows, ["part", "hashes", "numbers", "docs"], [LONG, BLOB, BLOB, BLOB])
 
     return run
@@ -166,13 +165,10 @@ def _groups(keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """All rows of one part after the other; rows come sorted by part. Negative parts come row by row."""
+    """All rows of one part after the other; rows come sorted by part."""
     held, rows = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["part"] < 0:
-                yield row["part"], [row]
-                continue
             if row["part"] != held:
                 if rows:
                     yield held, rows
@@ -182,37 +178,80 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
         yield held, rows
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = []
-    for part, rows in _parts(batches):
-        if part < 0:
-            out.append((int(np.frombuffer(rows[0]["docs"], np.int64)[0]), rows[0]["hashes"]))
-        else:
-            six = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), np.uint8)
-            wide[:, :6] = six
-            h = wide.view("<u8").ravel().astype(np.uint64)
-            numbers = [np.frombuffer(_loose(r["numbers"]), np.uint32) for r in rows]
-            known = np.concatenate(numbers) >= KNOWN
-            doc = np.concatenate([np.frombuffer(r["docs"], np.int64)[n & np.uint32(KNOWN - 1)] for r, n in zip(rows, numbers)])
-            order = np.lexsort((doc, h))
-            h, doc, known = h[order], doc[order], known[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            group = np.cumsum(first) - 1
-            shared = (doc != doc[first][group])
-            shared = (np.bincount(group[shared], minlength=first.sum()) > 0)[group] & ~known
-            order = np.argsort(doc[shared], kind="stable")
-            out += [(d, own.tobytes()) for d, own in _groups(doc[shared][order], h[shared][order])]
-        if len(out) > 5000:
-            yield _record(out, ["doc", "hashes"], [LONG, BLOB])
-            out = []
-    yield _record(out, ["doc", "hashes"], [LONG, BLOB])
+def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return _by_range(mix(doc.view(np.uint64)), buckets)
+
+
+class _ByDocument:
+    """Collects (document, columns) and gives them back packed by bucket, so that rows do not multiply with the ranges."""
+
+    def __init__(self, buckets: int, names: list[str]) -> None:
+        self.buckets, self.names, self.held, self.size = buckets, names, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(columns)
+        self.size += len(columns[0])
+
+    def full(self) -> bool:
+        return self.size > 2_000_000
+
+    def flush(self) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*self.held)] if self.held else []
+        rows = list(_packed(_bucket(columns[0], self.buckets), *columns)) if columns else []
+        self.held, self.size = [], 0
+        return _record(rows, ["part", *self.names], [LONG] + [BLOB] * len(self.names))
+
+
+def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document out of all rows of its bucket."""
+    names = None
+    for _, rows in _parts(batches):
+        names = [n for n in rows[0] if n not in ("part", "docs")]
+        doc, *columns = (np.frombuffer(b"".join(r[n] for r in rows), t) for n, t in zip(["docs", *names], (np.int64, np.uint64, np.int64)))
+        order = np.argsort(doc, kind="stable")
+        out = [(d, *(v.tobytes() for v in values)) for d, *values in _groups(doc[order], *(c[order] for c in columns))]
+        yield _record(out, ["doc", *names], [LONG] + [BLOB] * len(names))
+
+
+def _shared_anchors(buckets: int):
+    """Rows (part, docs, hashes): the shared anchors, by bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _ByDocument(buckets, ["docs", "hashes"])
+        for part, rows in _parts(batches):
+            _ask_anchors(part, rows, out)
+            if out.full():
+                yield out.flush()
+        yield out.flush()
+
+    return run
+
+
+def _ask_anchors(part: int, rows: list[dict], out: _ByDocument) -> None:
+    if part < 0:
+        for r in rows:
+            out.add(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["hashes"], np.uint64))
+        return
+    six = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, :6] = six
+    h = wide.view("<u8").ravel().astype(np.uint64)
+    numbers = [np.frombuffer(_loose(r["numbers"]), np.uint32) for r in rows]
+    known = np.concatenate(numbers) >= KNOWN
+    doc = np.concatenate([np.frombuffer(r["docs"], np.int64)[n & np.uint32(KNOWN - 1)] for r, n in zip(rows, numbers)])
+    order = np.lexsort((doc, h))
+    h, doc, known = h[order], doc[order], known[order]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    group = np.cumsum(first) - 1
+    shared = (doc != doc[first][group])
+    shared = (np.bincount(group[shared], minlength=first.sum()) > 0)[group] & ~known
+    out.add(doc[shared], h[shared])
 
 
 # --- 2 and 3: segments and their strings ------------------------------------------------------------------------------
 def _send_segments(ranges: int, slice_bytes: int):
-    """Rows (part, segs, docs, sizes): segments by range of the anchor; negative part: settled masks of one document."""
+    """Rows (part, segs, docs, sizes): segments by range of the anchor; negative parts: settled masks by bucket of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -220,7 +259,7 @@ def _send_segments(ranges: int, slice_bytes: int):
             cols = []
             for doc, raw, flags in rows:
                 at, h = anchors(raw, powers)
-                mine = np.isin(h >> np.uint64(16), np.frombuffer(b"".join(flags), np.uint64))
+                mine = np.isin(h >> np.uint64(16), np.frombuffer(flags, np.uint64))
                 rows, before, after, key = segments(raw, at[mine])
                 key, one = np.unique(key, return_index=True)  # a segment counts once in a document
                 cols.append((h[mine][one], np.full(len(one), doc), rows[one], before[one], after[one], key))
@@ -239,9 +278,8 @@ def _send_segments(ranges: int, slice_bytes: int):
             packed = _packed(_by_range(h[ask], ranges), rows[ask], doc[ask], np.stack(sizes, 1)[ask])
             out = [(p, _tight(a), _tight(b), _tight(c)) for p, a, b, c in packed]
             mask = _possible(before, after)
-            order = np.flatnonzero(settled)[np.argsort(doc[settled], kind="stable")]
-            for d, k, m in _groups(doc[order], key[order], mask[order]):
-                out.append((-1 - abs(d) % ranges, k.tobytes(), np.int64(d).tobytes(), m.tobytes()))
+            settled_rows = _packed(_bucket(doc[settled], ranges), key[settled], doc[settled], mask[settled])
+            out += [(-1 - p, a, b, c) for p, a, b, c in settled_rows]
             yield _record(out, ["part", "segs", "docs", "sizes"], [LONG, BLOB, BLOB, BLOB])
 
     return run
@@ -253,7 +291,7 @@ def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
     for batch in batches:
         for i in range(batch.num_rows):
             raw = np.frombuffer(_loose(batch.column("packed")[i].as_py()), np.uint8)
-            rows.append((batch.column("doc")[i].as_py(), raw, batch.column("flags")[i].as_py()))
+            rows.append((batch.column("doc")[i].as_py(), raw, batch.column("hashes")[i].as_py()))
             held += len(raw)
             if held >= limit:
                 yield rows
@@ -302,24 +340,26 @@ def repeated(rows: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.nd
     return out
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = []
-    for part, rows in _parts(batches):
-        if part < 0:
-            r = rows[0]
-            out.append((int(np.frombuffer(r["docs"], np.int64)[0]), r["segs"], r["sizes"]))
-        else:
-            segs, doc, sizes = (b"".join(_loose(r[c]) for r in rows) for c in ("segs", "docs", "sizes"))
-            segs, doc, sizes = np.frombuffer(segs, np.uint8).reshape(-1, SEGMENT), np.frombuffer(doc, np.int64), np.frombuffer(sizes, np.uint8).reshape(-1, 2)
-            key = segment_keys(segs, sizes[:, 0], sizes[:, 1])
-            mask = repeated(segs, doc, sizes[:, 0], sizes[:, 1])
-            hit = np.flatnonzero(mask)
-            order = hit[np.argsort(doc[hit], kind="stable")]
-            out += [(d, k.tobytes(), m.tobytes()) for d, k, m in _groups(doc[order], key[order], mask[order])]
-        if len(out) > 5000:
-            yield _record(out, ["doc", "keys", "masks"], [LONG, BLOB, BLOB])
-            out = []
-    yield _record(out, ["doc", "keys", "masks"], [LONG, BLOB, BLOB])
+def _settle(buckets: int):
+    """Rows (part, docs, keys, masks): what smaller documents have of each segment, by bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _ByDocument(buckets, ["docs", "keys", "masks"])
+        for part, rows in _parts(batches):
+            if part < 0:
+                for r in rows:
+                    out.add(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["segs"], np.uint64), np.frombuffer(r["sizes"], np.int64))
+            else:
+                segs, doc, sizes = (b"".join(_loose(r[c]) for r in rows) for c in ("segs", "docs", "sizes"))
+                segs, doc, sizes = np.frombuffer(segs, np.uint8).reshape(-1, SEGMENT), np.frombuffer(doc, np.int64), np.frombuffer(sizes, np.uint8).reshape(-1, 2)
+                mask = repeated(segs, doc, sizes[:, 0], sizes[:, 1])
+                hit = np.flatnonzero(mask)
+                out.add(doc[hit], segment_keys(segs[hit], sizes[hit, 0], sizes[hit, 1]), mask[hit])
+            if out.full():
+                yield out.flush()
+        yield out.flush()
+
+    return run
 
 
 # --- 4: removal -----------------------------------------------------------------------------------------------------
@@ -383,15 +423,16 @@ def masks(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
 
     ranges = max(4 * n, -(-size // (8 << 20)))
     asked = docs.mapInArrow(_send_anchors(ranges, slice_bytes), "part long, hashes binary, numbers binary, docs binary")
-    flags = deal(asked, "part").mapInArrow(_shared_anchors, "doc long, hashes binary").groupBy("doc").agg(F.collect_list("hashes").alias("flags"))
-    flags = checkpoint(flags)
+    answered = deal(asked, "part").mapInArrow(_shared_anchors(ranges), "part long, docs binary, hashes binary")
+    flags = checkpoint(deal(answered, "part").mapInArrow(_regroup, "doc long, hashes binary"))
     bits = bit_table(flags)
-    shared = flags.agg(F.sum(F.aggregate("flags", F.lit(0.0), lambda a, x: a + F.octet_length(x) / 8))).first()[0] or 0
+    shared = flags.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
     likely = docs.select("doc", "text", _slot()).mapInArrow(_only(bits), "doc long, packed binary")
     joined = likely.join(flags.hint("shuffle_hash"), "doc")
     ranges = max(4 * n, -(-int(shared) // 50_000))
     sent = joined.mapInArrow(_send_segments(ranges, slice_bytes), "part long, segs binary, docs binary, sizes binary")
-    return deal(sent, "part").mapInArrow(_settle, "doc long, keys binary, masks binary")
+    settled = deal(sent, "part").mapInArrow(_settle(ranges), "part long, docs binary, keys binary, masks binary")
+    return deal(settled, "part").mapInArrow(_regroup, "doc long, keys binary, masks binary")
 
 
 def _only(bits: np.ndarray):
@@ -407,7 +448,7 @@ def _only(bits: np.ndarray):
 def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     rows = keyed(docs)
-    found = checkpoint(masks(rows, slice_bytes).groupBy("doc").agg(F.collect_list("keys").alias("keys"), F.collect_list("masks").alias("masks")))
+    found = checkpoint(masks(rows, slice_bytes))
     bits = bit_table(found)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -431,7 +472,7 @@ def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
                     facts.append((row["doc"], row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]))
                     continue
                 raw = np.frombuffer(_loose(row["packed"]), np.uint8)
-                keys, marks = (np.frombuffer(b"".join(row[c] or []), t) for c, t in (("keys", np.uint64), ("masks", np.int64)))
+                keys, marks = (np.frombuffer(row[c] or b"", t) for c, t in (("keys", np.uint64), ("masks", np.int64)))
                 facts.append((row["doc"], *_digest(raw, removed(raw, keys, marks, powers))))
             yield _record(facts, ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [LONG, LONG, LONG, LONG, pa.string()])
 
