@@ -45,14 +45,13 @@ TEMPLATES = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 LEAST = 0.8
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A name that speaks for its directory.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)[^/]*$"
 
 
 def words(text: Column) -> Column:
     """Words of letters and digits of ASCII, in lower case, repeats included."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def template_words(sentence: str) -> list[str]:
@@ -89,11 +88,16 @@ def weigh(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Weight
     return Weights(idf, math.log(total + 1) + 1, sorted(anchors))
 
 
+def anchored(weights: Weights) -> str:
+    """Pattern of a text or line that has an anchor word."""
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(weights.anchors) + ")(?![A-Za-z0-9])"
+
+
 def best_line(text: Column, weights: Weights, templates=TEMPLATES, least: float = LEAST) -> Column:
-    """Struct (score, template, line) of the best line, null if none reaches the threshold."""
+    """Struct (score, template, line) of the best line, null if none reaches the threshold or the text is null."""
     vocabulary = list(weights.idf)
     table_of = F.map_from_arrays(F.array(*[F.lit(w) for w in vocabulary]), F.array(*[F.lit(weights.idf[w]) for w in vocabulary]))
-    pattern = "(?i)(?-u)(^|[^A-Za-z0-9])(" + "|".join(weights.anchors) + ")([^A-Za-z0-9]|$)"
+    pattern = anchored(weights)
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda s: s["text"].rlike(pattern))
 
     def scored(s: Column) -> Column:
@@ -115,7 +119,7 @@ def best_line(text: Column, weights: Weights, templates=TEMPLATES, least: float
     best = F.array_max(F.flatten(F.transform(F.transform(lines, scored), lambda s: F.array(*[against(s, k) for k in range(len(templates))]))))
     names = F.array(*[F.lit(n) for n, _ in templates])
     found = F.struct(best["score"].alias("score"), F.element_at(names, 1 - best["order"]).alias("license"), (-best["back"]).alias("line"))
-    return F.when(text.rlike(pattern) & (best["score"] >= least), found)
+    return F.when(best["score"] >= least, found)
 
 
 def directory(path: Column) -> Column:
@@ -150,7 +154,11 @@ def inherited(files: DataFrame) -> DataFrame:
 def scan(files: DataFrame, key: str = "doc_id", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(key, path, score, line, license, origin, source_dir) of every row of ``files`` (key, path, text)."""
     weights = weigh(files, templates, least)
-    found = files.select(key, "path", best_line(utf8(files["text"]), weights, templates, least).alias("best"))
+    # Texts without an anchor word are nulled first: their lines are not looked at.
+    text = utf8(files["text"])
+    anchors = F.array(*[F.lit(w) for w in weights.anchors]).cast("array<string>")
+    likely = files.select(key, "path", F.when(F.arrays_overlap(words(text), anchors), text).alias("text"))
+    found = likely.select(key, "path", best_line(F.col("text"), weights, templates, least).alias("best"))
     return inherited(checkpoint(found.select(key, "path", "best.score", "best.line", "best.license")))
 
 
@@ -159,7 +167,7 @@ def as_files(docs: DataFrame) -> DataFrame:
     def level(n: int) -> Column:
         return F.concat(F.lit("d"), F.floor(F.abs(F.col("doc_id")) / n).cast("string"))
 
-    last = F.translate(F.element_at(F.split(utf8(F.col("text")), "\n"), -1), UPPER, LOWER)
+    last = F.lower(F.substring_index(utf8(F.col("text")), "\n", -1))
     name = F.concat(F.when(F.contains(last, F.lit("licens")), "LICENSE-").otherwise("file-"), F.col("doc_id").cast("string"))
     return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), level(1000), level(100), name).alias("path"), "text")
 
@@ -168,7 +176,7 @@ def _sql() -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
-    low = f"translate({{}}, '{UPPER}', '{LOWER}')"
+    low = "lower({})"
 
     def split(text: str) -> str:
         return f"list_filter(regexp_split_to_array({low.format(text)}, '[^a-z0-9]+'), lambda w: w <> '')"
