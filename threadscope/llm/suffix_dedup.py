@@ -193,7 +193,7 @@ class _ByDocument:
         self.size += len(columns[0])
 
     def full(self) -> bool:
-        return self.size > 2_000_000
+        return self.size > 200_000
 
     def flush(self) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*self.held)] if self.held else []
