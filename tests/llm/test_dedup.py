@@ -146,6 +146,19 @@ def test_one_document_of_each_group(spark):
     assert simhash.one_of_each(hard_docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("low", [None, 7])
+def test_linked_unlike_texts_under_one_id(spark, monkeypatch, low):
+    """Two chains whose fingerprints repeat one id: no row is multiplied, no label jumps into the other chain."""
+    far = 0x0F0F_F0F0_0F0F_F0F0
+    prints = [(low, 0), (9, 1), (low, 3 << 8), (8, far), (low, far ^ 7), (low, far ^ 0x77), (3, far ^ 0x777), (5, 1 << 40), (low, 7 << 40), (low, 0x7F << 40)]
+    rows = [(LOW if d is None else d, f) for d, f in prints]
+    nodes = spark.createDataFrame(rows, "doc long, fp long").repartition(3)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, size: docs)
+    got = sorted((r["doc"], r["fp"], r["component"]) for r in simhash.near_groups(nodes).collect())
+    comp = components_by_hand(rows)
+    assert got == sorted((d, f, comp[f]) for d, f in rows)
+
+
 # --- byte strings ---------------------------------------------------------------------------------------------------
 def strings_by_hand(rows):
     first = {}

@@ -255,7 +255,10 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], radius: int, tile
 
 
 def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label): the smallest label in each node's component. ``edges`` (a, b), ``labels`` (node, label), one row a node."""
+    """(node, label): the smallest label in each node's component. ``edges`` (a, b), ``labels`` (node, label), one row a node.
+
+    No two nodes may have the same label: pointer jumping finds a node by its label.
+    """
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     first = labels.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     now = checkpoint(first.withColumn("owner", F.col("label")))
@@ -272,12 +275,15 @@ def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, component, rows) of every distinct fingerprint of ``prints`` (doc, fp)."""
+    """(fp, component, rows) of every distinct fingerprint of ``prints`` (doc, fp).
+
+    Labels are pairs of smallest id and fingerprint, as unlike texts may repeat an id; the id alone is given back.
+    """
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")))
     edges = checkpoint(links(nodes, make_plan(nodes, radius), radius))
-    labels = nodes.select(F.col("fp").alias("node"), F.col("rep").alias("label"))
+    labels = nodes.select(F.col("fp").alias("node"), F.struct("rep", "fp").alias("label"))
     found = least_labels(edges, labels)
-    joined = nodes.join(found.select(F.col("node").alias("fp"), "label"), "fp", "left")
+    joined = nodes.join(found.select(F.col("node").alias("fp"), F.col("label.rep").alias("label")), "fp", "left")
     return joined.select("fp", F.coalesce("label", "rep").alias("component"), "rows")
 
 
@@ -289,7 +295,10 @@ def near_groups(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """The documents, all columns, with the smallest id of their group; of rows that repeat it, one."""
+    """The documents, all columns, with the smallest id of their group; of rows that repeat it, one, even of unlike texts.
+
+    Only for tables in which an id stands for one text; ``near_dedup`` keeps a row of every group whatever the ids.
+    """
     doc, rank = fresh(docs, "doc", "rank")
     kept = near_groups(docs, radius, size).filter(F.col("doc") == F.col("component")).select(F.col("doc").alias(doc)).distinct()
     rows = docs.withColumn(doc, F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST))).join(kept, doc, "left_semi")
