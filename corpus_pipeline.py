@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadscope.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from threadscope.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
 from threadscope.llm.common import checkpoint_dir, table
 
 
@@ -26,8 +26,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of fingerprints that link at 3 bits."""
-    return simhash.one_of_each(docs)
+    """One document of each group that links at a similarity of 0.8 of five-word shingles."""
+    return near_dedup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
