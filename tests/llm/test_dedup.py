@@ -136,6 +136,19 @@ def test_thresholds_sum_up_to_the_general_pigeonhole():
         assert sum(picks) == 3 - m + 1
 
 
+@pytest.mark.parametrize("values", [[], [5], [5, -1], [0, 1, 3]])
+def test_small_tables_have_small_plans(spark, values):
+    """No row or one: nothing to link. A few: at most 64 probes, whatever the estimates say."""
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    plan = simhash.make_plan(nodes, 3)
+    assert bool(plan) == (len(values) > 1)
+    assert sum(simhash.ball(len(g), t) for g, t in plan) <= 64
+    assert sorted(map(tuple, simhash.links(nodes, plan, 3).collect())) in ([], [(0, 1), (0, 3)], [(0, 1), (1, 3)])
+    for m in (2, 3, 4):
+        _, picks = simhash.allocate(0, [0] * m, [64 // m] * m, 3)
+        assert sum(simhash.ball(64 // m, t) for t in picks if t >= 0) <= 66  # two parts of 32 bits within one bit each
+
+
 def test_one_document_of_each_group(spark):
     docs = hard_docs(spark)
     got = simhash.one_of_each(docs)

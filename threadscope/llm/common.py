@@ -196,3 +196,19 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, how: st
     few, many = F.broadcast(right.filter(hot).drop(rows)), right.filter(~hot).drop(rows)
     rest = left.join(few.select(key), key, "left_anti")
     return left.join(few, key).unionByName(rest.join(many, key, how))
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str, rows: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``left`` to ``right``, which has each ``key`` once and in ``rows`` how many rows of ``left`` have it.
+
+    As :func:`join_counted`, but the hot keys, fewer than ``share``, are named in a filter, so no row passes a join that
+    does not match. ``right`` is best a checkpoint, as it is read three times.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = right.filter(F.col(rows) * share > F.lit(total))
+    names = [r[0] for r in hot.select(key).collect()]  # bounded by ``share``
+    if not names:
+        return left.join(right.drop(rows), key)
+    is_hot = F.col(key).isin(names)
+    few, many = right.filter(is_hot).drop(rows), right.filter(~is_hot).drop(rows)
+    return left.filter(is_hot).join(F.broadcast(few), key).unionByName(left.filter(~is_hot).join(many, key))

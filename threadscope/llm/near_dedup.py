@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadscope.llm import simhash
-from threadscope.llm.common import Powers, checkpoint, combine, fresh, join_counted, mix, prefix_hash, shuffle_partitions, small_batches, text_bytes, utf8
+from threadscope.llm.common import Powers, checkpoint, combine, fresh, join_sized, mix, prefix_hash, shuffle_partitions, small_batches, text_bytes, utf8
 from threadscope.llm.simhash import LOWEST
 
 SIZE, LEAST = 5, 0.8
@@ -127,7 +127,7 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((node, other))
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         sets = shingle_sets(batch.column("text"), powers)
         for row, own in zip(batch.drop_columns(["text"]).to_pylist(), sets):
             if key is not None and (row["bucket"], row["tile"]) != key:
@@ -161,12 +161,12 @@ def survivors(docs: DataFrame, tile: int = TILE) -> DataFrame:
     # Candidates of both generators: each bucket's smallest member against all others.
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("center")).filter("n > 1")
-    banded = checkpoint(join_counted(members, checkpoint(sizes.withColumn("size", F.col("n"))), "bucket", "n"))
+    banded = checkpoint(join_sized(members, checkpoint(sizes.withColumn("size", F.col("n"))), "bucket", "n"))
     prints = checkpoint(nodes.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("center")))
     fps = prints.select("fp", "center")
     linked = simhash.links(prints.select("fp"), simhash.make_plan(prints, 3), 3)
     between = linked.join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    equal = join_counted(nodes.select("fp", "node"), prints, "fp", "n").select(F.col("center").alias("a"), F.col("node").alias("b"))
+    equal = join_sized(nodes.select("fp", "node"), prints, "fp", "n").select(F.col("center").alias("a"), F.col("node").alias("b"))
     pairs = banded.select(F.col("center").alias("a"), F.col("node").alias("b")).union(equal).union(between)
     pairs = checkpoint(pairs.filter("a <> b").distinct())
 
@@ -178,7 +178,7 @@ def survivors(docs: DataFrame, tile: int = TILE) -> DataFrame:
     def side(left: DataFrame, name: str) -> DataFrame:
         counts = pairs.groupBy(name).agg(F.count("*").alias("n"))
         known = counts.join(texts.toDF(name, f"text_{name}"), name)
-        return join_counted(left, known, name, "n")
+        return join_sized(left, known, name, "n")
 
     first = checkpoint(side(side(pairs, "a"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"))
 
@@ -190,9 +190,9 @@ def survivors(docs: DataFrame, tile: int = TILE) -> DataFrame:
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
     left = checkpoint(left.filter("low <> high").dropDuplicates(["n", "sum", "xor"]).select("bucket", "n"))
-    inner = checkpoint(join_counted(open_members.select("node", "label", "bucket"), left, "bucket", "n").join(texts, "node"))
+    inner = checkpoint(join_sized(open_members.select("node", "label", "bucket"), left, "bucket", "n").join(texts, "node"))
     weight = inner.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.sum(F.octet_length("text")) / tile).cast("int").alias("k"))
-    chunked = join_counted(inner, checkpoint(weight.withColumn("k", F.greatest("k", F.lit(1)))), "bucket", "n")
+    chunked = join_sized(inner, checkpoint(weight.withColumn("k", F.greatest("k", F.lit(1)))), "bucket", "n")
     chunked = chunked.withColumn("c", F.pmod(F.xxhash64("node"), "k").cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     tiles = chunked.select("node", "label", "text", "bucket", (F.least("c", "d").cast("long") * F.lit(1 << 24) + F.greatest("c", "d")).alias("tile"),
                            F.when(F.col("c") == F.col("d"), F.lit(-1)).otherwise((F.col("c") > F.col("d")).cast("int")).alias("side"))

@@ -123,18 +123,21 @@ def allocate(n: int, same: list[int], widths: list[int], radius: int, probe: flo
     """Thresholds (-1: partition unused) that sum up to radius - parts + 1 at the least estimated cost.
 
     ``same`` counts the pairs that agree in a partition; within threshold t about ``ball(width, t)`` times as many meet.
+    Of plans that cost the same the one with the fewest probes wins, so that a table without pairs gets a small plan.
     """
     budget = radius - len(widths) + 1
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    best: dict[int, tuple[float, int, list[int]]] = {0: (0.0, 0, [])}
     for pairs, width in zip(same, widths):
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (cost, picks) in best.items():
+        step: dict[int, tuple[float, int, list[int]]] = {}
+        for used, (cost, probes, picks) in best.items():
             for t in range(-1, radius + 1):
-                more = 0.0 if t < 0 else ball(width, t) * (pairs + probe * n)
-                if used + t not in step or cost + more < step[used + t][0]:
-                    step[used + t] = (cost + more, [*picks, t])
+                values = 0 if t < 0 else ball(width, t)
+                now = (cost + values * (pairs + probe * n), probes + values, [*picks, t])
+                if used + t not in step or now[:2] < step[used + t][:2]:
+                    step[used + t] = now
         best = step
-    return best[budget]
+    cost, _, picks = best[budget]
+    return cost, picks
 
 
 def part_value(fp, group: list[int]):
@@ -144,8 +147,10 @@ def part_value(fp, group: list[int]):
 
 
 def make_plan(nodes: DataFrame, radius: int, parts_options=(2, 3, 4)) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the partitions in use."""
+    """(bits, threshold) of the partitions in use; none where there are no two fingerprints to link."""
     n, both = bit_counts(nodes)
+    if n < 2:
+        return []
     plans = {m: group_bits(n, both, m) for m in parts_options if m <= radius + 1}
     values = F.explode(F.array(*[F.struct(F.lit(m * 8 + i).alias("k"), part_value(F.col("fp"), g).alias("v")) for m, gs in plans.items() for i, g in enumerate(gs)]))
     counted = nodes.select(values.alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("c"))
@@ -231,6 +236,8 @@ def link_buckets(radius: int):
 
 def links(nodes: DataFrame, plan: list[tuple[list[int], int]], radius: int, tile: int = 2000) -> DataFrame:
     """(a, b): spanning forests of all pairs of fingerprints within ``radius``."""
+    if not plan:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
     rows = []
     for i, (group, t) in enumerate(plan):
         for mask in masks(group, t):
