@@ -143,7 +143,7 @@ def test_small_tables_have_small_plans(spark, values):
     plan = simhash.make_plan(nodes, 3)
     assert bool(plan) == (len(values) > 1)
     assert sum(simhash.ball(len(g), t) for g, t in plan) <= 64
-    assert sorted(map(tuple, simhash.links(nodes, plan, 3).collect())) in ([], [(0, 1), (0, 3)], [(0, 1), (1, 3)])
+    assert {v for edge in simhash.links(nodes, plan, 3).collect() for v in edge} == ({0, 1, 3} if len(values) > 2 else set())
     for m in (2, 3, 4):
         _, picks = simhash.allocate(0, [0] * m, [64 // m] * m, 3)
         assert sum(simhash.ball(64 // m, t) for t in picks if t >= 0) <= 66  # two parts of 32 bits within one bit each
