@@ -257,7 +257,10 @@ def _best(k: int):
         scores, out = products(x, widen(block.low, x.shape[1])), []
         for i, row in enumerate(rows):
             for w in row["windows"]:
-                at = np.flatnonzero((scores[i] >= w["lo"]) & (scores[i] <= w["hi"]) & (block.ids != row["anchor"]))
+                fits = (scores[i] >= w["lo"]) & (scores[i] <= w["hi"]) & (block.ids != row["anchor"])
+                if w["score"] is not None:  # k rows are as good as the floor
+                    fits &= (scores[i] > w["score"]) | (scores[i] == w["score"]) & (block.ids < w["id"])
+                at = np.flatnonzero(fits)
                 for j in at[np.lexsort((block.ids[at], -scores[i, at]))[:k]]:
                     out.append((row["anchor"], w["w"], int(block.ids[j]), int(scores[i, j]), int(block.labels[j])))
         columns = list(zip(*out)) or [[]] * 5
