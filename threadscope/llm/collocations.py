@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from threadscope.llm.common import checkpoint, mix, query, small_batches, table, text_bytes, utf8
 
 LEAST, TOP = 10, 2000
-CHUNK = 8 << 20  # bytes of text whose phrases are counted together in a task
+CHUNK = 4 << 20  # bytes of text whose phrases are counted together in a task
 BITS = 25  # log2 of the bits of a frontier's bitmap: 4 MB
 STEP = 100  # width of a cell of the score histogram
 COUNTS = "lang string, phrase string, a long"
@@ -60,7 +60,7 @@ class Words:
         before, after = np.append(False, inside[:-1])[:len(data)], np.append(inside[1:], False)[:len(data)]
         starts = np.flatnonzero(inside & (~before | edge[:-1]))
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        self.piece = np.cumsum((kind == END) | edge[:-1], dtype=np.int64)[starts]
+        self.piece = np.cumsum((kind == END) | edge[:-1], dtype=np.int32)[starts]
         spans = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
         letters = LOWER[data[inside]]
         held = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(spans), pa.py_buffer(letters)])
