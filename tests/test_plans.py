@@ -6,9 +6,9 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from threadscope.catalog import QUERIES, fixtures
-from threadscope.operators import cleaning, temporal
+from threadscope.operators import cleaning, ranking, sampling, temporal
 from threadscope.plans import reports
-from threadscope.sources import readers, writers
+from threadscope.sources import files, readers, writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,45 @@ def plan(df):
     return out.getvalue()
 
 
+def moved(df):
+    """What each exchange of rows takes in; broadcasts aside."""
+    found, lines = [], plan(df).splitlines()
+    for i, line in enumerate(lines):
+        if line.endswith(" Exchange"):
+            found.append(lines[i + 1])
+    return found
+
+
+def stored(spark, tmp_path):
+    rows = fixtures.posts(spark, SF).withColumns({"month": F.month("created_ts"), "fear": (F.col("id") % 3 == 0).cast("int")})
+    rows.repartition(4).write.parquet(str(tmp_path / "p"))
+    return spark.read.parquet(str(tmp_path / "p"))
+
+
+def test_samples_and_splits_move_no_text(spark, tmp_path):
+    rows = stored(spark, tmp_path)
+    for df in (sampling.stratified_sample(rows, ["subreddit", "month"], 0.3), sampling.sample_per_file_n(rows, 5),
+               sampling.stratified_split(rows, "subreddit"), files.with_file_rows(rows)):
+        assert "text" in df.columns and not moved(df) and df.count()
+    saved = []
+    original = ranking.scratch_path
+    try:
+        ranking.scratch_path = lambda *a: saved.append(original(*a)) or saved[-1]
+        sampling.sample_per_file_n(rows, 5)
+    finally:
+        ranking.scratch_path = original
+    assert [set(spark.read.parquet(p).columns) for p in saved] == [
+        {"source_file", "_block", "_at", "_everything"}, {"source_file", "_cut", "_everything"}]
+
+
+def test_duplicates_are_told_by_address(spark, tmp_path):
+    rows = stored(spark, tmp_path)
+    small = cleaning.dedupe_files(rows, ("text", "subreddit"), ("created_ts", "id"))
+    assert not moved(small)
+    whole = cleaning.dedupe(rows, ("text", "subreddit"), ("created_ts", "id"))
+    assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_partition_filters_and_pruned_columns(spark, tmp_path):
     rows = fixtures.posts(spark, SF).withColumns({"year": F.year("created_ts"), "month": F.month("created_ts")})
     writers.write_parquet(rows, str(tmp_path / "p"), ["year", "month"])

@@ -3,10 +3,13 @@
 import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from threadscope.operators import cleaning, evaluation, lookup, ranking, sampling
+from threadscope.operators import cleaning, describe, evaluation, lookup, ranking, sampling
+from threadscope.sources import files
 
 
 def rows(n=3000):
@@ -37,6 +40,26 @@ def test_stratified_sample_is_exact_for_any_layout(spark, parts, digits):
     assert {r.id for r in kept.collect()} == brute(data, lambda n: max(math.floor(n * 0.1), 1))
 
 
+@pytest.mark.parametrize("few", [500_000, 3])
+def test_cutoffs_beside_ranks(spark, monkeypatch, few):
+    """Few groups: cutoffs; many: ranked rows. No group, a quota of none, one above the rows, and text ids with ties in the hash prefix."""
+    monkeypatch.setattr(ranking, "CUTS_BROADCAST", few)
+    data = rows()
+    df = spark.createDataFrame([(str(i), g, "t" * (i % 9)) for i, g in data], "id string, g string, text string").repartition(5)
+    for quota in (lambda n: n * 0, lambda n: F.lit(1), lambda n: F.floor(n / 2), lambda n: n + 5):
+        got = {int(r.id) for r in ranking.keep_by_hash(df, ["g"], ["id"], quota, digits=1).collect()}
+        assert got == brute(data, {0: lambda n: 0, 1: lambda n: 1}.get(spark.range(1).select(quota(F.lit(7))).first()[0], lambda n: n // 2 if len(got) < 2900 else n))
+    split = sampling.stratified_split(df, "g", 0.25)
+    assert split.columns == ["id", "g", "text", "split"]
+    assert {int(r.id) for r in split.filter("split = 'validation'").collect()} == brute(data, lambda n: math.floor(n * 0.25 + 0.5))
+    assert split.count() == sum(g is not None for _, g in data)
+    everyone = [(i, "all") for i, _ in data]
+    for n in (0, 7, 5000):
+        assert {int(r.id) for r in ranking.keep_by_hash(df, [], ["id"], lambda _: F.lit(n)).collect()} == brute(everyone, lambda _: n)
+    empty = df.filter("id is null")
+    assert ranking.keep_by_hash(empty, ["g"], ["id"], lambda n: n).count() == 0
+
+
 def test_ranks_cover_each_group(spark):
     df = spark.createDataFrame(rows(), "id int, g string")
     got = ranking.hash_ranked(df, ["g"], ["id"], digits=1).groupBy("g").agg(
@@ -64,6 +87,61 @@ def test_dedupe_keeps_first_of_many_copies(spark):
         assert {r.id for r in got.collect()} == {i for _, i in firsts.values()}
 
 
+@pytest.mark.parametrize("max_chunks", [90_000, 0])
+def test_dedupe_files(spark, tmp_path, max_chunks):
+    """A third of all rows share a key; null keys, a null order, ties, many chunks a file; rows beyond the bitmaps' bound."""
+    data = [(i, None if i % 50 == 0 else "same" if i % 3 else f"t{i % 4000}", None if i % 2 else "s", None if i % 7 == 0 else 9000 - i % 600, "x" * (i % 11)) for i in range(12_000)]
+    data += data[:40]
+    df = spark.createDataFrame(data, "id int, text string, subreddit string, created_utc int, extra string")
+    df.repartition(2, "id").write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    firsts = {}
+    for i, t, s, c, _ in data:
+        place = (c is None, c or 0, i)
+        firsts[t, s] = min(firsts.get((t, s), place), place)
+    got = cleaning.dedupe_files(stored, max_chunks=max_chunks)
+    assert got.columns == df.columns
+    kept = got.collect()
+    assert len(kept) == len(firsts) and {r.id for r in kept} == {i for _, _, i in firsts.values()}
+    narrow = cleaning.dedupe_files(stored.select("text", "id").filter("id >= 6000"), ("text",), ("id",), max_chunks=max_chunks)
+    assert narrow.columns == ["text", "id"] and narrow.count() == len({t for i, t, *_ in data if i >= 6000})
+    assert cleaning.dedupe_files(stored.filter("id < 0"), max_chunks=max_chunks).count() == 0
+
+
+def test_file_rows_beyond_the_broadcast_limit(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b" if i % 2 else None) for i in range(90)], "id int, source_file string")
+    few, many = (sorted(map(str, files.with_file_rows(df, rate=0.5, max_files=n).select("id", "source_file", "total_rows", "sample_rate").collect())) for n in (10, 1))
+    assert few == many and len(few) == 90
+    assert {(r.source_file, r.total_rows) for r in files.with_file_rows(df).collect()} == {("a", 60), ("b", 15), (None, None)}
+
+
+def test_correlations_against_numpy(spark):
+    """Nulls pair by pair, a large mean with a small spread, constants, two blocks of pairs."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 10))
+    x[:, 1] += x[:, 0]
+    x[:, 2] = 1e9 + x[:, 0] / 100
+    x[:, 3] = 0.1
+    x[:, 4] = np.round(x[:, 4] * 5)
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(10)])
+    frame.loc[rng.random(400) < 0.3, "c5"] = None
+    frame.loc[rng.random(400) < 0.5, "c6"] = None
+    frame["c7"] = np.nan
+    frame.loc[frame.c6.notna() & frame.c5.notna(), "c8"] = None
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in frame.to_numpy()], ", ".join(f"c{i} double" for i in range(10)))
+    want = frame.astype(float).drop(columns="c3").corr()
+    got = {(r.a, r.b): r.r for r in describe.correlation_matrix(df.repartition(3)).collect()}
+    assert len(got) == 100
+    for (a, b), r in got.items():
+        w = want[a][b] if "c3" not in (a, b) else float("nan")
+        if pd.isna(w):
+            assert r is None or frame[[a, b]].dropna().shape[0] < 3, (a, b, r)
+        else:
+            assert r == pytest.approx(w, abs=2e-6), (a, b)
+    assert {r.r for r in describe.correlation_matrix(df.limit(0)).collect()} == {None}
+    assert describe.correlation_matrix(df.select()).count() == 0
+
+
 def eval_rows(n=1200):
     return [(i, "a" if i % 5 else "b", int((i * 7919) % 10 < 3), int(i % 3 == 0), ((i * 37) % 211) / 211) for i in range(n)]
 

@@ -106,7 +106,7 @@ def drop_invalid(spark, sf):
 @query("dedupe", """select doc_id, text, source from (
   select *, row_number() over (partition by text, source order by doc_id) as r from documents) where r = 1""")
 def dedupe(spark, sf):
-    return cleaning.dedupe(table(spark, sf, "documents"), ("text", "source"), ("doc_id",)).select(
+    return cleaning.dedupe_files(table(spark, sf, "documents"), ("text", "source"), ("doc_id",)).select(
         "doc_id", "text", "source")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadscope import presets
 from threadscope.functions import text as T
+from threadscope.session import scratch_path
 
 
 def preprocess(df: DataFrame, column: str = "text", min_length: int = presets.MIN_TEXT_LENGTH,
@@ -66,6 +67,52 @@ def dedupe(df: DataFrame, keys: Sequence[str] = ("text", "subreddit"),
     return first.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+CHUNK_ROWS = 4096
+BITS_BROADCAST = 90_000  # chunks, of about 700 bytes each: 64 MB
+
+
+def dedupe_files(df: DataFrame, keys: Sequence[str] = ("text", "subreddit"), order: Sequence[str] = ("created_utc", "id"),
+                 max_chunks: int = BITS_BROADCAST) -> DataFrame:
+    """As :func:`dedupe`, for rows as they come from files; rows stay where they are read.
+
+    Call it right after the read (columns may be chosen and rows filtered before, but not joined, exploded or grouped),
+    while a row's address, its file and place in it, is known. Only a digest of the keys, ``order`` and the address are
+    shuffled; the first row of each digest is marked in a bitmap of its file, and the scan keeps the rows marked. Bitmaps
+    are broadcast up to ``max_chunks`` chunks of 4,096 rows; beyond that a semi join on the address moves the rows. Rows
+    that tie in ``order`` are told by a hash of the whole row, then by address.
+    """
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)).alias("_digest")
+    file, at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
+    first_of = [f for c in order for f in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))]
+    place = F.struct(*first_of, F.xxhash64(*df.columns).alias("_row"), file, at)
+    first = df.select(digest, place.alias("_place")).groupBy("_digest").agg(F.min("_place").alias("_place"))
+    kept = first.select("_place._file", "_place._at")
+
+    word = F.shiftright("_at", 6).bitwiseAND(F.lit(CHUNK_ROWS // 64 - 1)).cast("int").alias("_word")
+    chunk = F.shiftright("_at", 12).alias("_chunk")
+    bit = F.expr("shiftleft(1L, cast(_at & 63 as int))")
+    words = kept.select("_file", chunk, word, bit.alias("_bit")).groupBy("_file", "_chunk", "_word").agg(F.bit_or("_bit").alias("_bits"))
+    filled = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
+    maps = words.groupBy("_file", "_chunk").agg(filled.alias("_map"))  # 64 words at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(CHUNK_ROWS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long")))
+    path = scratch_path(df.sparkSession, "kept-rows")
+    maps.select("_file", "_chunk", dense.alias("_bits")).write.parquet(path)
+    bits = df.sparkSession.read.parquet(path)
+
+    rows = df.select("*", file, at)
+    if bits.count() > max_chunks:
+        each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(CHUNK_ROWS - 1)), lambda i: _bit_of(F.col("_bits"), i)))
+        marked = bits.select("_file", "_chunk", each.alias("_i")).select("_file", (F.col("_chunk") * CHUNK_ROWS + F.col("_i")).alias("_at"))
+        return rows.join(marked, ["_file", "_at"], "left_semi").select(*df.columns)
+    joined = rows.withColumn("_chunk", F.shiftright("_at", 12)).join(F.broadcast(bits), ["_file", "_chunk"])
+    return joined.filter(_bit_of(F.col("_bits"), F.col("_at").bitwiseAND(F.lit(CHUNK_ROWS - 1)).cast("int"))).select(*df.columns)
+
+
+def _bit_of(bits: Column, i: Column) -> Column:
+    word = F.get(bits, F.shiftright(i, 6))
+    return F.call_function("shiftrightunsigned", word, i.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def fill_missing(df: DataFrame, now: datetime | None = None, names: Sequence[str] = ("subreddit", "author"),
                  seconds: str = "created_utc") -> DataFrame:
     """Missing names become ``unknown``; the time becomes a number, and ``now`` where it is not one.

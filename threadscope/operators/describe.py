@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
+from math import isfinite, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,18 +151,65 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair (both orders) in one aggregate; a pair uses the rows where both are set.
+    """Pearson correlation of every pair (both orders); a pair uses the rows where both are set.
 
-    Without a list, all numeric columns of the table.
+    Without a list, all numeric columns of the table. A first pass takes counts and means. The second adds up products
+    of what is left after the means, which keeps figures with a large mean and a small spread exact. Where neither
+    column has nulls a pair needs one sum; where one has, its count, sums and squares are those of the pair's own rows.
+    Pairs go in blocks, as one aggregate of all of them is too wide for generated code; a block reads its own columns.
     """
-    columns = numeric_columns(df) if columns is None else columns
-    pairs = list(combinations_with_replacement(columns, 2))
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    rows = [
-        F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.round(F.col(f"`{a}|{b}`"), 6).alias("r"))
-        for a, b in pairs for x, y in dict.fromkeys([(a, b), (b, a)])
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    columns = numeric_columns(df) if columns is None else list(columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[
+        f for i, c in enumerate(columns) for f in (F.count(c).alias(f"n{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"))
+    ]).collect()[0]  # one row
+    whole = [first[f"n{i}"] == first["n"] for i in range(len(columns))]
+    mean = [first[f"m{i}"] if first[f"m{i}"] is not None and isfinite(first[f"m{i}"]) else 0.0 for i in range(len(columns))]
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    rows = [row for at in range(0, len(pairs), PAIRS) for row in _correlations(df, columns, mean, whole, pairs[at:at + PAIRS])]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
+PAIRS = 40
+
+
+def _correlations(df: DataFrame, columns: Sequence[str], mean: Sequence[float], whole: Sequence[bool],
+                  pairs: Sequence[tuple[int, int]]) -> list[tuple[str, str, float | None]]:
+    """(a, b, r) from one row of sums."""
+    used = sorted({i for pair in pairs for i in pair})
+
+    def centred(i: int) -> Column:
+        x = F.col(columns[i]).cast("double") - F.lit(mean[i])
+        return (F.coalesce(x, F.lit(0.0)) if whole[i] else x).alias(f"x{i}")  # known not to be null: shorter code
+
+    sums: dict[str, Column] = {}  # named by what they add up, so that pairs share them
+
+    def total(name: str, value: Column, j: int) -> str:
+        """Sum over the rows where column j is set as well; ``value`` is null where its own column is."""
+        name = name if whole[j] else f"{name} where {j}"
+        sums.setdefault(name, F.sum(value if whole[j] else F.when(F.col(f"x{j}").isNotNull(), value)))
+        return name
+
+    figures = {}
+    for i, j in pairs:
+        x, y = F.col(f"x{i}"), F.col(f"x{j}")
+        n = "n" if whole[i] and whole[j] else f"n {i} {j}"
+        sums.setdefault(n, F.count(F.lit(1)) if n == "n" else F.count_if(x.isNotNull() & y.isNotNull()))
+        sums.setdefault(f"p {i} {j}", F.sum(x * y))
+        figures[i, j] = (n, total(f"s{i}", x, j), total(f"s{j}", y, i), total(f"q{i}", x * x, j), total(f"q{j}", y * y, i), f"p {i} {j}")
+    one = df.select(*[centred(i) for i in used]).agg(*[value.alias(name) for name, value in sums.items()]).collect()[0].asDict()
+    out = []
+    for (i, j), names in figures.items():
+        n, sx, sy, sxx, syy, sxy = (one[name] for name in names)
+        r = None
+        if n > 1:
+            # A spread that is all rounding is none: the column is constant in these rows, and r undefined.
+            vx, vy = (q - s * s / n for s, q in ((sx, sxx), (sy, syy)))
+            if vx > n * (abs(mean[i]) * 1e-12) ** 2 and vy > n * (abs(mean[j]) * 1e-12) ** 2:
+                r = round((sxy - sx * sy / n) / sqrt(vx) / sqrt(vy), 6)
+        out += [(columns[a], columns[b], r) for a, b in dict.fromkeys([(i, j), (j, i)])]
+    return out
 
 
 def quality_report(df: DataFrame, text_columns: Sequence[str], time_columns: Sequence[str]) -> DataFrame:

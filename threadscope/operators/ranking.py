@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadscope.session import scratch_path
+
 HASH_DIGITS = 3  # 16**3 = 4096 blocks per group
 
 
@@ -55,10 +57,79 @@ def hash_ranked(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: st
     return out.drop(*spare)
 
 
+CUTS_BROADCAST = 500_000
+
+
+def hash_cutoffs(df: DataFrame, keys: Sequence[str], ids: Sequence[str], quota: Callable[[Column], Column],
+                 seed: str = "42", digits: int = HASH_DIGITS) -> DataFrame | None:
+    """Per group the last (hash, ids) among its ``quota(n)`` first rows in hash order: ``keys, _cut, _everything``.
+
+    Only counts per (group, hash prefix) and, for the one prefix in which a group's quota ends, the keys and ids of its
+    rows are shuffled. Groups with a quota of none have no row; ``_everything`` marks those with one of n or more. The
+    result is a small saved table, or None beyond ``CUTS_BROADCAST`` groups.
+    """
+    keys, spark = list(keys), df.sparkSession
+    base = df.dropna(subset=keys) if keys else df
+    place = F.struct(F.col("_hash"), *[F.col(c) for c in ids]).alias("_place")
+    base = base.select(*keys, draw_hash(ids, seed).alias("_hash"), *[c for c in ids if c not in keys])
+    base = base.select(*keys, F.substring("_hash", 1, digits).alias("_block"), place)
+
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        base.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_in_block"))
+        .withColumn("_n", F.sum("_in_block").over(group))
+        .withColumn("_before", F.coalesce(F.sum("_in_block").over(earlier), F.lit(0)).cast("long"))
+        .withColumn("_quota", quota(F.col("_n")).cast("long"))
+    )
+    # The block that holds the last row of the quota; the last block where the quota takes everything.
+    ends = (F.col("_before") < F.least("_quota", "_n")) & (F.col("_before") + F.col("_in_block") >= F.least("_quota", "_n"))
+    path = scratch_path(spark, "cuts")
+    blocks.filter(ends).select(
+        *keys, "_block", (F.col("_quota") - F.col("_before")).alias("_at"), (F.col("_quota") >= F.col("_n")).alias("_everything")
+    ).write.parquet(path)
+    edges = spark.read.parquet(path)
+    if edges.count() > CUTS_BROADCAST:
+        return None
+    inside = Window.partitionBy(*keys, "_block").orderBy("_place")
+    open_edges = edges.filter(~F.col("_everything"))
+    last = (
+        base.join(F.broadcast(open_edges), [*keys, "_block"])
+        .withColumn("_rank", F.row_number().over(inside)).filter("_rank = _at").select(*keys, F.col("_place").alias("_cut"))
+    )
+    cuts = scratch_path(spark, "cuts")
+    everything = edges.filter("_everything").select(*keys, F.lit(True).alias("_everything"))
+    last.withColumn("_everything", F.lit(False)).unionByName(everything, allowMissingColumns=True).write.parquet(cuts)
+    return spark.read.parquet(cuts)
+
+
+def within_cutoff(df: DataFrame, cuts: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str, how: str) -> DataFrame:
+    """``df`` beside its group's cutoff, with ``_inside``; no row is shuffled, as the cutoffs are few."""
+    place = F.struct(draw_hash(ids, seed), *[F.col(c) for c in ids])
+    if keys:
+        joined = df.dropna(subset=list(keys)).join(F.broadcast(cuts), list(keys), how)
+    else:  # one group: its cutoff is one row
+        cut = cuts.agg(F.first("_cut").alias("_cut"), F.coalesce(F.first("_everything"), F.lit(False)).alias("_everything"))
+        found = cut.collect()[0]
+        if found["_everything"] or found["_cut"] is None:
+            return df.withColumn("_inside", F.lit(bool(found["_everything"])))
+        fields = [f.dataType for f in cuts.schema["_cut"].dataType.fields]
+        last = F.struct(*[F.lit(v).cast(t) for v, t in zip(found["_cut"], fields)])
+        return df.withColumn("_inside", place <= last)
+    return joined.withColumn("_inside", F.coalesce(F.col("_everything") | (place <= F.col("_cut")), F.lit(False))).drop("_cut", "_everything")
+
+
 def keep_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str], quota: Callable[[Column], Column],
                  seed: str = "42", digits: int = HASH_DIGITS) -> DataFrame:
-    """Per group keep the ``quota(n)`` rows that come first in hash order."""
-    return hash_ranked(df, keys, ids, seed, quota, digits).drop("_rank", "_n").select(*df.columns)
+    """Per group keep the ``quota(n)`` rows that come first in hash order.
+
+    Each group's cutoff becomes a filter, so rows stay where they are read and those not chosen never move; the input is
+    read three times, twice for keys and ids only. Beyond ``CUTS_BROADCAST`` groups rows are ranked, and shuffled once.
+    """
+    cuts = hash_cutoffs(df, keys, ids, quota, seed, digits)
+    if cuts is None:
+        return hash_ranked(df, keys, ids, seed, quota, digits).drop("_rank", "_n").select(*df.columns)
+    return within_cutoff(df, cuts, keys, ids, seed, "inner").filter("_inside").select(*df.columns)
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

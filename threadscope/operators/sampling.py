@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadscope import presets
-from threadscope.operators.ranking import hash_ranked, keep_by_hash
+from threadscope.operators.ranking import hash_cutoffs, hash_ranked, keep_by_hash, within_cutoff
 
 
 def _rate_quota(rate: float, at_least: int):
@@ -117,9 +117,13 @@ def first_positive(df: DataFrame, labels: Sequence[str], out: str = "stratum") -
 def stratified_split(df: DataFrame, stratum: str, fraction: float = 0.2, ids: Sequence[str] = ("id",),
                      seed: str = "42") -> DataFrame:
     """Add ``split``: the first ``round(fraction * n)`` rows of each stratum in hash order validate, the rest train."""
-    ranked = hash_ranked(df, [stratum], ids, seed)
-    cut = F.floor(F.col("_n") * F.lit(fraction) + F.lit(0.5))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= cut, "validation").otherwise("train")).select(
+    share = lambda n: F.floor(n * F.lit(fraction) + F.lit(0.5))
+    cuts = hash_cutoffs(df, [stratum], ids, share, seed)
+    if cuts is None:
+        ranked = hash_ranked(df, [stratum], ids, seed).withColumn("_inside", F.col("_rank") <= share(F.col("_n")))
+    else:
+        ranked = within_cutoff(df, cuts, [stratum], ids, seed, "left")
+    return ranked.withColumn("split", F.when(F.col("_inside"), "validation").otherwise("train")).select(
         *df.columns, "split"
     )
 

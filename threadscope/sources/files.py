@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadscope.session import scratch_path
+
 
 def discover_files(spark: SparkSession, root: str, suffixes: Sequence[str] = (".parquet", ".csv")) -> DataFrame:
     """All files below a folder with one of the suffixes: path, size, suffix, and year and month taken from the path.
@@ -42,17 +44,25 @@ def with_lineage(df: DataFrame) -> DataFrame:
                      F.col("_metadata.file_size").alias("file_size"))
 
 
+FILES_BROADCAST = 500_000
+
+
 def with_file_rows(df: DataFrame, file: str = "source_file", rate: float | None = None,
-                   blocks: int = 64) -> DataFrame:
+                   blocks: int = 64, max_files: int = FILES_BROADCAST) -> DataFrame:
     """Add ``total_rows`` of the file each row came from, and the sample rate if given.
 
-    Counts are joined back on (file, block), so one huge file spreads over ``blocks`` join keys.
+    The counts, one row a file, are saved and broadcast, so no row moves. Beyond ``max_files`` files they are joined
+    back on (file, block), so one huge file spreads over ``blocks`` join keys.
     """
-    block = F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
-    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("total_rows")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    out = df.withColumn("_block", block).join(counts, [file, "_block"], "left").drop("_block")
+    path = scratch_path(df.sparkSession, "file-rows")
+    df.groupBy(file).agg(F.count(F.lit(1)).alias("total_rows")).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    if counts.count() <= max_files:
+        out = df.join(F.broadcast(counts), file, "left")
+    else:
+        block = F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
+        salted = counts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        out = df.withColumn("_block", block).join(salted, [file, "_block"], "left").drop("_block")
     return out if rate is None else out.withColumn("sample_rate", F.lit(rate))
 
 
