@@ -197,6 +197,41 @@ def test_counts_add_up_and_undefined_is_zero(spark):
     assert (metrics.precision, metrics.recall, metrics.f1_score, metrics.support) == (0.0, 0.0, 0.0, 0)
 
 
+def fold(words, polarity, negations, strengths):
+    total, n, strength, negated = 0.0, 0, 1.0, -10**6
+    for i, w in enumerate(words):
+        if w in polarity:
+            value = max(-1.0, min(1.0, polarity[w] * strength)) * (-0.5 if i - negated <= 3 else 1)
+            negated = -10**6 if i - negated <= 3 else negated
+            total, n, strength = total + value, n + 1, 1.0
+        elif w in strengths:
+            strength *= strengths[w]
+        else:
+            negated, strength = (i if w in negations else negated), 1.0
+    return total / n if n else 0.0
+
+
+def test_sentiment_in_context(spark):
+    """Both ways, in the row and joined, against a plain loop; nothing is shuffled in the row."""
+    polarity, negations, strengths = {"good": 0.7, "bad": -0.7, "best": 1.0, "not_bad": 0.3}, ("not", "no"), {"very": 1.3, "barely": 0.4, "good": 9.0}
+    fixed = [["not", "good"], ["not", "very", "good"], ["very", "very", "best"], ["not", "a", "b", "c", "good"], ["no", "bad", "good"],
+             ["very", "x", "good"], ["not"], [], ["barely", "bad", "best"], ["not", "not", "bad"], ["not_bad", "very"]]
+    rng = np.random.default_rng(1)
+    data = fixed + [list(rng.choice(["good", "bad", "best", "not", "no", "very", "barely", "x", "y"], rng.integers(0, 30))) for _ in range(200)]
+    data = [[str(w) for w in words] for words in data]
+    df = spark.createDataFrame(list(enumerate(data)) + [(-1, None)], "id int, tokens array<string>")
+    table = spark.createDataFrame([*polarity.items(), (None, 1.0), ("x", None)], "token string, polarity double")
+    for how in ({}, {"in_row": 2}, {"in_row": 2, "max_rows": 1}):
+        got = lookup.score_sentiment(df, table, negations=negations, strengths=strengths, **how)
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == bool(how)
+        found = {r.id: r.sentiment for r in got.collect()}
+        assert found.pop(-1) is None
+        assert found == {i: pytest.approx(fold(words, polarity, negations, strengths)) for i, words in enumerate(data)}
+    many = {f"w{i}": i / 5000 for i in range(5000)}
+    found = lookup.score_sentiment(df.limit(0).unionByName(spark.createDataFrame([(i, [f"w{i}", "w1"]) for i in range(2, 5000, 7)], "id int, tokens array<string>")), many)
+    assert all(r.sentiment == pytest.approx((r.id + 1) / 10000) for r in found.collect())
+
+
 def test_word_join_beyond_the_broadcast_limit(spark):
     posts = spark.createDataFrame(
         [(i, ["the"] * 5 + ([f"w{i}"] if i % 2 else [])) for i in range(200)], "id int, tokens array<string>")
@@ -207,5 +242,5 @@ def test_word_join_beyond_the_broadcast_limit(spark):
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     assert small.filter("id = 1").first().tokens == ["THE"] * 5 + ["W1"]
     a = {r.id: r.sentiment for r in lookup.score_sentiment(posts, table).collect()}
-    b = {r.id: r.sentiment for r in lookup.score_sentiment(posts, table, max_rows=3).collect()}
+    b = {r.id: r.sentiment for r in lookup.score_sentiment(posts, table, max_rows=3, in_row=3).collect()}
     assert a == b and a[0] == 0.5 and a[1] == pytest.approx((5 * 0.5 - 0.25) / 6)

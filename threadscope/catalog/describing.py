@@ -139,6 +139,40 @@ def sentiment(spark, sf):
     return scored(spark, sf).select("id", F.round("sentiment", 6).alias("sentiment"))
 
 
+def _mapped(values: dict) -> str:
+    return "map {" + ", ".join(f"{S.lit(k)}: cast({v} as double)" for k, v in values.items()) + "}"
+
+
+def _in_context() -> str:
+    """The same fold as a reduce over structs that hold both the state and one token."""
+    zero = "cast(0 as double)"
+    state = "{{'total': {0}, 'n': {1}, 's': {2}, 'at': {3}, 'neg': {4}, 'p': cast(null as double), 'k': cast(null as double), 'no': false, 'i': cast(0 as bigint)}}".format
+    polar, strong, negated = "x.p is not null", "x.p is null and x.k is not null", "a.neg >= x.i - 3"
+    strength = "case when a.at = x.i - 1 then a.s else 1.0 end"
+    value = f"greatest(least(x.p * ({strength}), 1.0), -1.0) * case when {negated} then -0.5 else 1.0 end"
+    step = state(f"a.total + case when {polar} then {value} else {zero} end", f"a.n + cast({polar} as bigint)",
+                 f"cast(case when {strong} then ({strength}) * x.k else 1.0 end as double)", f"case when {strong} then x.i else -2 end",
+                 f"case when {polar} and {negated} then -1000000 when x.p is null and x.k is null and x.no then x.i else a.neg end")
+    start = state(zero, "cast(0 as bigint)", "cast(1 as double)", "cast(-2 as bigint)", "cast(-1000000 as bigint)")
+    token = start.replace("'p': cast(null as double)", f"'p': {_mapped(presets.POLARITY_STARTER)}[t]").replace(
+        "'k': cast(null as double)", f"'k': {_mapped(presets.STRENGTH_STARTER)}[t]").replace(
+        "'no': false", f"'no': t in ({S.lits(presets.NEGATION_STARTER)})").replace("'i': cast(0 as bigint)", "'i': cast(i as bigint)")
+    words = r"regexp_extract_all(lower(text), '[a-z]+')"
+    known = S.lits(sorted({*presets.POLARITY_STARTER, *presets.STRENGTH_STARTER, *presets.NEGATION_STARTER}))
+    return f"""with {S.POSTS}, listed as (select id, {words} as tokens from posts),
+hits as (select id, list_filter(list_transform(tokens, lambda t, i: case when t in ({known}) then {token} end), lambda h: h is not null) as hits from listed),
+folded as (select id, list_reduce(list_concat([{start}], hits), lambda a, x: {step}) as f from hits)
+select id, round(case when f.n > 0 then f.total / f.n else 0.0 end, 6) as sentiment from folded"""
+
+
+@query("sentiment_in_context", _in_context)
+def sentiment_in_context(spark, sf):
+    """Negations and strengthening words count, so the tokens are all words of the text."""
+    rows = posts(spark, sf).withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    scored = lookup.score_sentiment(rows, presets.POLARITY_STARTER, negations=presets.NEGATION_STARTER, strengths=presets.STRENGTH_STARTER)
+    return scored.select("id", F.round("sentiment", 6).alias("sentiment"))
+
+
 SHARES = """round(avg(sentiment), 6) as mean, round(stddev_samp(sentiment), 6) as std,
   round(avg(cast(sentiment > 0.1 as int)), 6) as positive_ratio, round(avg(cast(sentiment < -0.1 as int)), 6) as negative_ratio"""
 

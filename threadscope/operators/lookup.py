@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+from collections.abc import Callable, Collection, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
@@ -42,17 +45,77 @@ def lemmatize_by_table(df: DataFrame, lemmas: DataFrame, id_col: str = "id", tok
     )
 
 
-def score_sentiment(df: DataFrame, polarity: DataFrame, id_col: str = "id", tokens: str = "tokens",
-                    max_rows: int = BROADCAST_ROWS) -> DataFrame:
+IN_ROW = 10_000  # words of a table that travels inside the expression
+
+
+def word_value(values: Mapping[str, float]) -> Callable[[Column], Column]:
+    """A word's value in a bounded literal table, null if it has none. Maps search one key after the other, so the table
+    is dealt into many small ones by the word's checksum."""
+    n = 1 << max(0, len(values) // 2 - 1).bit_length()
+    parts: list[dict[str, float]] = [{} for _ in range(n)]
+    for word, value in values.items():
+        parts[zlib.crc32(word.encode()) % n][word] = float(value)
+    table = F.array(*[F.map_from_arrays(F.array(*map(F.lit, p)).cast("array<string>"), F.array(*map(F.lit, p.values())).cast("array<double>")) for p in parts])
+    return lambda word: F.try_element_at(F.get(table, F.pmod(F.crc32(word.cast("binary")), F.lit(n)).cast("int")), word)
+
+
+def sentiment_of(hits: Column, reach: int = 3, turn: float = -0.5) -> Column:
+    """Mean polarity of ``hits`` (pos, polarity, strength, negates) by position, 0 without a polar one.
+
+    A word directly after strengthening words is multiplied by their strengths, and stays within -1 and 1. A polar word
+    at most ``reach`` words after a negation is multiplied by ``turn``, and uses the negation up.
+    """
+    number, place = (lambda x: F.lit(float(x))), (lambda x: F.lit(x).cast("int"))
+    start = F.struct(number(0).alias("total"), place(0).alias("n"), number(1).alias("strength"), place(-2).alias("strong_at"), place(-1_000_000).alias("negated_at"))
+
+    def step(s: Column, h: Column) -> Column:
+        polar, strong = h["polarity"].isNotNull(), h["strength"].isNotNull()
+        strength = F.when(s["strong_at"] == h["pos"] - 1, s["strength"]).otherwise(1.0)
+        negated = s["negated_at"] >= h["pos"] - reach
+        value = F.greatest(F.least(h["polarity"] * strength, F.lit(1.0)), F.lit(-1.0)) * F.when(negated, turn).otherwise(1.0)
+        return F.struct(
+            (s["total"] + F.when(polar, value).otherwise(0.0)).alias("total"), (s["n"] + polar.cast("int")).alias("n"),
+            F.when(~polar & strong, strength * h["strength"]).otherwise(1.0).alias("strength"),
+            F.when(~polar & strong, h["pos"]).otherwise(place(-2)).alias("strong_at"),
+            F.when(polar & negated, place(-1_000_000)).when(~polar & ~strong & h["negates"], h["pos"]).otherwise(s["negated_at"]).alias("negated_at"),
+        )
+
+    return F.aggregate(hits, start, step, lambda s: F.coalesce(F.try_divide(s["total"], s["n"]), F.lit(0.0)))
+
+
+def score_sentiment(df: DataFrame, polarity: DataFrame | Mapping[str, float], id_col: str = "id", tokens: str = "tokens",
+                    max_rows: int = BROADCAST_ROWS, negations: Collection[str] = (),
+                    strengths: Mapping[str, float] | None = None, in_row: int = IN_ROW) -> DataFrame:
     """Add ``sentiment``: mean polarity over the tokens found in a (token, polarity) table, 0 without a hit.
 
-    Only tokens found in the table reach the shuffle. A null token list gives null.
+    With ``negations`` and ``strengths`` a word counts in its context, see :func:`sentiment_of`; give it tokens from which
+    stop words, and with them the negations, have not been removed. A table of at most ``in_row`` words, looked up first,
+    becomes part of the expression, and no row is shuffled; beyond that the tokens found, and only they, are joined and
+    collected per post. A word that is polar is neither negation nor strength. A null token list gives null.
     """
-    scores = polarity.groupBy("token").agg(F.avg(F.col("polarity").cast("double")).alias("polarity"))
+    strengths = dict(strengths or {})
+    if not isinstance(polarity, Mapping):
+        scores = polarity.filter("token is not null").groupBy("token").agg(F.avg(F.col("polarity").cast("double")).alias("polarity"))
+        found = scores.filter("polarity is not null").limit(in_row + 1).collect()
+        values = {r["token"]: r["polarity"] for r in found} if len(found) <= in_row else None
+    else:
+        values = polarity
+        scores = None if len(values) <= in_row else df.sparkSession.createDataFrame(list(values.items()), "token string, polarity double")
+    if values is not None and len(values) <= in_row:
+        of, strong = word_value(values), word_value(strengths)
+        known = sorted({*values, *strengths, *negations})
+        marked = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+        hits = F.transform(F.filter(marked, lambda x: x["token"].isin(*known)), lambda x: F.struct(
+            x["pos"].alias("pos"), of(x["token"]).alias("polarity"), strong(x["token"]).alias("strength"),
+            x["token"].isin(*negations).alias("negates")))
+        return df.withColumn("sentiment", F.when(F.col(tokens).isNotNull(), sentiment_of(hits)))
+    extra = df.sparkSession.createDataFrame(
+        [(w, strengths.get(w), w in negations) for w in {*strengths, *negations}], "token string, strength double, negates boolean")
+    lexicon = scores.join(F.broadcast(extra), "token", "full_outer").withColumn("negates", F.coalesce("negates", F.lit(False)))
     words = df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
-    hits = join_words(words, scores, "token", "inner", max_rows)
-    per_post = hits.groupBy(id_col).agg(F.avg("polarity").alias("_mean"))
+    found = join_words(words, lexicon, "token", "inner", max_rows)
+    hits = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "polarity", "strength", "negates"))).alias("_hits"))
     return (
-        df.join(per_post, id_col, "left")
+        df.join(hits.select(id_col, sentiment_of(F.col("_hits")).alias("_mean")), id_col, "left")
         .withColumn("sentiment", F.when(F.col(tokens).isNotNull(), F.coalesce("_mean", F.lit(0.0)))).drop("_mean")
     )

@@ -151,6 +151,12 @@ POLARITY_STARTER = {
     "terrified": -0.8,
 }
 
+# Starter words that turn or strengthen the next polar word; apostrophes are gone after cleaning.
+NEGATION_STARTER = ("not", "no", "never", "none", "neither", "nor", "without", "cannot", "cant", "dont", "doesnt", "didnt",
+                    "isnt", "wasnt", "arent", "werent", "wont", "wouldnt", "shouldnt", "couldnt", "hardly")
+STRENGTH_STARTER = {"very": 1.3, "really": 1.3, "so": 1.2, "too": 1.2, "extremely": 1.5, "totally": 1.4, "absolutely": 1.4,
+                    "quite": 1.1, "pretty": 1.1, "somewhat": 0.7, "slightly": 0.5, "barely": 0.4}
+
 # A starter lemma table (surface form to noun lemma); pass a full one for real work.
 LEMMA_STARTER = {
     "interviews": "interview", "visas": "visa", "cards": "card", "petitions": "petition", "lawyers": "lawyer",
