@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadscope.llm import simhash
-from threadscope.llm.common import Powers, checkpoint, combine, fresh, join_sized, mix, prefix_hash, shuffle_partitions, small_batches, text_bytes, utf8
+from threadscope.llm.common import Powers, checkpoint, combine, fresh, join_sized, mix, prefix_hash, release, shuffle_partitions, small_batches, text_bytes, utf8
 from threadscope.llm.simhash import LOWEST
 
 SIZE, LEAST = 5, 0.8
@@ -169,6 +169,7 @@ def survivors(docs: DataFrame, tile: int = TILE) -> DataFrame:
     equal = join_sized(nodes.select("fp", "node"), prints, "fp", "n").select(F.col("center").alias("a"), F.col("node").alias("b"))
     pairs = banded.select(F.col("center").alias("a"), F.col("node").alias("b")).union(equal).union(between)
     pairs = checkpoint(pairs.filter("a <> b").distinct())
+    release(docs.sparkSession)
 
     # Texts of nodes in buckets, by id and hash: copies of one text are spread over their ids.
     touched = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
@@ -182,6 +183,8 @@ def survivors(docs: DataFrame, tile: int = TILE) -> DataFrame:
 
     first = checkpoint(side(side(pairs, "a"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"))
 
+    release(docs.sparkSession)
+
     # Buckets of three and more in which groups are left that did not meet.
     labels = checkpoint(_labels(nodes, first))
     group = F.unhex(F.md5(F.concat(F.col("label.rep").cast("string"), F.lit("/"), F.hex("label.node")))).alias("label")
@@ -198,6 +201,7 @@ def survivors(docs: DataFrame, tile: int = TILE) -> DataFrame:
                            F.when(F.col("c") == F.col("d"), F.lit(-1)).otherwise((F.col("c") > F.col("d")).cast("int")).alias("side"))
     dealt = tiles.repartition(shuffle_partitions(docs.sparkSession), "bucket", "tile").sortWithinPartitions("bucket", "tile")
     second = checkpoint(dealt.mapInArrow(_inside, "a binary, b binary"))
+    release(docs.sparkSession)
     return _labels(nodes, first.union(second)).groupBy("label").count().select(F.col("label.rep").alias("doc"), F.col("label.node").alias("node"))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadscope.llm.common import checkpoint, fresh, join_counted, query, shuffle_partitions, table, utf8
+from threadscope.llm.common import checkpoint, fresh, join_counted, query, release, shuffle_partitions, table, utf8
 
 LOWEST = -(1 << 63)
 
@@ -266,7 +266,8 @@ def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
     No two nodes may have the same label: pointer jumping finds a node by its label.
     """
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    spark = edges.sparkSession
+    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct().repartition(shuffle_partitions(spark), "b"))  # dealt once for all rounds
     first = labels.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     now = checkpoint(first.withColumn("owner", F.col("label")))
     while True:
@@ -279,6 +280,8 @@ def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
         if not then.filter(F.col("label") < F.col("old")).limit(1).count():
             return then.select("node", "label")
         now = then.drop("old")
+        del hooked, jump, around
+        release(spark)
 
 
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
