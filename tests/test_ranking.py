@@ -115,6 +115,20 @@ def test_file_rows_beyond_the_broadcast_limit(spark):
     assert {(r.source_file, r.total_rows) for r in files.with_file_rows(df).collect()} == {("a", 60), ("b", 15), (None, None)}
 
 
+def test_sketches_of_any_range_are_close(spark):
+    """United sketches count what their months share once; nulls are no value."""
+    rows = spark.range(120_000).selectExpr("2024 + id % 2 as year", "id % 12 + 1 as month", "if(id % 10 = 0, null, id % 40000) as v", "'same' as w")
+    stored = describe.distinct_sketches(rows, ["v", "w"])
+    assert stored.columns == ["year", "month", "column", "sketch"] and stored.selectExpr("max(octet_length(sketch))").first()[0] < 20_000
+    for months in ("month <= 3", "month = 5", "year = 2024", "true"):
+        got = {r["column"]: r.n for r in describe.distinct_from_sketches(stored.filter(months)).collect()}
+        exact = rows.filter(months).selectExpr("count(distinct v)").first()[0]
+        assert abs(got["v"] - exact) <= 0.03 * exact and got["w"] == 1
+    yearly = {(r["year"], r["column"]) for r in describe.distinct_from_sketches(stored, ["year"]).collect()}
+    assert len(yearly) == 4
+    assert describe.distinct_from_sketches(stored.limit(0)).count() == 0
+
+
 def test_correlations_against_numpy(spark):
     """Nulls pair by pair, a large mean with a small spread, constants, two blocks of pairs."""
     rng = np.random.default_rng(2)

@@ -119,6 +119,20 @@ def n_distinct(spark, sf):
     return describe.n_distinct(table(spark, sf, "events"), ["user_id", "event_type"])
 
 
+@query("distinct_from_sketches", """select 'o_custkey' as "column", count(distinct o_custkey) as exact, true as close from orders
+where month(o_orderdate) between 2 and 9
+union all select 'o_totalprice', count(distinct o_totalprice), true from orders where month(o_orderdate) between 2 and 9""")
+def distinct_from_sketches(spark, sf):
+    """Sketches per month, stored, then united over a range of months; close means within 3 % of the exact count."""
+    orders = table(spark, sf, "orders").withColumns({"year": F.year("o_orderdate"), "month": F.month("o_orderdate")})
+    columns = ["o_custkey", "o_totalprice"]
+    stored = saved(spark, describe.distinct_sketches(orders, columns))
+    estimated = describe.distinct_from_sketches(stored.filter("month between 2 and 9"))
+    exact = describe.n_distinct(orders.filter("month between 2 and 9"), columns).withColumnRenamed("n", "exact")
+    close = F.abs(F.col("n") - F.col("exact")) <= F.col("exact") * 0.03
+    return exact.join(F.broadcast(estimated), "column").select("column", "exact", close.alias("close"))
+
+
 def polarity(spark):
     return spark.createDataFrame(list(presets.POLARITY_STARTER.items()), "token string, polarity double")
 

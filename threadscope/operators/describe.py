@@ -91,6 +91,23 @@ def n_distinct(df: DataFrame, columns: Sequence[str], approximate: bool = False)
     ])))
 
 
+def distinct_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("year", "month"), lg_k: int = 14) -> DataFrame:
+    """A mergeable sketch of the distinct values of each column per period: ``by, column, sketch``, 16 KB each at most.
+
+    Meant to be stored once and united for any range by :func:`distinct_from_sketches`; exact counts are
+    :func:`n_distinct`. Nulls are no value.
+    """
+    made = df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), lg_k).alias(f"_{i}") for i, c in enumerate(columns)])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("sketch")) for i, c in enumerate(columns)])
+    return made.select(*by, F.inline(each))
+
+
+def distinct_from_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct values per column (and ``by``) over all sketches given, within about 1 % at the default size."""
+    united = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(*by, "column").agg(united.alias("n"))
+
+
 def sentiment_summary(df: DataFrame, by: Sequence[str] = (), column: str = "sentiment",
                       threshold: float = presets.SENTIMENT_THRESHOLD) -> DataFrame:
     """Mean, sample deviation, share above and below the threshold; overall or per key."""
