@@ -1,5 +1,6 @@
 """Readers, writers, streams and the whole run."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -26,6 +27,36 @@ def test_csv_bad_lines_and_encodings(spark, tmp_path):
         ("8", None, "v"), ("9", "x", "café")}
 
 
+def test_csv_folder_reads_one_file_in_many_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    piece = lambda: rng.choice(["word", '"', "\n", ",", "\n\n", "é", " ", "x" * 30, '""'])
+    rows = [(str(i), "".join(piece() for _ in range(rng.randrange(1, 12))) + ".") for i in range(3000)]
+    rows[700] = ("700", "a\n" * 9000 + ".")  # longer than several splits
+    quoted = [f'{i},"{t.replace(chr(34), chr(34) * 2)}"' for i, t in rows]
+    quoted[10:10] = ['x,"too",many', "short", "", '"7\n7","with ""line"" breaks, in both\n"']
+    folder = tmp_path / "csv" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "big.csv").write_bytes(("id,text\n" + "\n".join(quoted) + "\n").encode())
+    (folder / "latin.csv").write_bytes("id,text\r\n9000,café\r\n9001,\"b\r\nc\"\r\n".encode("latin-1"))
+    (folder / "mark.csv").write_bytes('\ufeff"id\nof",text\n9002,last'.encode())
+    (folder / "empty.csv").write_bytes(b"")
+    (folder / "other.txt").write_bytes(b"no,table\n")
+    want = sorted([*rows, ("short", None), ("7\n7", 'with "line" breaks, in both\n'), ("9000", "café"),
+                   ("9001", "b\r\nc"), ("9002", "last")])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for bound in (readers.BLOCKS_BROADCAST, 0):
+            df = readers.read_csv_folder(spark, str(tmp_path / "csv"), ["id", "text"], max_blocks=bound)
+            assert sorted(map(tuple, df.collect())) == want
+        assert spark.read.text(str(folder / "big.csv")).rdd.getNumPartitions() > 10
+        listed = readers.read_csv_tolerant(spark, [str(folder / "big.csv")], ["id", "text"])
+        assert listed.exceptAll(df).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert readers.read_csv_folder(spark, str(folder), ["id", "text"], glob="empty.csv").isEmpty()
+
+
 def test_unreadable_file_is_reported(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "good"))
     (tmp_path / "good" / "broken.parquet").write_text("no parquet at all, just some words in a file")
