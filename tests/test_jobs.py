@@ -4,9 +4,11 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from threadscope.catalog import fixtures
+from threadscope.operators import cleaning
 from threadscope.operators.tagging import tag_posts
 from threadscope.plans import study
 from threadscope.sources import files, readers, writers
@@ -112,6 +114,54 @@ def test_stream_in_batches_equals_batch_and_resumes(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def test_batch_lost_between_write_and_entry(spark, tmp_path, monkeypatch):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    posts = fixtures.posts(spark, SF)
+    posts.repartition(3).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    enter, lost = jobs._enter, []
+
+    def fail_once(session, target, number, rows):
+        if number == 1 and not lost:
+            lost.append(rows)
+            raise RuntimeError("lost")
+        enter(session, target, number, rows)
+
+    def go():
+        jobs.ingest_batches(jobs.post_stream(spark, source, schema, files_per_batch=1), out).awaitTermination()
+
+    monkeypatch.setattr(jobs, "_enter", fail_once)
+    with pytest.raises(StreamingQueryException):
+        go()
+    assert lost and (tmp_path / "out" / "rows" / "batch=1").exists()
+    assert [r.batch for r in jobs.ledger(spark, out).collect()] == [0]
+    assert jobs.committed(spark, out).count() == jobs.ledger(spark, out).first().rows < posts.count()
+    go()
+    go()
+    want = tag_posts(posts)
+    got = jobs.committed(spark, out).select(*want.columns)
+    assert sorted(r.batch for r in jobs.ledger(spark, out).collect()) == [0, 1, 2]
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_first_by_time_whatever_the_order_of_arrival(spark, tmp_path):
+    base, rng = datetime(2024, 3, 1), random.Random(4)
+    schema = "id int, created_ts timestamp, text string, subreddit string"
+    rows = [(i, base + timedelta(minutes=rng.randrange(600)), rng.choice("abcdefgh"), rng.choice(["s", None])) for i in range(200)]
+    rows += [(200 + i, *rows[i][1:]) for i in range(20)]  # ties in time
+    late = (900, base + timedelta(days=30), "end", "s")
+    rng.shuffle(rows)
+    source, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for part in (rows[:70], rows[70:150], rows[150:], [late], [(901, base, "a", "s")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        first = jobs.stream_first(jobs.post_stream(spark, source, schema))
+        jobs.start(first, out, ck).awaitTermination()
+    want = cleaning.dedupe(spark.createDataFrame(rows, schema), ("text", "subreddit"), ("created_ts", "id"))
+    got = spark.read.parquet(out)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_live_counts_drop_late_rows(spark, tmp_path):
     source, base = str(tmp_path / "in"), datetime(2024, 3, 1, 12)
     batches = [[(base, "afraid?")], [(base + timedelta(days=3), "x")], [(base, "too late"), (base + timedelta(days=5), "y")]]

@@ -30,7 +30,16 @@ def apply(spark, expr, values):
     (T.remove_emoji, "漢字 ok", "漢字 ok"),
     (lambda c: T.remove_emoji(c, wide=True), "漢字 ok", " ok"),
     (T.describe_emoji, "hi 😀x", "hi  grinning_face x"),
-    (T.describe_emoji, "a🇺🇸b", "a regional_indicator_symbol_letter_u  regional_indicator_symbol_letter_s b"),
+    (T.describe_emoji, "a🇺🇸b", "a flag_us b"),
+    (T.describe_emoji, "🇺🇸🇩🇪🇫", " flag_us  flag_de  regional_indicator_symbol_letter_f "),
+    (T.describe_emoji, "x\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F \U0001F3F4",
+     "x flag_gbeng   waving_black_flag "),
+    (T.describe_emoji, "1\ufe0f\u20e3 of 12, #\u20e3 *\ufe0f\u20e3", " keycap_1  of 12,  keycap_number_sign   keycap_asterisk "),
+    (T.describe_emoji, "👋🏿👋", " waving_hand_sign_dark_skin_tone  waving_hand_sign "),
+    (T.describe_emoji, "👨\u200d👩\u200d👧 👩🏽\u200d💻", " man_woman_girl   woman_medium_skin_tone_personal_computer "),
+    (T.describe_emoji, "❤\ufe0f\u200d🔥 ❤\ufe0f", " heavy_black_heart_fire   heavy_black_heart "),
+    (T.describe_emoji, "a\u200db c\ufe0f 12#", "a\u200db c\ufe0f 12#"),
+    (T.describe_emoji, "─\ufe0f 😀", "─\ufe0f  grinning_face "),
     (T.describe_emoji, "⭐⌚🀄", " white_medium_star  watch  mahjong_tile_red_dragon "),
     (T.squash_whitespace, "  a \t\n b c  d ", "a b c d"),
     (T.keep_basic_chars, "a@b #c 𝐀é_1!?", "ab c 𝐀é_1!?"),
@@ -48,6 +57,14 @@ def test_golden(spark, expr, given, wanted):
         assert apply(spark, expr, [given]) == [wanted]
 
 
+def test_very_long_texts_with_emoji(spark):
+    long = "word 12 # " * 200_000
+    got = apply(spark, T.describe_emoji, [long + "👋🏿", "👧" + "\u200d👧" * 50_000, "12\u20e3"])
+    assert got[0] == long + " waving_hand_sign_dark_skin_tone "
+    assert got[1].count("girl") == 50_001 and "👧" not in got[1]
+    assert got[2] == "1 keycap_2 "
+
+
 def plain_clean(text):
     """The cleaning steps in plain Python."""
     if not text:

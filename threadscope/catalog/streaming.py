@@ -30,6 +30,16 @@ def ingest_stream(spark, sf):
     return spark.read.parquet(f"{out}/rows").select("id", *FLAGS)
 
 
+@query("ingest_batches", f"with {S.POSTS}, {S.tagged()} select id, {', '.join(FLAGS)} from tagged")
+def ingest_batches(spark, sf):
+    """Started twice as well; rows are read through the ledger."""
+    path, schema = post_folder(spark, sf)
+    out = scratch_path(spark, "batches")
+    for _ in range(2):
+        jobs.ingest_batches(jobs.post_stream(spark, path, schema, files_per_batch=4), out).awaitTermination()
+    return jobs.committed(spark, out).select("id", *FLAGS)
+
+
 def event_stream(spark, sf):
     schema = use_utc(spark).read.parquet(f"{sf}/events.parquet").schema
     stream = jobs.post_stream(spark, sf, schema, glob="events.parquet")
@@ -57,3 +67,19 @@ def stream_dedupe(spark, sf):
     unique = jobs.stream_dedupe(event_stream(spark, sf), ("user_id", "subreddit"), delay="60 days")
     jobs.start(unique, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("user_id", "subreddit")
+
+
+@query("stream_first", """with steps as (
+  select *, case when ts <= lag(ts) over w + interval 1 day then 0 else 1 end as begins from events
+  window w as (partition by user_id, event_type order by ts)),
+groups as (select *, sum(begins) over (partition by user_id, event_type order by ts) as nth from steps),
+ranked as (select *, max(ts) over g as last_ts, row_number() over (g order by ts, event_id) as r from groups
+  window g as (partition by user_id, event_type, nth))
+select event_id as id, ts as created_ts, concat_ws(' ', event_type, props) as text, event_type as subreddit, user_id
+from ranked where r = 1 and last_ts + interval 1 day <= (select max(ts) from events) - interval 1 day""")
+def stream_first(spark, sf):
+    """Whole rows of the groups that the watermark has passed."""
+    out = scratch_path(spark, "first")
+    first = jobs.stream_first(event_stream(spark, sf), ("user_id", "subreddit"))
+    jobs.start(first, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")

@@ -29,6 +29,29 @@ _text_query("remove_emoji", T.remove_emoji, lambda c: S.replace_all(c, f"[{T.EMO
 _text_query("remove_emoji_wide", lambda c: T.remove_emoji(c, wide=True),
             lambda c: S.replace_all(c, f"[{T.EMOJI_WIDE}]+", ""))
 _text_query("describe_emoji", T.describe_emoji, S.name_emoji)
+
+
+# Sequences of each kind and their names, so that the SQL does not depend on the table of names.
+SEQUENCES = {
+    "🇺🇸": "flag_us", "1\ufe0f\u20e3": "keycap_1", "👋🏿": "waving_hand_sign_dark_skin_tone",
+    "👨\u200d👩\u200d👧": "man_woman_girl", "❤\ufe0f": "heavy_black_heart",
+}
+
+
+def _sequence_sql() -> str:
+    expr = "concat(" + ", ".join(["text", *[f"case when doc_id % {i + 2} = 0 then {S.lit(e)} else '' end" for i, e in enumerate(SEQUENCES)]]) + ")"
+    for sequence, name in SEQUENCES.items():
+        expr = f"replace({expr}, {S.lit(sequence)}, {S.lit(f' {name} ')})"
+    return f"select doc_id, {expr} as text from documents"
+
+
+@query("describe_emoji_sequences", _sequence_sql)
+def describe_emoji_sequences(spark, sf):
+    """Every text with sequences of up to five kinds behind it."""
+    ends = [F.when(F.col("doc_id") % (i + 2) == 0, F.lit(e)).otherwise(F.lit("")) for i, e in enumerate(SEQUENCES)]
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", T.describe_emoji(F.concat("text", *ends)).alias("text"))
+
 _text_query("keep_basic_chars", T.keep_basic_chars, S.basic_chars)
 _text_query("squash_punctuation", T.squash_punctuation, S.squash_marks)
 _text_query("to_ascii", T.to_ascii, S.ascii_only)

@@ -32,8 +32,7 @@ EMOJI_WIDE = (
     r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
     r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}"
 )
-# Pictograph blocks, and the single characters of other blocks that are shown as emoji. Letters of flags get
-# a name each; the joiners of sequences have none, so the parts of a sequence are named one by one.
+# Pictograph blocks, and the single characters of other blocks that are shown as emoji.
 EMOJI_NAME_BLOCKS = (
     (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F7E0, 0x1F7EB), (0x1F900, 0x1FAFF), (0x2600, 0x27BF), (0x1F1E6, 0x1F1FF),
     (0x231A, 0x231B), (0x23E9, 0x23F3), (0x23F8, 0x23FA), (0x25FD, 0x25FE), (0x2B1B, 0x2B1C), (0x2B50, 0x2B50), (0x2B55, 0x2B55),
@@ -41,6 +40,17 @@ EMOJI_NAME_BLOCKS = (
     (0x1F22F, 0x1F22F), (0x1F232, 0x1F236), (0x1F238, 0x1F23A), (0x1F250, 0x1F251),
 )
 
+# Fixed values of emoji sequences: skin tones, marks of keycaps, letters of flags, the black flag and the tags after it, the
+# joiner and the selector of the coloured form.
+SKIN_TONES = {
+    "\U0001F3FB": "light_skin_tone", "\U0001F3FC": "medium_light_skin_tone", "\U0001F3FD": "medium_skin_tone",
+    "\U0001F3FE": "medium_dark_skin_tone", "\U0001F3FF": "dark_skin_tone",
+}
+KEYCAP, KEYCAP_MARKS = r"\x{20E3}", {"#": "number_sign", "*": "asterisk"}
+FLAG_LETTERS, BLACK_FLAG, TAGS, LAST_TAG = (0x1F1E6, 0x1F1FF), r"\x{1F3F4}", (0xE0020, 0xE007E), r"\x{E007F}"
+JOINER, COLOURED = r"\x{200D}", r"\x{FE0F}"
+MOST_JOINED = 10  # longer ones are read as several; the longest in use have four parts
+
 TOKEN = r"[a-z0-9_]+|[^a-z0-9_" + WS + "]"
 PUNCT_ONLY = r"^[!-/:-@\[-`{-~]+$"
 
@@ -215,9 +225,9 @@ def literal_map(table: Mapping[str, str]) -> Column:
     return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
 
 
-def _swap_chars(col: Column, table: Mapping[str, str], pad: str = "") -> Column:
+def _swap_chars(col: Column, table: Mapping[str, str]) -> Column:
     """Replace single characters by strings, only in rows that hold one of them."""
-    names = literal_map({k: f"{pad}{v}{pad}" for k, v in table.items()})
+    names = literal_map(table)
     listed = _wide_class(table)
     # Listed characters come out one by one, the text between them in long runs, so few pieces are looked up.
     pieces = F.lit(f"[{listed}]|[^{listed}]+")
@@ -238,8 +248,52 @@ def has_non_ascii(col: Column) -> Column:
 
 
 def describe_emoji(col: Column) -> Column:
-    """Each emoji becomes its name between blanks."""
-    return _swap_chars(col, emoji_names(), pad=" ")
+    """Each emoji becomes its name between blanks; of several readings the longest sequence counts.
+
+    Two flag letters are ``flag_us``, a flag with tags ``flag_gbeng``, a keycap ``keycap_1``; emoji that are joined or have a
+    skin tone are the names of their parts, joined (``man_woman_girl``, ``waving_hand_sign_dark_skin_tone``). The selector
+    of the coloured form goes. A sequence without any named part stays as it is.
+    """
+    names, tones, marks = literal_map(emoji_names()), literal_map(SKIN_TONES), literal_map(KEYCAP_MARKS)
+    listed, flags = _wide_class(emoji_names()), f"[{_between(FLAG_LETTERS)}]"
+    one = f"[{listed}][{''.join(SKIN_TONES)}]?{COLOURED}?"
+    keycap = f"[0-9#*]{COLOURED}?{KEYCAP}"
+    pieces = "|".join([
+        keycap, f"{flags}{{2}}", f"{BLACK_FLAG}[{_between(TAGS)}]+{LAST_TAG}", f"{one}(?:{JOINER}{one}){{0,{MOST_JOINED - 1}}}",
+        # Classes alone between them, which match texts of any length without recursion.
+        f"[^{listed}0-9#*]+", f"[0-9#*]+(?!{COLOURED}?{KEYCAP})",
+    ])
+    letters, tags = ["".join(map(chr, range(first, last + 1))) for first, last in (FLAG_LETTERS, TAGS)]
+    plain_tags = "".join(chr(ord(c) - 0xE0000) for c in tags)
+
+    def part(p: Column, i: Column) -> Column:
+        return F.coalesce(F.when(i > 0, F.try_element_at(tones, p)), F.try_element_at(names, p))
+
+    def joined(p: Column) -> Column:
+        parts = F.regexp_extract_all(p, F.lit(f"[^{JOINER}{COLOURED}]"), F.lit(0))
+        named = F.filter(F.transform(parts, part), lambda n: n.isNotNull())
+        return let(F.array_join(named, "_"), lambda n: F.when(n == "", p).otherwise(F.concat(F.lit(" "), n, F.lit(" "))))
+
+    def name(p: Column) -> Column:
+        return (
+            F.when(F.length(p) == 1, F.coalesce(F.concat(F.lit(" "), F.try_element_at(names, p), F.lit(" ")), p))
+            .when(p.rlike(f"^{flags}{{2}}$"), F.concat(F.lit(" flag_"), F.translate(p, letters, "abcdefghijklmnopqrstuvwxyz"), F.lit(" ")))
+            .when(p.rlike(f"^{keycap}$"), let(F.substring(p, 1, 1), lambda m: F.concat(
+                F.lit(" keycap_"), F.coalesce(F.try_element_at(marks, m), m), F.lit(" "))))
+            .when(p.rlike(f"^{BLACK_FLAG}.*{LAST_TAG}$"), F.concat(
+                F.lit(" flag_"), F.regexp_replace(F.translate(p, tags, plain_tags), f"{BLACK_FLAG}|{LAST_TAG}", ""), F.lit(" ")))
+            .when(p.rlike(f"^[{listed}]"), joined(p)).otherwise(p)
+        )
+
+    def swap(text: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(pieces), F.lit(0)), name)
+        return F.when(has_non_ascii(text) & text.rlike(f"{_NON_ASCII}[{listed}{KEYCAP}]"), F.array_join(found, "")).otherwise(text)
+
+    return let(col, swap)
+
+
+def _between(span: tuple[int, int]) -> str:
+    return f"\\x{{{span[0]:X}}}-\\x{{{span[1]:X}}}"
 
 
 def to_ascii(col: Column) -> Column:
