@@ -258,3 +258,24 @@ def test_word_join_beyond_the_broadcast_limit(spark):
     a = {r.id: r.sentiment for r in lookup.score_sentiment(posts, table).collect()}
     b = {r.id: r.sentiment for r in lookup.score_sentiment(posts, table, max_rows=3, in_row=3).collect()}
     assert a == b and a[0] == 0.5 and a[1] == pytest.approx((5 * 0.5 - 0.25) / 6)
+
+
+def test_plurals_by_endings_and_vocabulary(spark):
+    known = ["visa", "box", "church", "dish", "policy", "wolf", "fireman", "glass", "bus", "buse", "news", "s", "quiz", "class"]
+    plurals = {"visas": "visa", "boxes": "box", "churches": "church", "dishes": "dish", "wolves": "wolf", "firemen": "fireman",
+               "glasses": "glass", "policies": "policy", "buses": "bus", "children": "child", "classes": "class"}
+    same = ["glass", "news", "unknowns", "s", "ses", "running", "bus", ""]
+    tokens = [*plurals, *same, "visas"]
+    df = spark.createDataFrame([(1, tokens), (2, []), (3, None)], "id int, tokens array<string>")
+    vocabulary = spark.createDataFrame([(w,) for w in [*known, "visa", None]], "token string")
+    for bound in (lookup.BROADCAST_ROWS, 1):
+        got = {r.id: r.tokens for r in lookup.lemmatize_nouns(df, vocabulary, max_rows=bound).collect()}
+        assert got == {1: [*plurals.values(), *same, "visa"], 2: [], 3: None}
+    table = lookup.noun_lemmas(spark.createDataFrame([("visas",), ("visas",), (None,)], "token string"), vocabulary)
+    assert [tuple(r) for r in table.collect()] == [("visas", "visa")]
+    assert lookup.noun_lemmas(df.limit(0).select(F.explode("tokens").alias("token")), vocabulary).isEmpty()
+
+
+def test_vocabulary_of_a_corpus(spark):
+    df = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", "c"]), (3, ["b"])], "id int, tokens array<string>")
+    assert sorted(r.token for r in lookup.corpus_words(df, 2).collect()) == ["a", "b"]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadscope import presets
 from threadscope.catalog import sql as S
-from threadscope.catalog.fixtures import posts, table
+from threadscope.catalog.fixtures import posts, saved, table
 from threadscope.catalog.registry import query
 from threadscope.functions import text as T
 from threadscope.operators import cleaning, lookup
@@ -114,6 +114,33 @@ def lemmatize_by_table(spark, sf):
     return lookup.lemmatize_by_table(rows, table_).select("id", F.array_join("tokens", " ").alias("text"))
 
 
+def _noun_sql() -> str:
+    forms = " union all ".join(
+        [f"select token, 0 as o, token as form from ended"]
+        + [f"select token, {i + 1}, concat(left(token, length(token) - {len(old)}), {S.lit(new)}) from ended "
+           f"where token like '%{old}' and length(token) > {len(old)}" for i, (old, new) in enumerate(presets.NOUN_ENDINGS)])
+    ended = " or ".join(f"token like '%{old}'" for old, _ in presets.NOUN_ENDINGS)
+    fixed = ", ".join(f"({S.lit(k)}, {S.lit(v)})" for k, v in presets.LEMMA_STARTER.items())
+    return f"""with {S.POSTS}, split as (select id, {S.tokens_expr('text')} as t from posts),
+words as (select id, unnest(t) as token, generate_subscripts(t, 1) as pos from split),
+vocabulary as (select token as form from words group by 1 having count(distinct id) >= 3),
+fixed(token, lemma) as (values {fixed}),
+ended as (select distinct token from words where ({ended}) and token not in (select token from fixed)),
+forms as ({forms}),
+best as (select token, form as lemma from forms semi join vocabulary using (form)
+  qualify row_number() over (partition by token order by length(form), o) = 1),
+lemmas as (select * from best union all select * from fixed)
+select split.id, coalesce(string_agg(coalesce(lemma, token), ' ' order by pos), '') as text
+from split left join words using (id) left join lemmas using (token) group by 1"""
+
+
+@query("lemmatize_nouns", _noun_sql)
+def lemmatize_nouns(spark, sf):
+    """The corpus is its own vocabulary: words of at least three posts."""
+    rows = saved(spark, posts(spark, sf).select("id", T.tokenize(F.col("text")).alias("tokens")))
+    return lookup.lemmatize_nouns(rows, lookup.corpus_words(rows)).select("id", F.array_join("tokens", " ").alias("text"))
+
+
 @query("preprocess", lambda: f"""with {S.POSTS}, {S.preprocessed('posts')}
 select id, cleaned_text, processed_text, word_count, is_valid from prepared""")
 def preprocess(spark, sf):

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Collection, Mapping
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadscope import presets
+from threadscope.functions.text import literal_map
+from threadscope.session import scratch_path
+
 BROADCAST_ROWS = 500_000
 SALTS = 32
 
@@ -45,6 +49,53 @@ def lemmatize_by_table(df: DataFrame, lemmas: DataFrame, id_col: str = "id", tok
     )
 
 
+def corpus_words(df: DataFrame, min_posts: int = 3, tokens: str = "tokens") -> DataFrame:
+    """Words that at least so many posts use, as (token): a vocabulary where no word list is at hand."""
+    used = df.select(F.explode(F.array_distinct(tokens)).alias("token"))
+    return used.groupBy("token").agg(F.count(F.lit(1)).alias("_posts")).filter(F.col("_posts") >= min_posts).select("token")
+
+
+def noun_lemmas(words: DataFrame, vocabulary: DataFrame, exceptions: Mapping[str, str] = presets.LEMMA_STARTER,
+                endings: Sequence[tuple[str, str]] = presets.NOUN_ENDINGS) -> DataFrame:
+    """Singulars as a (token, lemma) table, for the words of a (token) table that are not their own lemma.
+
+    Each ending a word has is detached and its replacement put there; of the forms the vocabulary (token) knows, the word
+    itself among them, the shortest counts, then the first ending. Listed exceptions go first. Nothing is left of an
+    empty form, and null words have no lemma. Works on distinct words, so a common word counts once.
+    """
+    token = F.col("token")
+    forms = [F.struct(F.lit(0).alias("order"), token.alias("form"))] + [
+        F.when(token.endswith(old) & (F.length(token) > len(old)), F.struct(
+            F.lit(i + 1).alias("order"), F.concat(token.substr(F.lit(1), F.length(token) - len(old)), F.lit(new)).alias("form")))
+        for i, (old, new) in enumerate(endings)
+    ]
+    listed = list(exceptions)
+    distinct = words.filter(token.isNotNull()).select("token").distinct()
+    ended = F.lit(False)
+    for old, _ in endings:
+        ended = ended | token.endswith(old)
+    tried = distinct.filter(ended & ~token.isin(*listed)).select(
+        "token", F.explode(F.filter(F.array(*forms), lambda f: f.isNotNull())).alias("f")).select("token", "f.*")
+    known = vocabulary.select(F.col("token").alias("form")).filter("form is not null").distinct()
+    ruled = tried.join(known, "form").groupBy("token").agg(
+        F.min(F.struct(F.length("form"), "order", "form")).alias("best")).select("token", F.col("best.form").alias("lemma"))
+    fixed = distinct.filter(token.isin(*listed)).select(
+        "token", F.try_element_at(literal_map(exceptions), token).alias("lemma"))
+    return ruled.unionByName(fixed).filter("token <> lemma")
+
+
+def lemmatize_nouns(df: DataFrame, vocabulary: DataFrame, id_col: str = "id", tokens: str = "tokens",
+                    exceptions: Mapping[str, str] = presets.LEMMA_STARTER, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Replace plurals by singulars that :func:`noun_lemmas` derives from the words in use; order is kept.
+
+    The derived table is saved, as :func:`lemmatize_by_table` asks for its size before it joins.
+    """
+    words = df.select(F.explode(tokens).alias("token"))
+    path = scratch_path(df.sparkSession, "lemmas")
+    noun_lemmas(words, vocabulary, exceptions).write.parquet(path)
+    return lemmatize_by_table(df, df.sparkSession.read.parquet(path), id_col, tokens, max_rows)
+
+
 IN_ROW = 10_000  # words of a table that travels inside the expression
 
 

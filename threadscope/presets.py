@@ -163,6 +163,10 @@ LEMMA_STARTER = {
     "children": "child", "men": "man", "women": "woman", "people": "people", "policies": "policy",
 }
 
+#: Endings of English plurals and what the singular has in their place, in the order they are tried.
+NOUN_ENDINGS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"),
+                ("men", "man"), ("ies", "y"))
+
 #: The English stop words of Spark's own list, here as text so that no session or jar is needed to read them.
 ENGLISH_STOP_WORDS = (
     "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
