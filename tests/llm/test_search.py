@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tables import HARD, SF, hard_docs, rows_of
 
 from threadscope.llm import decontaminate, licenses, sharding, topk
@@ -138,6 +139,20 @@ def test_shards_of_hard_rows(spark, block):
     assert sharding.assign(hard_docs(spark, [])).count() == 0
 
 
+def test_copies_of_a_row_are_numbered_in_many_blocks(spark):
+    docs = spark.range(3000).select((F.when(F.col("id") < 1000, 5).otherwise(F.col("id"))).alias("doc_id"), F.lit("t").alias("text"))
+    got = sharding.assign(docs, shards=2, block=50)
+    # Tiny partitions would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written = got.filter("doc_id = 5").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in written) == 1000 and len(written) > 1
+    for r in got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect():
+        assert (r["slots"], r["lo"], r["hi"]) == (r["n"], 0, r["n"] - 1)
+
+
 def test_shard_column_needs_no_shuffle(spark):
     df = sharding.with_shard(hard_docs(spark, [(5, "x")]))
     assert df.columns[-1] == "_shard" and df.first()["_shard"] == jump(5, 24)

@@ -66,7 +66,8 @@ def jumps(key: Column, shards: int) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", block: int = 20_000) -> DataFrame:
-    """(key, size, text_crc32, law, shard, slot, grown_shard) of every row."""
+    """(key, size, text_crc32, law, shard, slot, grown_shard) of every row. Copies of a row travel as counts of at most
+    ``block``, each dealt to a block of its own, so that no task numbers or writes all of them."""
     text = utf8(docs["text"])
     rows = docs.select(
         docs[key].cast("long").alias("key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
@@ -74,10 +75,12 @@ def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", block: int =
     total = docs.select(F.lit(1)).count()
     blocks = max(1, -(-total // (block * shards)))
     placed = equal.withColumn("to", jumps(F.coalesce("key", F.lit(0)), shards)).select("key", "size", "crc", "n", "to.shard", "to.grown")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("key", "size", "crc"), F.lit(blocks)))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block).cast("long")))
+    placed = placed.withColumn("part", parts).withColumn("n", F.least(F.col("n") - F.col("part") * block, F.lit(block).cast("long")))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key", "size", "crc", "part"), F.lit(blocks)))
     counts = placed.groupBy("shard", "block").agg(F.sum("n").alias("rows"))
     before = counts.select("shard", "block", (F.sum("rows").over(Window.partitionBy("shard").orderBy("block")) - F.col("rows")).alias("base"))
-    inside = Window.partitionBy("shard", "block").orderBy("key", "size", "crc")
+    inside = Window.partitionBy("shard", "block").orderBy("key", "size", "crc", "part")
     numbered = placed.join(before, ["shard", "block"]).withColumn("first", F.col("base") + F.sum("n").over(inside) - F.col("n"))
     slots = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
     return numbered.select(
