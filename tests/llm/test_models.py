@@ -33,6 +33,10 @@ def test_toxicity_of_hard_rows(spark):
     assert all(r["predicted"] == d % 2 for d, r in got.items())
     kept = toxicity.without_toxic(docs, model)
     assert kept.schema == docs.schema and kept.filter("doc_id between 250 and 299").count() == 25
+    again = [(101, f"one of many texts of an id {i}") for i in range(150)]  # a third of all rows
+    more = toxicity.fit(hard_docs(spark, [tuple(r) for r in docs.select("doc_id", "text").collect()] + again), labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, more).filter("doc_id >= 250").collect()}
+    assert all(r["predicted"] == d % 2 for d, r in got.items())
     empty = toxicity.fit(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(docs, empty).collect()} <= {toxicity.probability(np.log(1e-6 / (1 - 1e-6)))}
     assert toxicity.score(hard_docs(spark, []), model).count() == 0

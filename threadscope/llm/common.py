@@ -64,10 +64,11 @@ def utf8(col) -> F.Column:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``limit`` bytes of text (or one row); numpy needs about 100 bytes for each of them."""
+    """The same rows in slices of at most ``limit`` bytes of text (or one row); numpy needs about 100 bytes for each of them.
+    Null texts count as empty."""
     for batch in batches:
         col = batch.column(column)
-        ends = np.cumsum(pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

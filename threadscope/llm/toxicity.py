@@ -7,7 +7,8 @@ presence times r; a second part of the sample fits slope and offset of the proba
 equal size, so what the threshold means does not change with the share of toxic documents in a corpus. Scoring reads whole texts in numpy, a few table look-ups per character.
 
 Null or empty texts hold no n-gram and get the score of such a text. Labels that are null, or whose document is missing,
-are not learnt from; a document labelled several times counts once, toxic if any label says so. Without rows of
+are not learnt from; a document labelled several times counts once, toxic if any label says so, and of the rows of a
+repeated id only the one whose text has the smallest hash is learnt from. Without rows of
 both classes every score is the share of toxic rows (0 without rows). Only ``text`` enters a score.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadscope.llm.common import query, table, utf8
+from threadscope.llm.common import query, small_batches, table, utf8
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -137,12 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Model:
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), utf8(docs["text"]).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             grams = [features(t).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(grams, pa.binary())], ["id", "toxic", "grams"])
 
-    rows = texts.join(sample, "id").select("id", "toxic", "text").mapInArrow(extract, "id long, toxic int, grams binary").collect()
-    rows = {r["id"]: r for r in rows}.values()  # a repeated id is one document
+    # One text an id before anything is extracted: at most 2 * max_rows rows reach the driver, however often ids repeat.
+    single = texts.join(sample, "id").groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    rows = single.select("id", "toxic", "first.text").mapInArrow(extract, "id long, toxic int, grams binary").collect()
     order = np.random.default_rng(7).permutation(len(rows))
     rows = sorted(rows, key=lambda r: r["id"])
     total = sum(shares.values())
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Model:
 
 def _scores(model: Model, batches: Iterator[pa.RecordBatch], column: str):
     weights = model.table()
-    for batch in batches:
+    for batch in small_batches(batches, column):
         yield batch, [probability(logit(t, weights, model.offset)) for t in (x or "" for x in batch.column(column).to_pylist())]
 
 
