@@ -90,11 +90,12 @@ def test_cleaning_runs_once_below_its_filter(spark):
 def test_no_plan_has_a_product_or_python(spark):
     for name, run in QUERIES.items():
         if name in ("topic_terms", "assign_topics", "topic_distribution", "train_and_predict", "evaluate_classifier",
-                    "lemmatize_by_table") or "stream" in name or name == "live_counts":
+                    "lemmatize_by_table", "batch_topic_terms", "batch_topic_shares") or "stream" in name or name == "live_counts":
             continue  # they train, stream, or start from a Python list
         text = plan(run(spark, SF))
-        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
-            assert bad not in text, (name, bad)
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow"):
+            # Quotes before a line are counted in the order of its file, which no DataFrame operator keeps without a shuffle.
+            assert bad not in text or (name, bad) == ("read_csv_folder", "MapInArrow"), (name, bad)
 
 
 def test_two_years_take_one_scan_with_a_pushed_range(spark, tmp_path):
