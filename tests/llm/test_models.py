@@ -69,8 +69,39 @@ def test_rules_on_random_texts(spark):
     for r in found:
         text = texts[r["doc_id"]] or ""
         assert [(s["start"], s["kind"], s["stop"]) for s in r["rules"]] == rules_by_hand(text), text
-        want = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_.=-]+", text) if len(m[0]) >= 16]
+        want = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_.=-]+", text)
+                if len(m[0]) >= 16 or len(m[0]) >= 8 and (re.search("[0-9+/_=]", m[0]) or re.search("[:=][ \"']*\\Z", text[:m.start()]))]
         assert [(c["start"], c["stop"]) for c in r["cands"]] == want, text
+        spans = [(s["start"], s["stop"]) for s in r["rules"]]
+        for c in r["cands"]:
+            parts = [(a, min(a + secrets.BODY, c["stop"])) for a in range(c["start"], c["stop"], secrets.BODY)]
+            assert list(c["touched"]) == [int(any(a < y and x < b for x, y in spans)) for a, b in parts]
+            assert c["label"] == max(c["touched"]) and len(c["windows"]) == secrets.WINDOW * len(parts)
+
+
+def test_secrets_late_in_a_run_and_short_ones_are_learnt(spark):
+    rng = np.random.default_rng(12)
+
+    def letters(n, of="aehilnorst"):
+        return "".join(rng.choice(list(of), n))
+
+    texts = []
+    for i in range(400):  # a key that starts in the third segment of its run; runs and short values without one
+        texts.append(f"see {letters(150)}.{letters(48, '0123456789abcdef')} here" if i % 2 else f"see {letters(190)} here")
+        texts.append(f"é login: {letters(6)}{i % 10}{letters(4, '0123456789')} now")
+    found = packing.checkpoint(secrets.findings(hard_docs(spark, list(enumerate(texts)))))
+    detector = secrets.fit(found, max_rows=400)
+    rows = {r["doc_id"]: r["cands"] for r in found.collect()}
+    assert all(len(rows[2 * i + 1]) == 1 and rows[2 * i + 1][0]["start"] == 9 for i in range(400))
+    for i in range(1, 400, 2):
+        assert list(rows[2 * i][0]["touched"])[0] == 0 and rows[2 * i][0]["label"] == 1
+    cands = [rows[2 * i][0] for i in range(400)]
+    caught = detector.probabilities([bytes(c["windows"]) for c in cands]) >= detector.threshold
+    assert np.mean(caught == np.array([c["label"] for c in cands])) > 0.95
+    one = ["x"] * 300 + [t for t in texts[:200]]  # most rows share a null id
+    shared = secrets.findings(hard_docs(spark, [(None, t) for t in texts] + list(enumerate(one))))
+    assert secrets.fit(packing.checkpoint(shared), max_rows=400) is not None
+    assert secrets.fit(secrets.findings(hard_docs(spark, []))) is None
 
 
 def test_query_of_secrets(spark):
@@ -176,6 +207,27 @@ def test_local_search_empties_bins():
         assert len(packing.pack(sizes, 100)) <= len(packing.best_fit(sizes, 100))
 
 
+def test_exchanges_see_every_piece():
+    rng = np.random.default_rng(13)
+    for n, top in [(3, 9), (8, 30), (90, 12), (150, 5)] * 10:
+        sizes = rng.integers(1, top, 2 * n).tolist()
+        give, take, space = list(range(n)), list(range(n, 2 * n)), int(rng.integers(1, 2 * top))
+        gains = {sizes[d] for d in give} | {sizes[d] - sizes[t] for d in give for t in take}
+        two = {sizes[d] + sizes[e] for i, d in enumerate(give) for e in give[:i]}, {sizes[t] + sizes[u] for i, t in enumerate(take) for u in take[:i]}
+        gains |= {x - sizes[t] for x in two[0] for t in take} | {sizes[d] - x for x in two[1] for d in give}
+        gain, out, back = packing.best_exchange(packing.Offers(give, sizes), packing.Offers(take, sizes), space)
+        assert gain == max([g for g in gains if 0 < g <= space], default=0) == sum(sizes[r] for r in out) - sum(sizes[r] for r in back)
+        assert set(out) <= set(give) and set(back) <= set(take) and len({*out, *back}) == len(out) + len(back)
+
+
+def test_underfull_bins_of_different_blocks_meet(spark):
+    # A block holds more of one length than of the other; what is left over finds its partner in other blocks only.
+    sizes = [2796] * 300 + [1300] * 300
+    parts = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.packed(packing.checkpoint(parts.repartition(4)), block=64).collect()
+    assert len(rows) == 600 and check_packing(rows) <= 303
+
+
 def test_rounds_over_many_blocks(spark):
     rng = np.random.default_rng(10)
     parts = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 4097, 600))], "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -4,8 +4,9 @@ Texts are tokenized once, where they are read; only documents longer than a sequ
 into blocks of about ``block`` rows, which hash-sized groups or repeated ids cannot unbalance. A block is packed by best
 fit in falling order of length. Then pieces move between underfull bins: the emptiest bin gives pieces away by moves,
 one-for-one and two-for-one exchanges, each of which raises the sum of squared fills, until it is empty or no exchange
-is left. Bins that end up nearly full are final; the pieces of the others form the blocks of the next round, until one
-block is left or a round closes too few bins.
+is left. Bins that end up nearly full are final; the pieces of the others form the blocks of the next round, dealt anew, so
+that underfull bins of different blocks meet. Rounds end when one block is left, or when a round over many blocks has saved
+less than one in a thousand of the sequences it was given.
 
 Null or empty texts are the end token alone. Repeated rows are packed one by one. Ties go by length, then by row order.
 An empty table gives an empty result.
@@ -16,8 +17,9 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 from pathlib import Path
 
 import numpy as np
@@ -152,42 +154,60 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def best_exchange(give: list[int], take: list[int], sizes: list[int], space: int) -> tuple[int, tuple, tuple]:
-    """(gain, rows given, rows taken back): the exchange that fills the taker most, at most by ``space``."""
-    best: tuple[int, tuple, tuple] = (0, (), ())
+class Offers:
+    """What a bin can put into an exchange: single rows and pairs of rows, one of every size or sum, shortest first.
+
+    Rows of one size can stand for each other. The sizes of a bin that differ are few, however many rows it has: k of them
+    need k * (k + 1) / 2 places, so a bin of 4096 holds at most 90.
+    """
+
+    def __init__(self, rows: list[int], sizes: list[int]) -> None:
+        self.rows, self.by_size = rows, {}
+        for r in rows:
+            self.by_size.setdefault(sizes[r], []).append(r)
+        self.one = sorted(self.by_size)
+
+    def ones(self) -> tuple[list[int], dict[int, tuple]]:
+        return self.one, {x: (self.by_size[x][0],) for x in self.one}
 
-    def offer(out: tuple, back: tuple, gain: int) -> None:
-        nonlocal best
-        if best[0] < gain <= space:
-            best = (gain, out, back)
-
-    for d in give:
-        offer((d,), (), sizes[d])
-    if best[0] == space:
-        return best
-    for d in give:
-        for t in take:
-            offer((d,), (t,), sizes[d] - sizes[t])
-    if best[0] == space:
-        return best
-    for i, d in enumerate(give):
-        for e in give[i + 1:]:
-            for t in take:
-                offer((d, e), (t,), sizes[d] + sizes[e] - sizes[t])
-    for i, t in enumerate(take):
-        for u in take[i + 1:]:
-            for d in give:
-                offer((d,), (t, u), sizes[d] - sizes[t] - sizes[u])
+    @cached_property
+    def pairs(self) -> tuple[list[int], dict[int, tuple]]:
+        found = {}
+        for i, x in enumerate(self.one):
+            same = self.by_size[x]
+            if len(same) > 1:
+                found[2 * x] = (same[0], same[1])
+            for y in self.one[:i]:
+                found[x + y] = (same[0], self.by_size[y][0])
+        return sorted(found), found
+
+
+def best_exchange(give: Offers, take: Offers, space: int) -> tuple[int, tuple, tuple]:
+    """(gain, rows given, rows taken back): the exchange that fills the taker most, at most by ``space``.
+
+    A move, one for one, two for one and one for two, in this order; of equal gains the first one wins.
+    """
+    best: tuple[int, tuple, tuple] = (0, (), ())
+    nothing = ([0], {0: ()})
+    for outs, backs in ((give.ones, lambda: nothing), (give.ones, take.ones), (lambda: give.pairs, take.ones), (give.ones, lambda: take.pairs)):
+        (out, out_rows), (back, back_rows) = outs(), backs()
+        for b in back:
+            at = bisect_right(out, space + b) - 1
+            if at >= 0 and out[at] - b > best[0]:
+                best = (out[at] - b, out_rows[out[at]], back_rows[b])
+                if best[0] == space:
+                    return best
     return best
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, widest: int = 64) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Local search: empty the emptiest bins into the other underfull ones.
 
-    Each exchange makes the fuller of two bins still fuller, so the sum of squared fills rises and the search ends. Bins
-    of more than ``widest`` pieces offer their ``widest`` longest ones to an exchange.
+    Each exchange makes the fuller of two bins still fuller, so the sum of squared fills rises and the search ends. All
+    pieces of both bins are open to an exchange.
     """
     fill = [sum(sizes[r] for r in b) for b in bins]
+    held = [Offers(b, sizes) for b in bins]
     stuck: set[int] = set()
     while True:
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
@@ -198,23 +218,21 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, widest: int
         for b in reversed(under):  # fullest first
             if b == donor:
                 continue
-            while bins[donor] and fill[b] >= fill[donor] and fill[b] < capacity:
-                gives = sorted(bins[donor], key=lambda r: -sizes[r])[:widest]
-                takes = sorted(bins[b], key=lambda r: -sizes[r])[:widest]
-                gain, out, back = best_exchange(gives, takes, sizes, capacity - fill[b])
+            while fill[donor] and fill[b] >= fill[donor] and fill[b] < capacity:
+                gain, out, back = best_exchange(held[donor], held[b], capacity - fill[b])
                 if not gain:
                     break
-                bins[donor] = [r for r in bins[donor] if r not in out] + list(back)
-                bins[b] = [r for r in bins[b] if r not in back] + list(out)
+                held[donor] = Offers([r for r in held[donor].rows if r not in out] + list(back), sizes)
+                held[b] = Offers([r for r in held[b].rows if r not in back] + list(out), sizes)
                 fill[donor] -= gain
                 fill[b] += gain
-            if not bins[donor]:
+            if not fill[donor]:
                 break
-        if bins[donor]:
+        if fill[donor]:
             stuck.add(donor)
         else:
             stuck.clear()
-    return [b for b in bins if b]
+    return [b.rows for b in held if b.rows]
 
 
 def pack(sizes: list[int], capacity: int = LENGTH) -> list[list[int]]:
@@ -240,7 +258,7 @@ def _block_packer(columns: list[str], capacity: int, turn: int, waste: float):
 
 def packed(parts: DataFrame, capacity: int = LENGTH, block: int = 8192, waste: float = 0.005) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``. ``parts`` has to be read from storage, so that row numbers last."""
-    columns, done, turn, last = parts.columns, [], 0, None
+    columns, done, turn, before = parts.columns, [], 0, None
     now, left = parts, parts.count()
     while True:
         blocks = max(1, -(-left // block))
@@ -250,12 +268,15 @@ def packed(parts: DataFrame, capacity: int = LENGTH, block: int = 8192, waste: f
         # Row numbers start anew in every partition; the hash spreads them over all blocks.
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)))
         result = checkpoint(dealt.groupBy("block").applyInPandas(_block_packer(columns, capacity, turn, waste), schema))
-        after = result.filter(~F.col("final")).count()
-        if blocks == 1 or after == 0 or (last is not None and after > 0.5 * left):
+        # Sequences are numbered by round and block, so each is of one task: no shuffle of rows to count them.
+        bins = result.groupBy("sequence_id").agg(F.first("final").alias("final"), F.count("*").alias("n"))
+        total, open_bins, after = bins.agg(F.count("*"), F.count_if(~F.col("final")), F.coalesce(F.sum(F.when(~F.col("final"), F.col("n"))), F.lit(0))).first()
+        saved = None if before is None else before - total
+        if blocks == 1 or after == 0 or (saved is not None and saved * 1000 < before):
             done.append(result)
             break
         done.append(result.filter("final"))
-        now, left, last, turn = result.filter(~F.col("final")), after, left, turn + 1
+        now, left, before, turn = result.filter(~F.col("final")), after, open_bins, turn + 1
     return reduce(DataFrame.unionAll, done).select(*columns, "sequence_id", "offset")
 
 
