@@ -179,3 +179,37 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
         5: ("GPL-3.0", "own", None, 1), 6: (None, "none", None, None), 7: ("MIT", "own", None, 0), 8: (None, "none", None, None),
         9: ("Apache-2.0", "inherited", "r/a", None), 10: (None, "none", None, None), 11: (None, "none", None, None)}
     assert licenses.scan(files.limit(0)).count() == 0
+
+
+def test_headers_whole_files_and_notices_in_long_lines(spark):
+    text = {}
+    for name, t in licenses.TEMPLATES:
+        if len(t) > len(text.get(name, "")):
+            text[name] = t
+    filler = "und dann kam der Regen über das weite Land " * 30
+
+    def wrapped(name, sign):
+        w = text[name].split()
+        return "\n".join(sign + " " + " ".join(w[i:i + 9]) for i in range(0, len(w), 9))
+
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "Everyone is permitted to copy this document.\n\n" * 40
+    rows = [
+        ("Apache-2.0", "a/main.c", "# Copyright 2021 A. Person\n" + wrapped("Apache-2.0", "#") + "\n\nimport x\n" + filler, 0),
+        ("GPL-3.0", "b/main.c", "\n \n" + wrapped("GPL-3.0", " *") + "\n\n" + filler, 0),
+        ("GPL-2.0", "c/main.c", filler + "\n\n" + wrapped("GPL-2.0", "//"), None),
+        ("MIT", "d/LICENSE", text["MIT"].replace(": ", ":\n\n").replace(". ", ".\n\n"), None),
+        ("BSD-3-Clause", "e/COPYING.txt", text["BSD-3-Clause"].upper().replace(". ", ".\n\n"), 0),
+        ("BSD-2-Clause", "f/license.md", text["BSD-2-Clause"].replace(". ", ".\n \n"), 0),
+        ("ISC", "g/LICENSE", "ISC License\n\nCopyright (c) 2004 by someone\n\n" + text["ISC"].replace(". ", ".\n\n"), None),
+        ("GPL-3.0", "h/COPYING", gpl, 0),
+        ("MIT", "i/x", filler + ". Released under the MIT License. " + filler, 0),
+        ("MPL-2.0", "j/x.py", "/* " + text["MPL-2.0"].replace("License, v. ", "License, v.\n * ") + " */\n\n" + filler, 0),
+        (None, "k/x", "the software and the warranty of the author\n\n" + filler, None),
+        (None, "l/LICENSE", filler + "\n\n" + filler, None),
+    ]
+    files = spark.createDataFrame([(i, p, t) for i, (_, p, t, _) in enumerate(rows)] + [(100 + i, f"z/{i}", filler) for i in range(60)], "doc_id long, path string, text string").repartition(3)
+    got = {r["doc_id"]: r for r in licenses.scan(files).collect()}
+    assert len(got) == 72
+    for i, (name, path, _, line) in enumerate(rows):
+        assert (got[i]["license"], got[i]["origin"]) == (name, "own" if name else "none"), (path, got[i])
+        assert line is None or got[i]["line"] == line, (path, got[i])
