@@ -85,22 +85,27 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        whole, split = set(), []
-        for c in {c for part in chunks for c in part if c not in known}:
+        new, rest = set().union(*chunks).difference(known), {".", ",", ""}.difference(known)
+        words, odd = [], []
+        for c in new:
             word = c.rstrip(".,")
-            if word.isalpha() and word == word.lower() and max(word) < "\u0100":
-                split.append((c, word, c[len(word):]))
-                whole.add(c[len(word):])
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100") and word == word.lower():
+                words.append(c)
+                if len(c) - len(word) > 1:
+                    rest.add(c[len(word):])
             else:
-                whole.add(c)
-        rest = [c for c in whole if c not in known]
+                odd.append(c)
+        rest = [c for c in rest.union(odd) if c not in known]
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             known[c] = array("I", e.ids).tobytes()
-        for c, word, marks in split:
-            if word not in known:
-                known[word] = self.word(word)
-            known[c] = known[word] + known[marks]
-        return [b"".join([known[c] for c in part]) for part in chunks]
+        for c in words:
+            word = c.rstrip(".,")
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self.word(word)
+            if len(word) < len(c):
+                known[c] = ids + known[c[len(word):]]
+        return [b"".join(map(known.__getitem__, part)) for part in chunks]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
