@@ -134,3 +134,19 @@ def test_flags(spark):
     assert rare == {0: False, 1: False, 2: False, 3: False, 4: True}
     stage = {r.id: r.visa_stage for r in tagging.assign_stage(rows).collect()}
     assert stage == {0: "unknown", 1: "work_visa", 2: "student_visa", 3: "unknown", 4: "unknown"}
+
+
+def test_corpus_vocabulary_counts_the_same_terms(spark):
+    """Leaving out n-grams of rare words changes neither terms nor counts, whatever the size; ties and overlaps included."""
+    import random
+
+    from threadscope.operators import words
+
+    rng = random.Random(5)
+    rows = [(i, [f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(30))]) for i in range(120)] + [(900, ["a"] * 9), (901, None)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    for size, n in ((5, 2), (25, 3), (500, 2)):
+        want = words.vocabulary(words.term_totals(df, max_n=n), df, size, 3, 0.6).collect()
+        assert words.corpus_vocabulary(df, size, 3, 0.6, max_n=n).collect() == want
+    found = words.term_totals(df, known=["w0", "w1"]).select("term").collect()
+    assert {r.term for r in found} == {"w0", "w1", "w0 w0", "w0 w1", "w1 w0", "w1 w1"}

@@ -227,7 +227,7 @@ vocab as (select term, cast(sum(tf) as bigint) as cf, count(*) as df from counts
 @query("vocabulary", lambda: f"with {_vocab(1000)} select * from vocab")
 def vocabulary(spark, sf):
     docs = saved_cleaned(spark, sf)
-    return words.vocabulary(words.term_totals(docs), docs)
+    return words.corpus_vocabulary(docs)
 
 
 @query("tfidf", lambda: f"""with {_vocab(300)}, w as (select id, term,
@@ -235,7 +235,8 @@ def vocabulary(spark, sf):
 select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w""")
 def tfidf(spark, sf):
     docs = saved_cleaned(spark, sf)
-    return words.tfidf(docs, words.vocabulary(words.term_totals(docs), docs, 300))
+    vocab = saved(spark, words.corpus_vocabulary(docs, 300))
+    return words.tfidf(docs, vocab, known=words.words_of(vocab))
 
 
 STAGE_NAMES = [s.name for s in presets.STAGES_5] + ["unknown"]

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadscope import presets
-from threadscope.functions.text import ngrams
+from threadscope.functions.text import let, ngrams
 from threadscope.operators.ranking import top_k_per_group
+from threadscope.session import scratch_path
 
 
 def word_counts(df: DataFrame, keys: Sequence[str] = (), tokens: str = "tokens") -> DataFrame:
@@ -59,21 +60,53 @@ def word_totals(df: DataFrame, tokens: str = "tokens", approximate: bool = False
     )
 
 
-def _grams(tokens: str, max_n: int) -> Column:
-    return F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in range(1, max_n + 1)]))
+def grams(tokens: str, max_n: int, known: Sequence[str] | None = None) -> Column:
+    """All n-grams of 1 to ``max_n`` words; with ``known``, those made of these words only."""
+    if known is None:
+        return F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in range(1, max_n + 1)]))
+    # Other words become null, and a run with one of them is null as a whole.
+    kept = F.transform(tokens, lambda t: F.when(t.isin(*known), t))
+    return let(kept, lambda t: F.array_compact(F.flatten(F.array(*[ngrams(t, n) for n in range(1, max_n + 1)]))))
 
 
-def term_totals(df: DataFrame, tokens: str = "tokens", max_n: int = 2) -> DataFrame:
+def term_totals(df: DataFrame, tokens: str = "tokens", max_n: int = 2, known: Sequence[str] | None = None) -> DataFrame:
     """(term, cf, df): occurrences of each n-gram (1 to ``max_n`` words) and posts that hold it.
 
-    All n-grams of a post lie in one row, so its distinct ones are known there; nothing is shuffled by post.
+    All n-grams of a post lie in one row, so its distinct ones are known there; nothing is shuffled by post. ``known`` leaves
+    out n-grams with other words.
     """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    seen = F.transform(_grams(tokens, max_n), lambda t: F.struct(t.alias("term"), one.alias("cf"), none.alias("df")))
-    held = F.transform(F.array_distinct(_grams(tokens, max_n)), lambda t: F.struct(t.alias("term"), none.alias("cf"), one.alias("df")))
+    found = grams(tokens, max_n, known)
+    seen = F.transform(found, lambda t: F.struct(t.alias("term"), one.alias("cf"), none.alias("df")))
+    held = F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), none.alias("cf"), one.alias("df")))
     return df.select(F.inline(F.concat(seen, held))).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
+KNOWN_WORDS = 4000  # words that may travel inside an expression
+
+
+def corpus_vocabulary(df: DataFrame, size: int = 1000, min_df: int = 5, max_df: float = 0.7, tokens: str = "tokens",
+                      max_n: int = 2) -> DataFrame:
+    """:func:`vocabulary` of a corpus, without counting the n-grams that cannot be in it. Reads ``df`` several times.
+
+    An n-gram is no more frequent than any of its words. Words are counted first; the ``size``-th of those that qualify has a
+    count that every term of the vocabulary reaches, so only n-grams of words that reach it are counted, a small part of all.
+    Where more than ``KNOWN_WORDS`` words do, all n-grams are counted.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "word-totals")
+    # Distinct words of a post and all of them are exploded by themselves: generated code, no structs to build.
+    seen = df.select(F.explode(tokens).alias("term"), F.lit(1).cast("long").alias("cf"), F.lit(0).cast("long").alias("df"))
+    held = df.select(F.explode(F.array_distinct(tokens)).alias("term"), F.lit(0).cast("long").alias("cf"), F.lit(1).cast("long").alias("df"))
+    seen.unionAll(held).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).write.parquet(path)
+    totals = spark.read.parquet(path)
+    least = vocabulary(totals, df, size, min_df, max_df).agg(F.min("cf").alias("least"), F.count(F.lit(1)).alias("n")).first()  # one row
+    reached = totals.filter((F.col("df") >= min_df) & (F.col("cf") >= (least["least"] if least["n"] == size else 1)))
+    known = [r["term"] for r in reached.select("term").limit(KNOWN_WORDS + 1).collect()]
+    counted = term_totals(df, tokens, max_n, sorted(known) if len(known) <= KNOWN_WORDS else None) if known else totals
+    return vocabulary(counted, df, size, min_df, max_df)
+
+
 def vocabulary(totals: DataFrame, documents: DataFrame, size: int = 1000, min_df: int = 5,
                max_df: float = 0.7) -> DataFrame:
     """Terms in at least ``min_df`` posts and at most a share ``max_df``; the ``size`` most frequent, ties by term."""
@@ -84,13 +117,20 @@ def vocabulary(totals: DataFrame, documents: DataFrame, size: int = 1000, min_df
     )
 
 
-def tfidf(df: DataFrame, vocab: DataFrame, id_col: str = "id", tokens: str = "tokens", max_n: int = 2) -> DataFrame:
+def words_of(vocab: DataFrame) -> list[str]:
+    """The words that the terms of a vocabulary are made of; the vocabulary is bounded by its limit."""
+    return sorted({word for r in vocab.select("term").collect() for word in r["term"].split(" ")})
+
+
+def tfidf(df: DataFrame, vocab: DataFrame, id_col: str = "id", tokens: str = "tokens", max_n: int = 2,
+          known: Sequence[str] | None = None) -> DataFrame:
     """Weight tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 per post. The vocabulary is bounded by its limit.
 
-    Only hits of the vocabulary leave their row; one exchange by post serves counts and lengths.
+    Only hits of the vocabulary leave their row; one exchange by post serves counts and lengths. ``known``, the words of the
+    vocabulary where they were collected, spares the n-grams of other words.
     """
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hits = df.select(id_col, F.explode(_grams(tokens, max_n)).alias("term")).join(F.broadcast(vocab.select("term", "df")), "term")
+    hits = df.select(id_col, F.explode(grams(tokens, max_n, known)).alias("term")).join(F.broadcast(vocab.select("term", "df")), "term")
     raw = hits.repartition(id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("df").alias("df"))
     raw = raw.withColumn("w", F.col("tf") * (F.log((total + 1) / (F.col("df") + 1)) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
