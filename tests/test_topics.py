@@ -59,3 +59,11 @@ def test_special_functions():
     np.testing.assert_allclose(topics._digamma(x), slope, rtol=1e-6, atol=1e-6)
     shares, _ = topics._infer(np.zeros((2, 4)), np.ones((3, 4)), 0.5)
     np.testing.assert_allclose(shares, 0.5)
+
+
+def test_steps_read_saved_counts(spark, posts):
+    """Neither model goes back to the tokens after their n-grams are counted."""
+    features, vectors = topics._fit_features(posts.filter(F.size("tokens") > 0), "tokens", 2, 50, 5, 0.7)
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" not in plan and "_grams" not in plan and "_tf" in plan
+    assert vectors.count() == 301 and len(features.stages[0].vocabulary) == 50

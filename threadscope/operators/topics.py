@@ -9,15 +9,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Model, PipelineModel, Pipeline
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer
+from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadscope.functions.text import ngrams
+from threadscope.operators.words import KNOWN_WORDS, corpus_vocabulary, grams
 from threadscope.session import scratch_path
 
 
@@ -39,25 +39,39 @@ class BatchTopicModel:
     perplexities: tuple[float, ...]
 
 
-def _grams(df: DataFrame, tokens: str, max_n: int) -> DataFrame:
-    return df.withColumn("_grams", F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in range(1, max_n + 1)])))
+def _grams(df: DataFrame, tokens: str, max_n: int, vocabulary: list[str]) -> DataFrame:
+    """Add the n-grams made of words of the vocabulary; others cannot be terms of it."""
+    known = sorted({word for term in vocabulary for word in term.split(" ")})
+    return df.withColumn("_grams", grams(tokens, max_n, known if 0 < len(known) <= KNOWN_WORDS else None))
 
 
 def fit_topics(df: DataFrame, k: int = 10, max_iter: int = 100, tokens: str = "tokens", vocab_size: int = 1000,
                min_df: float = 5, max_df: float = 0.7, max_n: int = 2, seed: int = 42) -> TopicModel:
     """Online variational LDA over TF-IDF of words and word pairs. Posts without tokens take no part."""
-    rows = _grams(df.filter(F.size(tokens) > 0), tokens, max_n)
-    features = _fit_features(rows, vocab_size, min_df, max_df)
+    features, vectors = _fit_features(df.filter(F.size(tokens) > 0), tokens, max_n, vocab_size, min_df, max_df)
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="_features",
-              topicDistributionCol="_topics").fit(features.transform(rows))
+              topicDistributionCol="_topics").fit(vectors)
     return TopicModel(features, lda, features.stages[0].vocabulary)
 
 
-def _fit_features(rows: DataFrame, vocab_size: int, min_df: float, max_df: float) -> PipelineModel:
-    return Pipeline(stages=[
-        CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=vocab_size, minDF=min_df, maxDF=max_df),
-        IDF(inputCol="_tf", outputCol="_features"),
-    ]).fit(rows)
+def _fit_features(rows: DataFrame, tokens: str, max_n: int, vocab_size: int, min_df: float,
+                  max_df: float) -> tuple[PipelineModel, DataFrame]:
+    """Counts and inverse document frequencies of the vocabulary, and the vectors of the rows. The counts are saved, so that
+    neither the frequencies nor the steps of a model go over the texts again."""
+    spark = rows.sparkSession
+    if min_df < 1 or max_df > 1:
+        posts = rows.count()
+        min_df, max_df = min_df * posts if min_df < 1 else min_df, max_df / max(1, posts) if max_df > 1 else max_df
+    vocab = corpus_vocabulary(rows, vocab_size, min_df, max_df, tokens, max_n)
+    terms = [r["term"] for r in vocab.orderBy(F.desc("cf"), "term").collect()]  # at most ``vocab_size``
+    if not terms:
+        raise ValueError("no term is in as many posts as asked")
+    counts = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_tf")
+    path = scratch_path(spark, "topic-counts")
+    counts.transform(_grams(rows, tokens, max_n, terms)).select("_tf").write.parquet(path)
+    saved = spark.read.parquet(path)
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(saved)
+    return PipelineModel([counts, idf]), idf.transform(saved)
 
 
 def fit_topics_batch(df: DataFrame, k: int = 10, max_iter: int = 100, tokens: str = "tokens", vocab_size: int = 1000,
@@ -70,11 +84,10 @@ def fit_topics_batch(df: DataFrame, k: int = 10, max_iter: int = 100, tokens: st
     words numbers reach the driver. Both priors are 1/k. It stops early once the perplexity bound falls by less than
     the share ``tolerance`` (0: never).
     """
-    rows = _grams(df.filter(F.size(tokens) > 0), tokens, max_n)
-    features = _fit_features(rows, vocab_size, min_df, max_df)
+    features, rows = _fit_features(df.filter(F.size(tokens) > 0), tokens, max_n, vocab_size, min_df, max_df)
     vocabulary = features.stages[0].vocabulary
     path = scratch_path(df.sparkSession, "topic-vectors")
-    features.transform(rows).select(*_sparse()).write.parquet(path)
+    rows.select(*_sparse()).write.parquet(path)
     vectors = df.sparkSession.read.parquet(path)
     mass = vectors.agg(F.sum(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
 
@@ -202,7 +215,7 @@ def topic_terms(model: TopicModel | BatchTopicModel, n: int = 10, spark: SparkSe
 def topic_shares(df: DataFrame, model: TopicModel | BatchTopicModel, tokens: str = "tokens", max_n: int = 2) -> DataFrame:
     """Add ``topic_shares``, an array that sums to 1. Without known words all topics of a batch model are equally likely."""
     keep = [F.col(c) for c in df.columns]
-    rows = model.features.transform(_grams(df, tokens, max_n))
+    rows = model.features.transform(_grams(df, tokens, max_n, model.vocabulary))
     if isinstance(model, TopicModel):
         return model.lda.transform(rows).select(*keep, vector_to_array("_topics").alias("topic_shares"))
     words, prior = np.exp(_expected_log(model.weights)), model.prior
