@@ -150,3 +150,19 @@ def test_corpus_vocabulary_counts_the_same_terms(spark):
         assert words.corpus_vocabulary(df, size, 3, 0.6, max_n=n).collect() == want
     found = words.term_totals(df, known=["w0", "w1"]).select("term").collect()
     assert {r.term for r in found} == {"w0", "w1", "w0 w0", "w0 w1", "w1 w0", "w1 w1"}
+
+
+def test_kept_tokens_are_found_by_one_pattern(spark):
+    """The pattern finds what the filter keeps, and rules read the text as it is after the rules before them."""
+    import itertools
+
+    texts = ["".join(x) for n in range(6) for x in itertools.product("a1_ ", repeat=n)] + ["x1 22 __ _a 1_ 2b 33_ Bé a.b ...", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select(T.tokenize_kept(F.col("t")).alias("a"), T.filter_tokens(T.tokenize_words(F.col("t"))).alias("b"))
+    assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
+    marks = ["u**x**/abc r/one xr/two", "u`` `/abc u/me-1, (u/me) au/me 9u/me _u/me", "ht~~x~~tp://a.b/c http://x.y", "[a](http://b.c) ](http", "wait.... what?! no!!"]
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "(?<![A-Za-z0-9])u/[A-Za-z0-9_-]+", ""), "(?<![A-Za-z0-9])r/[A-Za-z0-9_-]+", "")
+    rows = spark.createDataFrame([(t,) for t in marks], "t string")
+    for got, want in rows.select(T._apply(F.col("t"), (T.USER_MENTION, T.GROUP_MENTION)), plain(F.col("t"))).collect():
+        assert got == want
+    assert [r[0] for r in rows.select(T.squash_punctuation(F.col("t"))).collect()][-1] == "wait. what?! no!"

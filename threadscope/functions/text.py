@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -60,33 +60,35 @@ class Rule:
     """Replace ``pattern`` by nothing, or by its first group where ``keep`` is set.
 
     ``behind`` names characters that must not stand before the match; engines without look-behind have to capture them.
+    ``needs`` lists texts of which every match holds one; where ``behind`` is set, the one that every match begins with.
     """
 
     pattern: str
     keep: bool = False
     line_start: bool = False
     behind: str = ""
-
-
-USER_MENTION = Rule("u/[A-Za-z0-9_-]+", behind="A-Za-z0-9")
-GROUP_MENTION = Rule("r/[A-Za-z0-9_-]+", behind="A-Za-z0-9")
-URL = Rule(r"https?://[^" + WS + "]+")
-LINK = Rule(r"\[([^\]]+)\]\(https?://[^\)]+\)", keep=True)
-CODE_BLOCK = Rule(r"```[\s\S]*?```")
-INLINE_CODE = Rule(r"`[^`]+`")
-BOLD = Rule(r"\*\*([^*]+)\*\*", keep=True)
-ITALIC = Rule(r"\*([^*]+)\*", keep=True)
-STRIKE = Rule(r"~~([^~]+)~~", keep=True)
-HEADER = Rule(r"^#{1,6}[" + WS + "]+", line_start=True)
-LIST_ITEM = Rule(r"^[" + WS + "]*[-*+][" + WS + "]+", line_start=True)
-QUOTE = Rule(r"^>[" + WS + "]*", line_start=True)
+    needs: tuple[str, ...] = ()
+
+
+USER_MENTION = Rule("u/[A-Za-z0-9_-]+", behind="A-Za-z0-9", needs=("u/",))
+GROUP_MENTION = Rule("r/[A-Za-z0-9_-]+", behind="A-Za-z0-9", needs=("r/",))
+URL = Rule(r"https?://[^" + WS + "]+", needs=("http",))
+LINK = Rule(r"\[([^\]]+)\]\(https?://[^\)]+\)", keep=True, needs=("](http",))
+CODE_BLOCK = Rule(r"```[\s\S]*?```", needs=("```",))
+INLINE_CODE = Rule(r"`[^`]+`", needs=("`",))
+BOLD = Rule(r"\*\*([^*]+)\*\*", keep=True, needs=("**",))
+ITALIC = Rule(r"\*([^*]+)\*", keep=True, needs=("*",))
+STRIKE = Rule(r"~~([^~]+)~~", keep=True, needs=("~~",))
+HEADER = Rule(r"^#{1,6}[" + WS + "]+", line_start=True, needs=("#",))
+LIST_ITEM = Rule(r"^[" + WS + "]*[-*+][" + WS + "]+", line_start=True, needs=("-", "*", "+"))
+QUOTE = Rule(r"^>[" + WS + "]*", line_start=True, needs=(">",))
 
 # Variants that repeat the historical results: mentions match inside words, the address class stops at ~ and #
 # but runs over a closing bracket, and the address goes before the link that holds it.
-USER_MENTION_COMPAT = Rule(r"u/[A-Za-z0-9_-]+")
-GROUP_MENTION_COMPAT = Rule(r"r/[A-Za-z0-9_-]+")
-URL_COMPAT = Rule(r"https?://[a-z$-_!]+")
-LINK_COMPAT = Rule(r"\[([^\]]+)\]\(https?://[^\)]+\)")
+USER_MENTION_COMPAT = Rule(r"u/[A-Za-z0-9_-]+", needs=("u/",))
+GROUP_MENTION_COMPAT = Rule(r"r/[A-Za-z0-9_-]+", needs=("r/",))
+URL_COMPAT = Rule(r"https?://[a-z$-_!]+", needs=("http",))
+LINK_COMPAT = Rule(r"\[([^\]]+)\]\(https?://[^\)]+\)", needs=("](http",))
 
 SLASH_RULES = (LINK, USER_MENTION, GROUP_MENTION, URL)
 SLASH_RULES_COMPAT = (USER_MENTION_COMPAT, GROUP_MENTION_COMPAT, URL_COMPAT, LINK_COMPAT)
@@ -113,7 +115,8 @@ def _bits(*spans: str) -> str:
 
 
 # A cheap test in front of a costly class: nearly all characters fail it.
-_NON_ASCII = r"(?=[^\x00-\x7f])"
+# A range, as a negated class costs two calls a character.
+_NON_ASCII = r"(?=[\x{80}-\x{10FFFF}])"
 _SPACE_BITS = _bits("\t\r", "\x1c\x20")
 _OTHER_SPACE_BITS = _bits("\t\r", "\x1c\x1f")
 _WORD_BITS = _bits("az", "09", "__")
@@ -123,12 +126,19 @@ _DROPPED_BITS = _bits("\x00\x08", "\x0e\x1b", '"+', "//", "<>", "@@", "[^", "``"
 
 def _apply(col: Column, rules: Iterable[Rule]) -> Column:
     for rule in rules:
-        # (?md): line starts after a line feed only, as elsewhere; plain (?m) would also split at U+2028.
-        pattern = ("(?md)" if rule.line_start else "") + (f"(?<![{rule.behind}])" if rule.behind else "") + rule.pattern
-        col = F.regexp_replace(col, pattern, "$1" if rule.keep else "")
+        col = _guarded(col, lambda x, r=rule: _any_of(x, r.needs), lambda x, r=rule: _replace(x, r)) if rule.needs else _replace(col, rule)
     return col
 
 
+def _replace(col: Column, rule: Rule) -> Column:
+    pattern = rule.pattern
+    if rule.behind:  # looked at after the letters the match begins with, which most positions lack
+        first = rule.needs[0]
+        pattern = f"{first}(?<![{rule.behind}]{first})" + pattern.removeprefix(first)
+    # (?md): line starts after a line feed only, as elsewhere; plain (?m) would also split at U+2028.
+    return F.regexp_replace(col, ("(?md)" if rule.line_start else "") + pattern, "$1" if rule.keep else "")
+
+
 def _families(compat: bool) -> tuple[tuple[str, tuple[Rule, ...]], ...]:
     return (("/", SLASH_RULES_COMPAT if compat else SLASH_RULES), *FORMAT_FAMILIES)
 
@@ -169,7 +179,7 @@ def keep_basic_chars(col: Column, ascii_text: bool = False) -> Column:
 
 
 def squash_punctuation(col: Column) -> Column:
-    return F.regexp_replace(col, r"([.!?])\1+", "$1")
+    return _guarded(col, lambda x: _any_of(x, ("..", "!!", "??")), lambda x: F.regexp_replace(x, r"([.!?])\1+", "$1"))
 
 
 @cache
@@ -301,7 +311,7 @@ def to_ascii(col: Column) -> Column:
     single, several = ascii_residues()
     opened = _swap_chars(col, several)
     mapped = F.translate(opened, "".join(single), "".join(single.values()))
-    return F.regexp_replace(mapped, f"{_NON_ASCII}[^{WS_WIDE}]", "")
+    return _guarded(mapped, has_non_ascii, lambda x: F.regexp_replace(x, f"{_NON_ASCII}[^{WS_WIDE}]", ""))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -309,8 +319,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _guarded(value: Column, condition: Column, change: Callable[[Column], Column]) -> Column:
-    return let(value, lambda x: F.when(condition, change(x)).otherwise(x))
+def _guarded(value: Column, condition: Column | Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """The value, changed where the condition holds; a condition on the value itself is given as a function."""
+    return let(value, lambda x: F.when(condition(x) if callable(condition) else condition, change(x)).otherwise(x))
 
 
 def clean_text(col: Column, emoji: str = "describe", compat: bool = False) -> Column:
@@ -329,7 +340,7 @@ def clean_text(col: Column, emoji: str = "describe", compat: bool = False) -> Co
 def _clean(raw: Column, emoji: str, compat: bool) -> Column:
     cur = raw
     for triggers, rules in _families(compat):
-        cur = _guarded(cur, _any_char(raw, triggers), lambda x: _apply(x, rules))
+        cur = _guarded(cur, _any_of(raw, triggers), lambda x: _apply(x, rules))
     # Addresses and mentions once more: markup in between may have hidden a match.
     cur = _guarded(cur, raw.contains("/"), lambda x: strip_urls_mentions(x, compat))
     special = has_non_ascii(raw)
@@ -348,10 +359,11 @@ def _unicode_steps(cur: Column, emoji: str) -> Column:
     return keep_basic_chars(cur)
 
 
-def _any_char(col: Column, chars: str) -> Column:
-    cond = col.contains(chars[0])
-    for ch in chars[1:]:
-        cond = cond | col.contains(ch)
+def _any_of(col: Column, parts: Sequence[str]) -> Column:
+    """Whether the text holds one of the parts (or of the characters of a string)."""
+    cond = col.contains(parts[0])
+    for part in parts[1:]:
+        cond = cond | col.contains(part)
     return cond
 
 
@@ -369,6 +381,16 @@ def tokenize_words(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(f"[{_WORD_BITS}]+"), F.lit(0))
 
 
+def tokenize_kept(col: Column) -> Column:
+    """The tokens that :func:`filter_tokens` keeps: of two or more word characters, not all digits, not all underscores.
+
+    One pattern by first character finds them, so that no token has to be tested by itself.
+    """
+    word, letters, digits = f"[{_WORD_BITS}]", f"[{_bits('az')}]", f"[{_bits('09')}]"
+    kept = f"{letters}{word}+|{digits}++{word}+|_++{word}+"
+    return F.regexp_extract_all(F.lower(col), F.lit(kept), F.lit(0))
+
+
 def remove_stopwords(tokens: Column, stop_words: Iterable[str]) -> Column:
     """Drop listed tokens; a long literal list becomes a hash lookup."""
     words = sorted(set(stop_words))

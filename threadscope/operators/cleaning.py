@@ -24,14 +24,16 @@ def preprocess(df: DataFrame, column: str = "text", min_length: int = presets.MI
     empty = F.array().cast("array<string>")
 
     def record(clean: Column) -> Column:
-        # Punctuation marks are tokens of one character, which the length filter would drop anyway.
-        words = T.remove_stopwords(T.tokenize_words(clean), stop)
+        # Punctuation marks are tokens of one character, which the length filter would drop anyway. Without lemmas, which may
+        # shorten a token, that filter is part of the pattern.
         if lemmas:
-            words = T.lemmatize(words, lemmas)
+            words = T.filter_tokens(T.lemmatize(T.remove_stopwords(T.tokenize_words(clean), stop), lemmas))
+        else:
+            words = T.remove_stopwords(T.tokenize_kept(clean), stop)
         long_enough = F.length(clean) >= min_length
         return F.struct(
             F.when(long_enough, clean).otherwise("").alias("cleaned_text"),
-            F.when(long_enough, T.filter_tokens(words)).otherwise(empty).alias("tokens"),
+            F.when(long_enough, words).otherwise(empty).alias("tokens"),
         )
 
     # The generator keeps a later filter on the tokens above it; pushed below, it would clean every text twice.
