@@ -68,6 +68,22 @@ def test_unreadable_file_is_reported(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in report.collect() if "broken" in r.path] == ["broken.parquet"]
 
 
+def test_whole_file_without_rows_is_no_failure(spark, tmp_path):
+    """A task without rows leaves a file with a footer only; cut short, or with other marks, it is reported."""
+    good = tmp_path / "good"
+    spark.range(10).write.parquet(str(good))
+    spark.range(0).coalesce(1).write.mode("append").parquet(str(good))
+    sizes = {p: len(spark.read.parquet(str(p)).collect()) for p in good.glob("*.parquet")}
+    empty = next(p for p, n in sizes.items() if n == 0).read_bytes()
+    for name, content in (("cut", empty[:-1]), ("short", empty[:20]), ("longer", empty[:4] + b"xx" + empty[4:])):
+        (good / f"{name}.parquet").write_bytes(content)
+    rows = files.with_lineage(readers.read_lenient_parquet(spark, str(good), "id long"))
+    report = files.failure_report(files.discover_files(spark, str(good)), rows)
+    assert sorted(r.path.rsplit("/", 1)[1] for r in report.collect()) == ["cut.parquet", "longer.parquet", "short.parquet"]
+    none = files.failure_report(files.discover_files(spark, str(good)).filter("path like '%part-%'"), rows)
+    assert none.isEmpty()
+
+
 def test_first_files_and_paths(spark, tmp_path):
     for i in range(4):
         spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / f"d{i}"))

@@ -66,9 +66,29 @@ def with_file_rows(df: DataFrame, file: str = "source_file", rate: float | None
     return out if rate is None else out.withColumn("sample_rate", F.lit(rate))
 
 
+EMPTY_BYTES = 16 << 20  # a Parquet file without rows is its footer; bigger ones are reported unopened
+
+
 def failure_report(files: DataFrame, rows: DataFrame, file: str = "source_file") -> DataFrame:
-    """Listed files from which no row was read (unreadable or empty)."""
+    """Listed files from which no row was read: unreadable or empty ones, but no whole Parquet file that just has no rows.
+
+    Writers leave such files where a task had nothing to write. They hold a footer and no data between the marks at both ends;
+    only files without rows are opened to see it.
+    """
+    spark = files.sparkSession
     name = lambda c: F.substring_index(c, ":", -1)  # noqa: E731  file:/x and file:///x are the same file
     clean = lambda c: F.regexp_replace(name(c), "^/+", "/")
     seen = rows.select(clean(F.col(file)).alias("_seen")).distinct()
-    return files.join(seen, clean(F.col("path")) == F.col("_seen"), "left_anti")
+    saved = scratch_path(spark, "unread-files")
+    files.join(seen, clean(F.col("path")) == F.col("_seen"), "left_anti").write.parquet(saved)
+    unread = spark.read.parquet(saved)
+    paths = paths_of(unread)
+    if not paths:
+        return unread
+    mark = F.lit(b"PAR1")
+    digits = F.hex(F.substring("content", -8, 4))  # length of the footer, smallest byte first
+    footer = F.conv(F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+    whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark) & (footer + 12 == F.col("length"))
+    opened = spark.read.format("binaryFile").load(paths).filter((F.col("length") >= 12) & (F.col("length") <= EMPTY_BYTES))
+    rowless = opened.filter(whole).select(F.col("path").alias("_rowless"))
+    return unread.join(rowless, clean(F.col("path")) == clean(F.col("_rowless")), "left_anti")
