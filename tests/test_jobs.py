@@ -84,6 +84,12 @@ def test_whole_file_without_rows_is_no_failure(spark, tmp_path):
     assert none.isEmpty()
 
 
+def test_files_grow_in_number_with_the_input(spark):
+    from threadscope.catalog.sources import few_files
+
+    assert [few_files(spark.range(0, 100, 1, n)).rdd.getNumPartitions() for n in (1, 3, 8, 9, 40)] == [1, 2, 2, 3, 10]
+
+
 def test_first_files_and_paths(spark, tmp_path):
     for i in range(4):
         spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / f"d{i}"))

@@ -25,6 +25,15 @@ def stored_posts(spark, sf):
     return path
 
 
+SPLITS_PER_FILE = 4
+
+
+def few_files(df):
+    """Fewer and bigger files than the input has splits, two at least; their number grows with the input, so that no task
+    writes more than some splits."""
+    return df.coalesce(max(2, -(-df.rdd.getNumPartitions() // SPLITS_PER_FILE)))
+
+
 @query("read_posts", f"""with {S.POSTS} select cast(year(created_ts) as int) as year, cast(month(created_ts) as int) as month,
   {LENGTHS} from posts where year(created_ts) = 2024 and month(created_ts) in (1, 2, 3) group by 1, 2""")
 def read_posts(spark, sf):
@@ -69,7 +78,7 @@ def read_csv_tolerant(spark, sf):
   from documents where doc_id % 10 <> 0 or doc_id % 4 = 0)
 select cast(doc_id as varchar) as doc_id, source, md5(text) as digest, cast(length(text) as bigint) as chars from kept""")
 def read_csv_folder(spark, sf):
-    """Few files with line breaks in quoted texts, read by many tasks; every tenth line has a field too many, but for every
+    """Big files with line breaks in quoted texts, each read by many tasks; every tenth line has a field too many, but for every
     twentieth, and every seventh one too few."""
     path = scratch_path(spark, "csv-folder")
     docs = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", "\r", " "))
@@ -77,7 +86,7 @@ def read_csv_folder(spark, sf):
     tenth = F.col("doc_id") % 10 == 0
     line = F.concat_ws(",", F.col("doc_id").cast("string"), F.col("source"), F.when(tenth | (F.col("doc_id") % 7 != 0), quoted),
                        F.when(tenth & (F.col("doc_id") % 4 != 0), "one,more"))
-    docs.select(line).coalesce(2).write.text(path)
+    few_files(docs.select(line)).write.text(path)
     rows = readers.read_csv_folder(spark, path, ["doc_id", "source", "text"], header=False, glob="*.txt")
     return rows.select("doc_id", "source", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
 
