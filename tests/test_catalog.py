@@ -40,3 +40,14 @@ def test_contract(spark):
     assert set(QUERIES) - set(ORACLES) == {
         "topic_terms", "assign_topics", "topic_distribution", "train_and_predict", "evaluate_classifier"}
     assert entry.entry(spark).filter("level = 'all'").count() == 1
+
+
+def test_saved_posts_hold_no_texts(spark):
+    """The stage that many queries share is written without texts that its tokens already hold."""
+    from threadscope.catalog import fixtures
+
+    rows = fixtures.saved_cleaned(spark, "/root/testdata/sf0.001")
+    written = spark.read.parquet(fixtures._STAGES[spark.sparkContext.applicationId, "/root/testdata/sf0.001", "cleaned"] + "/rows")
+    assert written.columns == ["id", "subreddit", "visa_stage", "tokens", "word_count"]
+    whole = fixtures.cleaned(spark, "/root/testdata/sf0.001").select(*rows.columns)
+    assert rows.exceptAll(whole).isEmpty() and whole.exceptAll(rows).isEmpty()

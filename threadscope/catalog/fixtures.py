@@ -100,7 +100,9 @@ def saved_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _saved_once(spark, sf_dir, "cleaned", cleaned)
+    """Tokens, group and stage of valid posts. Of their texts nothing else is written; the joined tokens come back as they are read."""
+    build = lambda *at: cleaned(*at).select("id", "subreddit", "visa_stage", "tokens", "word_count")
+    return _saved_once(spark, sf_dir, "cleaned", build).withColumn("processed_text", F.array_join("tokens", " "))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

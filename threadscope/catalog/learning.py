@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from threadscope import presets
 from threadscope.catalog import sql as S
-from threadscope.catalog.fixtures import saved, saved_cleaned
+from threadscope.catalog.fixtures import cleaned, saved, saved_cleaned
 from threadscope.catalog.registry import query
 from threadscope.operators import evaluation, labelling, tagging, topics
 
@@ -59,7 +59,7 @@ def batch_topic_shares(spark, sf):
 
 
 def _predicted(spark, sf):
-    rows = tagging.four_label(tagging.flag_rare(saved_cleaned(spark, sf))).select("id", "tokens", F.col("label").alias("labels"))
+    rows = tagging.four_label(tagging.flag_rare(cleaned(spark, sf))).select("id", "tokens", F.col("label").alias("labels"))
     rows = saved(spark, labelling.encode_multihot(rows))
     model = labelling.train_text_classifier(rows, features=1 << 12, max_iter=5)
     return labelling.predict(model, rows)
