@@ -228,3 +228,28 @@ def test_every_string_has_its_anchor():
         assert ((at >= s) & (at <= s + 34)).any()
     inner = {p for p in at - 200 if 34 <= p <= 200 - 50}
     assert inner <= set(part.tolist())
+
+
+def test_ranges_of_anchors_are_even():
+    """Anchors are minima of hashes, so they are small; the parts they are dealt to are of one size nevertheless."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 3000).astype(np.uint8)).decode() for _ in range(60)]
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc", "text"])
+    asked = [r for b in suffix_dedup._send_anchors(50, 1 << 20)(iter([batch])) for r in b.to_pylist()]
+    sizes = [len(r["hashes"]) // 6 for r in asked if r["part"] >= 0]
+    flags = np.unique(np.concatenate([suffix_dedup.anchors(np.frombuffer(t.encode(), np.uint8), Powers())[1] for t in texts]) >> np.uint64(16)).tobytes()
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([suffix_dedup._tight(t.encode()) for t in texts]), pa.array([flags] * 60)], ["doc", "packed", "hashes"])
+    sent = [r for b in suffix_dedup._send_segments(50, 1 << 20)(iter([rows])) for r in b.to_pylist()]
+    for n in (sizes, [len(suffix_dedup._loose(r["docs"])) // 8 for r in sent if r["part"] >= 0]):
+        assert len(n) == 50 and max(n) < 1.5 * sum(n) / 50
+
+
+def test_texts_together_are_as_texts_alone():
+    rng = np.random.default_rng(4)
+    raws = [rng.integers(0, 3, n).astype(np.uint8) for n in (0, 49, 50, 700, 10, 51, 300)]
+    at, h, row = suffix_dedup.Texts(raws).anchors(Powers())
+    begin = suffix_dedup.Texts(raws).begin
+    for i, raw in enumerate(raws):
+        alone = suffix_dedup.anchors(raw, Powers())
+        assert (at[row == i] - begin[i]).tolist() == alone[0].tolist() and h[row == i].tolist() == alone[1].tolist()

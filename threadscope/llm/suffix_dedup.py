@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadscope.llm.common import Powers, checkpoint, mix, prefix_hash, query, shuffle_partitions, small_batches, table, text_bytes, utf8
+from threadscope.llm.common import Powers, checkpoint, mix, prefix_hash, query, release, shuffle_partitions, small_batches, table, text_bytes, utf8
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # bytes of a string before or after its anchor, at most
@@ -51,26 +51,60 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:len(out) - (width - have)], out[width - have:]) if width > have else out
 
 
+class Texts:
+    """Several texts end to end, with ``REACH`` zero bytes around each, so that one pass of numpy serves all of them."""
+
+    def __init__(self, raws: list[np.ndarray]) -> None:
+        gap = np.zeros(REACH, np.uint8)
+        sizes = np.array([len(r) for r in raws], np.int64)
+        self.data = np.concatenate([gap, *(x for r in raws for x in (r, gap))])
+        self.end = np.cumsum(sizes + REACH)
+        self.begin = self.end - sizes
+
+    def anchors(self, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, hash, number of the text) of all anchors."""
+        some = np.flatnonzero(self.end - self.begin >= LENGTH)
+        if not len(some):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        prefix = prefix_hash(self.data, powers)
+        n = len(self.data) - GRAM + 1
+        grams = mix((prefix[GRAM:] - prefix[:n]) * powers.get(n)[1][:n])
+        least = _slide(grams, REACH + 1, np.minimum)  # of every 50-byte string
+        edge = np.zeros(len(least) + 1, np.int8)
+        edge[self.begin[some]] = 1
+        edge[self.end[some] - LENGTH + 1] = -1
+        least[np.cumsum(edge[:-1], dtype=np.int8) == 0] = 0  # those that are not inside a text
+        pad = np.zeros(REACH, np.uint64)
+        # A gram is an anchor if it is the least of some string that holds it.
+        at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == grams)
+        row = np.searchsorted(self.begin, at, "right") - 1
+        inside = (row >= 0) & (at + GRAM <= self.end[row])  # a hash of zero
+        return at[inside], grams[at[inside]], row[inside]
+
+    def segments(self, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments around anchors (rows of 84 bytes, zero where the text ends), bytes before and after, and a hash of all."""
+        rows = np.lib.stride_tricks.sliding_window_view(self.data, SEGMENT)[at - REACH]
+        before, after = np.minimum(at - self.begin[row], REACH), np.minimum(self.end[row] - at - GRAM, REACH)
+        return rows, before, after, segment_keys(rows, before, after)
+
+
 def anchors(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of all anchors of one text."""
-    if len(raw) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    prefix = prefix_hash(raw, powers)
-    n = len(raw) - GRAM + 1
-    grams = mix((prefix[GRAM:] - prefix[:n]) * powers.get(n)[1][:n])
-    least = _slide(grams, REACH + 1, np.minimum)  # of every 50-byte string
-    pad = np.zeros(REACH, np.uint64)
-    # A gram is an anchor if it is the least of some string that holds it.
-    at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == grams)
-    return at, grams[at]
-
-
-def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments around anchors (rows of 84 bytes, zero where the text ends), bytes before and after, and a hash of all."""
-    padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(REACH, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, SEGMENT)[at]
-    before, after = np.minimum(at, REACH), np.minimum(len(raw) - at - GRAM, REACH)
-    return rows, before, after, segment_keys(rows, before, after)
+    at, h, _ = Texts([raw]).anchors(powers)
+    return at - REACH, h
+
+
+def _together(rows: Iterator[tuple], size, limit: int = 1 << 17) -> Iterator[list[tuple]]:
+    """Rows in groups of about ``limit`` bytes, small enough for the processor's cache, and of 1,024 rows at most."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total >= limit or len(held) == 1024:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def segment_keys(rows: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -91,7 +125,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _by_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of each hash; the hashes are uniform, so the ranges are even."""
+    """Range of each hash, even where the hashes are uniform; those of anchors, which are minima, have to be mixed again."""
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
@@ -124,13 +158,18 @@ def _send_anchors(ranges: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in small_batches(batches, "text", slice_bytes):
-            found = [(doc, np.unique(anchors(raw, powers)[1] >> np.uint64(16))) for doc, raw in _texts(batch)]
-            found = [(doc, x) for doc, x in found if len(x)]
-            ids, number = np.unique(np.array([d for d, _ in found], np.int64), return_inverse=True)
-            h = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
-            doc = np.repeat(number.astype(np.uint32), [len(x) for _, x in found])
+            found = []
+            for rows in _together(_texts(batch), lambda r: len(r[1])):
+                _, h, row = Texts([raw for _, raw in rows]).anchors(powers)
+                found.append((h >> np.uint64(16), np.array([doc for doc, _ in rows], np.int64)[row]))
+            h, doc = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            ids, doc = np.unique(doc, return_inverse=True)
+            doc = doc.astype(np.uint32)
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
+            again = np.zeros(len(h), bool)
+            again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+            h, doc = h[~again], doc[~again]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
             group = np.cumsum(first) - 1
@@ -139,7 +178,7 @@ def _send_anchors(ranges: int, slice_bytes: int):
             known = both[group]
             six = np.ascontiguousarray(h[first].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
             sent = doc[first] + np.where(both, KNOWN, 0).astype(np.uint32)
-            rows = [(p, a, _tight(b), ids.tobytes()) for p, a, b in _packed(_by_range(h[first] << np.uint64(16), ranges), six, sent)]
+            rows = [(p, a, *_own_documents(b, ids)) for p, a, b in _packed(_by_range(mix(h[first]), ranges), six, sent)]
             mine = ids[doc[known].astype(np.int64)] if len(ids) else ids
             rows += [(-1 - p, b, b"", a) for p, a, b in _packed(_bucket(mine, ranges), mine, h[known])]
             yield _record(rows, ["part", "hashes", "numbers", "docs"], [LONG, BLOB, BLOB, BLOB])
@@ -147,6 +186,13 @@ def _send_anchors(ranges: int, slice_bytes: int):
     return run
 
 
+def _own_documents(numbers: bytes, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers among the documents of one part, and these documents: a part holds few of a slice's."""
+    sent = np.frombuffer(numbers, np.uint32)
+    own, number = np.unique(sent & np.uint32(KNOWN - 1), return_inverse=True)
+    return _tight(number.astype(np.uint32) | (sent & np.uint32(KNOWN))), ids[own].tobytes()
+
+
 def _tight(blob: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(blob)
 
@@ -257,25 +303,29 @@ def _send_segments(ranges: int, slice_bytes: int):
         powers = Powers()
         for rows in _slices(batches, slice_bytes):
             cols = []
-            for doc, raw, flags in rows:
-                at, h = anchors(raw, powers)
-                mine = np.isin(h >> np.uint64(16), np.frombuffer(flags, np.uint64))
-                rows, before, after, key = segments(raw, at[mine])
-                key, one = np.unique(key, return_index=True)  # a segment counts once in a document
-                cols.append((h[mine][one], np.full(len(one), doc), rows[one], before[one], after[one], key))
+            for some in _together(rows, lambda r: len(r[1])):
+                texts = Texts([raw for _, raw, _ in some])
+                at, h, row = texts.anchors(powers)
+                # An anchor's 48 bits and the number of its text fit into 64.
+                flags = [np.frombuffer(f, np.uint64) | np.uint64(i << 48) for i, (_, _, f) in enumerate(some)]
+                mine = np.isin((h >> np.uint64(16)) | (row.astype(np.uint64) << np.uint64(48)), np.concatenate(flags))
+                row = row[mine]
+                cols.append((h[mine], np.array([doc for doc, _, _ in some], np.int64)[row], *texts.segments(at[mine], row)))
             if not cols:
                 continue
             h, doc, rows, before, after, key = (np.concatenate(c) for c in zip(*cols))
             order = np.lexsort((doc, key))
             first = np.ones(len(key), bool)
             first[1:] = key[order][1:] != key[order][:-1]
+            again = np.zeros(len(key), bool)  # a segment counts once in a document
+            again[1:] = ~first[1:] & (doc[order][1:] == doc[order][:-1])
             settled = np.zeros(len(key), bool)
             lowest = doc[order][first][np.cumsum(first) - 1]
-            settled[order] = ~first & (doc[order] != lowest)
+            settled[order] = ~first & ~again & (doc[order] != lowest)
             ask = np.zeros(len(key), bool)
             ask[order] = first
             sizes = (before.astype(np.uint8), after.astype(np.uint8))
-            packed = _packed(_by_range(h[ask], ranges), rows[ask], doc[ask], np.stack(sizes, 1)[ask])
+            packed = _packed(_by_range(mix(h[ask]), ranges), rows[ask], doc[ask], np.stack(sizes, 1)[ask])
             out = [(p, _tight(a), _tight(b), _tight(c)) for p, a, b, c in packed]
             mask = _possible(before, after)
             settled_rows = _packed(_bucket(doc[settled], ranges), key[settled], doc[settled], mask[settled])
@@ -309,6 +359,8 @@ def _possible(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def repeated(rows: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Masks of the strings that a smaller document's segment in the table has too."""
+    by_doc = np.argsort(doc, kind="stable")
+    rows, doc, before, after = rows[by_doc], doc[by_doc], before[by_doc], after[by_doc]
     out, possible = np.zeros(len(rows), np.int64), _possible(before, after)
     up, down = Powers().get(SEGMENT + 1)
     total = np.zeros(len(rows), np.uint64)  # of each row's string of this round, moved on by one byte a round
@@ -323,11 +375,11 @@ def repeated(rows: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.nd
         if len(mine) < 2:
             continue
         h = mix(total[mine] * down[start])
-        order = np.lexsort((doc[mine], h))
+        order = np.argsort(h)
         mine, h = mine[order], h[order]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
-        lead = mine[np.flatnonzero(first)][np.cumsum(first) - 1]
+        lead = np.minimum.reduceat(mine, np.flatnonzero(first))[np.cumsum(first) - 1]  # rows go by document
         later = np.flatnonzero(doc[mine] != doc[lead])
         strings = rows[:, start:start + LENGTH]
         same = (strings[mine[later]] == strings[lead[later]]).all(axis=1)
@@ -337,7 +389,9 @@ def repeated(rows: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.nd
             alike = group[(strings[group] == strings[mine[i]]).all(axis=1)]
             if doc[alike].min() < doc[mine[i]]:
                 out[mine[i]] |= 1 << a
-    return out
+    back = np.zeros(len(rows), np.int64)
+    back[by_doc] = out
+    return back
 
 
 def _settle(buckets: int):
@@ -363,26 +417,29 @@ def _settle(buckets: int):
 
 
 # --- 4: removal -----------------------------------------------------------------------------------------------------
-def removed(raw: np.ndarray, keys: np.ndarray, masks: np.ndarray, powers: Powers) -> np.ndarray:
-    """Which bytes of a text go, by the masks of its segments."""
-    gone = np.zeros(len(raw) + 1, np.int32)
-    if len(keys) and len(raw) >= LENGTH:
-        at, _ = anchors(raw, powers)
-        _, _, _, key = segments(raw, at)
-        order = np.argsort(keys, kind="stable")
-        keys, masks = keys[order], masks[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, masks = keys[starts], np.bitwise_or.reduceat(masks, starts)
-        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        mask = np.where(keys[spot] == key, masks[spot], 0)
-        for a in range(REACH + 1):
-            start = np.unique(at[(mask >> a & 1) > 0] - a)
-            gone[start] = 1
-        start = np.flatnonzero(gone[:-1])
-        gone[:] = 0
-        np.add.at(gone, start, 1)
-        np.add.at(gone, start + LENGTH, -1)
-    return np.cumsum(gone)[:-1] > 0
+def removed(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], powers: Powers) -> Iterator[np.ndarray]:
+    """Of (text, keys, masks of its segments), one after the other: which bytes of the text go."""
+    texts = Texts([raw for raw, _, _ in rows])
+    at, _, row = texts.anchors(powers)
+    _, _, _, key = texts.segments(at, row)
+    ends = np.searchsorted(row, np.arange(len(rows) + 1))
+    mask = np.zeros(len(at), np.int64)
+    for (_, keys, masks), low, high in zip(rows, ends[:-1], ends[1:]):
+        if len(keys) and high > low:
+            order = np.argsort(keys, kind="stable")
+            keys, masks = keys[order], masks[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, masks = keys[starts], np.bitwise_or.reduceat(masks, starts)
+            spot = np.minimum(np.searchsorted(keys, key[low:high]), len(keys) - 1)
+            mask[low:high] = np.where(keys[spot] == key[low:high], masks[spot], 0)
+    hit = np.flatnonzero(mask)
+    anchor, a = np.nonzero(mask[hit, None] >> np.arange(REACH + 1) & 1)
+    starts = np.zeros(len(texts.data) + LENGTH, np.int32)
+    starts[at[hit[anchor]] - a + LENGTH] = 1
+    before = np.cumsum(starts, dtype=np.int32)  # strings that start at a byte or before it, behind LENGTH zeros
+    gone = before[LENGTH:] > before[:-LENGTH]
+    for begin, end in zip(texts.begin, texts.end):
+        yield gone[begin:end]
 
 
 def _digest(raw: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, str]:
@@ -412,7 +469,7 @@ def _slot() -> F.Column:
     return F.pmod(F.xxhash64("doc"), F.lit(WORDS * 64)).alias("slot")
 
 
-def masks(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
+def masks(docs: DataFrame, slice_bytes: int = 1 << 21) -> DataFrame:
     """(doc, keys, masks): per document the segments that hold repeated strings, and which; ``docs`` as :func:`keyed`."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -425,6 +482,7 @@ def masks(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
     asked = docs.mapInArrow(_send_anchors(ranges, slice_bytes), "part long, hashes binary, numbers binary, docs binary")
     answered = deal(asked, "part").mapInArrow(_shared_anchors(ranges), "part long, docs binary, hashes binary")
     flags = checkpoint(deal(answered, "part").mapInArrow(_regroup, "doc long, hashes binary"))
+    release(spark)
     bits = bit_table(flags)
     shared = flags.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
     likely = docs.select("doc", "text", _slot()).mapInArrow(_only(bits), "doc long, packed binary")
@@ -445,10 +503,11 @@ def _only(bits: np.ndarray):
     return run
 
 
-def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
+def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 21) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     rows = keyed(docs)
     found = checkpoint(masks(rows, slice_bytes))
+    release(docs.sparkSession)
     bits = bit_table(found)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -466,14 +525,17 @@ def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 19) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            facts = []
+            facts, open_rows = [], []
             for row in batch.to_pylist():
                 if row["packed"] is None:
                     facts.append((row["doc"], row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]))
                     continue
-                raw = np.frombuffer(_loose(row["packed"]), np.uint8)
-                keys, marks = (np.frombuffer(row[c] or b"", t) for c, t in (("keys", np.uint64), ("masks", np.int64)))
-                facts.append((row["doc"], *_digest(raw, removed(raw, keys, marks, powers))))
+                open_rows.append(row)
+            unpacked = ((r["doc"], np.frombuffer(_loose(r["packed"]), np.uint8), np.frombuffer(r["keys"] or b"", np.uint64),
+                         np.frombuffer(r["masks"] or b"", np.int64)) for r in open_rows)
+            for some in _together(unpacked, lambda r: len(r[1])):
+                for (doc, raw, _, _), gone in zip(some, removed([r[1:] for r in some], powers)):
+                    facts.append((doc, *_digest(raw, gone)))
             yield _record(facts, ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [LONG, LONG, LONG, LONG, pa.string()])
 
     split = rows.select("doc", "text", _slot()).mapInArrow(whole, "doc long, packed binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
