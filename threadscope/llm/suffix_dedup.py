@@ -482,9 +482,10 @@ def masks(docs: DataFrame, slice_bytes: int = 1 << 21) -> DataFrame:
     asked = docs.mapInArrow(_send_anchors(ranges, slice_bytes), "part long, hashes binary, numbers binary, docs binary")
     answered = deal(asked, "part").mapInArrow(_shared_anchors(ranges), "part long, docs binary, hashes binary")
     flags = checkpoint(deal(answered, "part").mapInArrow(_regroup, "doc long, hashes binary"))
-    release(spark)
     bits = bit_table(flags)
     shared = flags.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
+    del asked, answered
+    release(spark)  # what the session ran last is held until it has run something else
     likely = docs.select("doc", "text", _slot()).mapInArrow(_only(bits), "doc long, packed binary")
     joined = likely.join(flags.hint("shuffle_hash"), "doc")
     ranges = max(4 * n, -(-int(shared) // 50_000))
@@ -507,8 +508,8 @@ def dedup_spans(docs: DataFrame, slice_bytes: int = 1 << 21) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     rows = keyed(docs)
     found = checkpoint(masks(rows, slice_bytes))
-    release(docs.sparkSession)
     bits = bit_table(found)
+    release(docs.sparkSession)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
