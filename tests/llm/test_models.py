@@ -104,6 +104,29 @@ def test_secrets_late_in_a_run_and_short_ones_are_learnt(spark):
     assert secrets.fit(secrets.findings(hard_docs(spark, []))) is None
 
 
+def test_network_and_threshold_come_from_all_candidates(spark):
+    """Blocks far smaller than the input: every held-back candidate counts for the threshold, and all others are learnt."""
+    rng = np.random.default_rng(13)
+    texts = ["see " + "".join(rng.choice(list("0123456789abcdef" if i % 2 else "aehilnorst"), 40)) + " here" for i in range(2000)]
+    found = packing.checkpoint(secrets.findings(hard_docs(spark, list(enumerate(texts)))))
+    detector = secrets.fit(found, max_rows=100)
+    every = found.selectExpr("inline(cands)", "doc_id").selectExpr("windows", "label", "pmod(xxhash64(doc_id, start), 4) = 0 as held").collect()
+    p = detector.probabilities([bytes(r["windows"]) for r in every])
+    label, held = np.array([r["label"] for r in every]), np.array([r["held"] for r in every])
+    positive = np.sort(p[held & (label == 1)])[::-1]
+    assert len(positive) > 200 and detector.threshold == positive[int(np.ceil(0.98 * len(positive))) - 1]
+    assert np.mean((p >= detector.threshold) == label) > 0.97
+
+
+def test_calibration_of_counts_and_of_separable_candidates():
+    net = secrets.Network.new(np.random.default_rng(0))
+    z, y, n = np.array([-25.0, -10, -3, 5, 9, 30]), np.array([0, 0, 0, 1, 1, 1.0]), np.array([900, 80, 20, 1, 50, 49])
+    short, long = secrets.calibrate(net, z, y, n=n), secrets.calibrate(net, np.repeat(z, n), np.repeat(y, n))
+    assert np.allclose([short.slope, short.offset, short.threshold], [long.slope, long.offset, long.threshold])
+    p = 1 / (1 + np.exp(-(short.slope * z + short.offset)))
+    assert np.allclose(short.threshold, p[4]) and p[2] < 0.5 < p[3]
+
+
 def test_query_of_secrets(spark):
     texts = dict(rows_of("documents", "doc_id, text"))
     for r in QUERIES["op2_secrets"](spark, SF).collect():
