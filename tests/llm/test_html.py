@@ -95,6 +95,17 @@ def test_copies_and_declared_articles_keep_their_text(spark):
     assert inside == {1: "own 1", 2: "own 2"}
 
 
+def test_pages_that_declare_an_article_are_differenced_too(spark):
+    """Lines of every kind are compared; the element then decides on what differencing would delete."""
+    page = "<nav>menu</nav><p>open</p><article><h1>Title {0}</h1><p>quoted by both</p><p>own {0} a</p><p>own {0} b</p></article><footer>foot {0}</footer>"
+    rows = [(i, f"http://a.b/{i}", page.format(i)) for i in range(3)] + [(9, "http://c.d/", page.format(9))]
+    pages = spark.createDataFrame([(i, u, h, "k", "t", "h", 1) for i, u, h in rows], SCHEMA)
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_main.main_text(pages).collect()}
+    assert got == {i: (f"Title {i}\nquoted by both\nown {i} a\nown {i} b", 0 if i == 9 else 3) for i, _, _ in rows}
+    bare = {r["page_id"]: r["text"] for r in html_main.main_text(pages, protect=False).collect()}
+    assert bare[0] == "Title 0\nown 0 a\nown 0 b" and bare[9] == got[9][0]
+
+
 def test_empty(spark):
     assert extracted(spark, []) == []
 
