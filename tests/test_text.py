@@ -166,3 +166,28 @@ def test_kept_tokens_are_found_by_one_pattern(spark):
     for got, want in rows.select(T._apply(F.col("t"), (T.USER_MENTION, T.GROUP_MENTION)), plain(F.col("t"))).collect():
         assert got == want
     assert [r[0] for r in rows.select(T.squash_punctuation(F.col("t"))).collect()][-1] == "wait. what?! no!"
+
+
+def test_tokens_are_the_same_without_the_cleaned_text(spark):
+    """Leaving out the steps that only the cleaned text needs changes no other column, short texts and lemmas included."""
+    draw = random.Random(11)
+    pieces = [*PIECES, "\xa0", " ", "‍", "…", "–", "’", "«", "ŉ", "²", "ª", "ø", "1️⃣", "👋🏿", "⑴", "\x00", "\x1f", "..", "the", "visa", "__"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 14))) for _ in range(1500)] + [None, "a b c d e f g", "visa the visa", "ab 12 34 5"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for more in ({}, {"lemmas": {"word": "a_much_longer_word", "grinning_face": "x"}}, {"emoji": "remove_wide"}, {"emoji": "keep", "min_length": 0}, {"compat": True}):
+        short = cleaning.preprocess(rows, texts=False, **more)
+        whole = cleaning.preprocess(rows, **more)
+        assert "cleaned_text" not in short.columns and "cleaned_text" in whole.columns
+        assert sorted(map(str, short.collect())) == sorted(map(str, whole.drop("cleaned_text").collect())), more
+
+
+def test_common_characters_are_cleaned_as_by_single_steps(spark):
+    """The one pass over common characters gives what the steps give, also where marks meet after letters have gone."""
+    points = [*range(1, 0x250), *range(0x2000, 0x2070), 0x20E3, 0x231A, 0x1F600]
+    texts = [f"a{chr(c)}b .{chr(c)}. {chr(c)}" for c in points] + ["!ß!", "!&!", "a & b", "x  \t é", "..é..", " é\x85\xa0ø. ", "1️⃣é", "😀é–…"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    steps = T.keep_basic_chars(T.describe_emoji(T.squash_whitespace(T._unmark(t, False))))
+    steps = F.trim(T.to_ascii(T.squash_punctuation(steps)))
+    wrong = [tuple(r) for r in rows.select(t, T.clean_text(t), steps).collect() if r[1] != r[2]]
+    assert not wrong, wrong[:5]

@@ -73,8 +73,8 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid posts with tokens."""
-    return cleaning.drop_invalid(cleaning.preprocess(tagging.assign_stage(posts(spark, sf_dir))))
+    """Valid posts with tokens, without the cleaned texts, which no query over them reads."""
+    return cleaning.drop_invalid(cleaning.preprocess(tagging.assign_stage(posts(spark, sf_dir)), texts=False))
 
 
 _STAGES: dict[tuple[str, str, str], str] = {}

@@ -15,31 +15,44 @@ from threadscope.session import scratch_path
 
 def preprocess(df: DataFrame, column: str = "text", min_length: int = presets.MIN_TEXT_LENGTH,
                stop_words: Sequence[str] | None = None, extra_stop_words: Sequence[str] = presets.DOMAIN_STOP_WORDS,
-               lemmas: Mapping[str, str] | None = None, emoji: str = "describe", compat: bool = False) -> DataFrame:
+               lemmas: Mapping[str, str] | None = None, emoji: str = "describe", compat: bool = False, texts: bool = True) -> DataFrame:
     """Add ``cleaned_text, tokens, processed_text, word_count, is_valid``.
 
-    A text shorter than ``min_length`` after cleaning becomes an empty, invalid record. Tokens stay an array.
+    A text shorter than ``min_length`` after cleaning becomes an empty, invalid record. Tokens stay an array. ``texts=False``
+    leaves ``cleaned_text`` out and spares the steps that tokens do not depend on; the other columns are the same.
     """
     stop = list(presets.ENGLISH_STOP_WORDS if stop_words is None else stop_words) + list(extra_stop_words)
     empty = F.array().cast("array<string>")
 
-    def record(clean: Column) -> Column:
+    def words_of(clean: Column) -> Column:
         # Punctuation marks are tokens of one character, which the length filter would drop anyway. Without lemmas, which may
         # shorten a token, that filter is part of the pattern.
         if lemmas:
-            words = T.filter_tokens(T.lemmatize(T.remove_stopwords(T.tokenize_words(clean), stop), lemmas))
-        else:
-            words = T.remove_stopwords(T.tokenize_kept(clean), stop)
+            return T.filter_tokens(T.lemmatize(T.remove_stopwords(T.tokenize_words(clean), stop), lemmas))
+        return T.remove_stopwords(T.tokenize_kept(clean), stop)
+
+    def record(clean: Column) -> Column:
         long_enough = F.length(clean) >= min_length
         return F.struct(
             F.when(long_enough, clean).otherwise("").alias("cleaned_text"),
-            F.when(long_enough, words).otherwise(empty).alias("tokens"),
+            F.when(long_enough, words_of(clean)).otherwise(empty).alias("tokens"),
         )
 
+    def tokens_alone(raw: Column) -> Column:
+        # A kept token has two characters at least, so most texts are known to be long enough; the others go along. Lemmas may
+        # be longer than what they stand for.
+        loose = T.clean_text(raw, emoji, compat, runs=False)
+        unsure = lambda words: F.lit(True) if lemmas else F.size(words) * 2 < min_length
+        return T.let(words_of(loose), lambda words: F.struct(words.alias("tokens"), F.when(unsure(words), F.coalesce(raw, F.lit(""))).alias("_unsure")))
+
     # The generator keeps a later filter on the tokens above it; pushed below, it would clean every text twice.
-    source = T.clean_text(F.col(column), emoji, compat)
+    source, build = (T.clean_text(F.col(column), emoji, compat), record) if texts else (F.col(column), tokens_alone)
     keep = [c for c in df.columns if c not in ("cleaned_text", "tokens")]
-    return df.select(*keep, F.inline(F.transform(F.array(source), record))).withColumns({
+    rows = df.select(*keep, F.inline(F.transform(F.array(source), build)))
+    if not texts:
+        measured = F.length(T.clean_text(F.col("_unsure"), emoji, compat)) >= min_length
+        rows = rows.withColumn("tokens", F.when(F.col("_unsure").isNull() | measured, F.col("tokens")).otherwise(empty)).drop("_unsure")
+    return rows.withColumns({
         "processed_text": F.array_join("tokens", " "),
         "word_count": F.size("tokens"),
         "is_valid": F.size("tokens") > 0,
