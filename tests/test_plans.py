@@ -131,3 +131,25 @@ def test_terms_are_counted_inside_the_row(spark):
     weights = words.tfidf(docs, words.vocabulary(totals, docs, 5, 1, 1.0))
     plan = weights._jdf.queryExecution().executedPlan().toString().split("Window", 1)[1]
     assert plan.count("hashpartitioning(id") == 1
+
+
+def test_texts_stay_where_they_are_read_however_many_events(spark):
+    """Beyond the size that Spark broadcasts by itself, only times move: no text is shuffled or sorted for the join."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("term_cloud", "seasonal_posts", "ngrams"):
+            text = plan(QUERIES[name](spark, SF))
+            assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_posts_of_fewer_events_than_documents(spark, tmp_path):
+    """Every document then takes the first event, as in the SQL."""
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/events.parquet").filter("event_id < 20").write.parquet(str(tmp_path / "events.parquet"))
+    first = spark.read.parquet(f"{SF}/events.parquet").filter("event_id = 0").first()
+    for stay in (False, True):
+        rows = fixtures.posts(spark, str(tmp_path), texts_stay=stay)
+        assert rows.count() == 200 and {r.author for r in rows.select("author").collect()} == {f"a{first['user_id']}"}

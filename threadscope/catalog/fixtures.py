@@ -46,8 +46,14 @@ def rows_in(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _ROWS[sf_dir, name]
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as posts: phrases with known hits appended, five groups renamed, times spread over 24 months."""
+BROADCAST_TIMES = 4_000_000  # documents; the time of each takes about 40 bytes of a broadcast
+
+
+def posts(spark: SparkSession, sf_dir: str, texts_stay: bool = False) -> DataFrame:
+    """Documents as posts: phrases with known hits appended, five groups renamed, times spread over 24 months.
+
+    ``texts_stay`` sends the times to the texts, up to ``BROADCAST_TIMES`` documents; for queries that take little else from events.
+    """
     docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
     step = rows_in(spark, sf_dir, "events") // rows_in(spark, sf_dir, "documents")
     phrase = F.lit("")
@@ -56,7 +62,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.col("source")
     for source, name in GROUPS.items():
         group = F.when(F.col("source") == source, F.lit(name)).otherwise(group)
-    times = events.select((F.col("event_id")).alias("_event"), "ts", "user_id", "event_type")
+    # Other events match no document, so they need not reach the join.
+    times = events.filter(F.col("event_id") % step == 0 if step else F.col("event_id") == 0)
+    times = times.select((F.col("event_id")).alias("_event"), "ts", "user_id", "event_type")
+    if texts_stay and rows_in(spark, sf_dir, "documents") <= BROADCAST_TIMES:
+        times = F.broadcast(times)
     shift = F.make_dt_interval((F.col("doc_id") % 24 * 30).cast("int"))
     return docs.join(times, F.col("_event") == F.col("doc_id") * step).select(
         F.col("doc_id").alias("id"), F.concat("text", phrase).alias("text"), group.alias("subreddit"),
@@ -74,7 +84,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid posts with tokens, without the cleaned texts, which no query over them reads."""
-    return cleaning.drop_invalid(cleaning.preprocess(tagging.assign_stage(posts(spark, sf_dir)), texts=False))
+    return cleaning.drop_invalid(cleaning.preprocess(tagging.assign_stage(posts(spark, sf_dir, texts_stay=True)), texts=False))
 
 
 _STAGES: dict[tuple[str, str, str], str] = {}
