@@ -95,6 +95,19 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_broadcasts_no_vectors(spark, monkeypatch):
+    """Queries that are repeated for every block go to its task, and no candidate is repeated with them."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "BATCH", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.3, 4 + i % 3))]) for i in range(400)]
+    vectors = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    got = topk.top_k(vectors, vectors.filter("id % 50 = 0"))
+    assert sorted(map(tuple, got.collect())) == top_by_hand(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_bounds_hold_at_every_depth():
     rng = np.random.default_rng(4)
     x, q = rng.integers(-9, 9, (200, 5)), rng.integers(-9, 9, (3, 5)).astype(float)

@@ -7,8 +7,9 @@ most the one just read). A round ends with the k-th best lower bound of each que
 can no longer qualify. When few rows are left, or all lists are read, the final scores of those rows are resolved.
 Bounds of all queries of a batch are sums of products with 0/1 masks of what is read, so they are matrix products.
 
-Query blocks are repeated for every candidate block and joined by its number; a task sees one block of each at a time.
-Each pair gives back at most k rows a query. Scores are integers and exact: above 2^53 Python's integers take over, and a
+Query blocks are repeated for every candidate block and sent to its task, where they follow it; a task holds one block of
+each at a time. No candidate is repeated, and only the numbers of the blocks are broadcast: Spark would judge repeated
+queries by what they were before, and broadcast them. Each pair gives back at most k rows a query. Scores are integers and exact: above 2^53 Python's integers take over, and a
 score beyond 64 bits is an error.
 
 Vectors that are null, hold null or non-finite components, or have no id take no part. Vectors of unlike length are filled
@@ -146,16 +147,22 @@ def top_of_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: in
 
 
 def _search(k: int):
+    """Rows are sorted: a block of candidates, then the queries asked of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lists = None, None
+        block = lists = None
         for batch in batches:
-            for row in batch.to_pylist():
-                width = max(row["width"], row["q_width"])
-                if held != (row["block"], row["piece"], width):
-                    held, lists = (row["block"], row["piece"], width), Lists(*unpack(row["ids"], row["width"], row["x"]), width)
-                q_ids, q = unpack(row["q_ids"], row["q_width"], row["q_x"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if not row["asks"]:
+                    block, lists = row, None
+                    continue
+                width = max(block["width"], row["width"])
+                if lists is None or lists.x.shape[1] != width:
+                    lists = Lists(*unpack(block["ids"], block["width"], block["x"]), width)
+                q_ids, q = unpack(row["ids"], row["width"], row["x"])
                 wide = np.zeros((len(q_ids), width), np.int64)
-                wide[:, :row["q_width"]] = q
+                wide[:, :row["width"]] = q
                 found = top_of_block(lists, q_ids, wide, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], ["query_id", "vec_id", "score"])
 
@@ -167,10 +174,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     queries = queries.groupBy("id").agg(F.min("x").alias("x"))
     n = max(1, -(-vectors.count() // BLOCK))
     blocks = checkpoint(vectors.repartition(n).mapInArrow(_packer(BLOCK), SCHEMA))  # a block's number is its partition's
-    asked = queries.repartition(max(1, -(-queries.count() // BATCH))).mapInArrow(_packer(BATCH), SCHEMA)
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("x").alias("q_x"))
-    pairs = asked.join(blocks, "block").repartition(n, "block", "piece").sortWithinPartitions("block", "piece")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    asked = queries.repartition(max(1, -(-queries.count() // BATCH))).mapInArrow(_packer(BATCH), SCHEMA).drop("block", "piece")
+    asked = asked.crossJoin(F.broadcast(blocks.select("block", "piece")))  # a row for each ``BLOCK`` vectors
+    sent = blocks.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    found = sent.repartition(n, "block", "piece").sortWithinPartitions("block", "piece", "asks", "width").mapInArrow(
+        _search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
