@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadscope.operators import topics
+from threadscope.operators import topics, words
 
 THEMES = (["visa", "fee", "form", "card"], ["cat", "dog", "bird", "fish"], ["rain", "sun", "snow", "wind"])
 
@@ -67,3 +68,36 @@ def test_steps_read_saved_counts(spark, posts):
     plan = vectors._jdf.queryExecution().optimizedPlan().toString()
     assert "tokens" not in plan and "_grams" not in plan and "_tf" in plan
     assert vectors.count() == 301 and len(features.stages[0].vocabulary) == 50
+
+
+def test_posts_are_inferred_from_their_own_terms():
+    """Blocks hold little more than the terms that posts have, whatever the vocabulary, and give what whole rows of it give."""
+    rng = np.random.default_rng(6)
+    rows = [sorted(rng.choice(400, n, replace=False).tolist()) for n in rng.integers(0, 60, 900)] + [list(range(400)), []]
+    counts = [rng.integers(1, 9, len(r)).astype(float).tolist() for r in rows]
+    words = rng.random((3, 400))
+    dense = np.zeros((len(rows), 400))
+    for i, (r, c) in enumerate(zip(rows, counts)):
+        dense[i, r] = c
+    want, cells, seen = topics._infer(dense, words, 0.3), 0, []
+    terms, values = pa.array([[0], *rows], pa.list_(pa.int32()))[1:], pa.array([[1.0], *counts], pa.list_(pa.float64()))[1:]
+    for at, ids, found, weights in topics._blocks(terms, values, words):
+        assert weights.shape == (len(at), 3, ids.shape[1]) and weights.size <= max(topics.CELLS, 3 * ids.shape[1])
+        for got, whole in zip(topics._infer(found, weights, 0.3), want):
+            np.testing.assert_allclose(got, whole[at], rtol=1e-6)
+        cells, seen = cells + ids.size, seen + at.tolist()
+    assert sorted(seen) == list(range(len(rows))) and cells < 0.3 * dense.size
+
+
+def test_terms_are_counted_as_numbers(spark):
+    """The same totals as from n-grams as texts; nulls, empty posts, words with spaces and slices of few tokens included."""
+    rng = random.Random(7)
+    rows = [([rng.choice(["a", "b", "c", "", "d", None]) for _ in range(rng.randrange(12))],) for _ in range(200)] + [(None,), ([],)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    known = ["", "a", "c"]
+    for n in (1, 2, 3):
+        assert sorted(words._totals(df, "tokens", known, n).collect()) == sorted(words.term_totals(df, max_n=n, known=known).collect())
+    assert sorted(words._totals(df, "tokens").collect()) == sorted(words.term_totals(df, max_n=1).dropna().collect())
+    spaced = spark.createDataFrame([(["a b", "c", "a", "b"],)] * 3, "tokens array<string>")
+    got = words.corpus_vocabulary(spaced, 50, 1, 1.0).collect()
+    assert got == words.vocabulary(words.term_totals(spaced), spaced, 50, 1, 1.0).collect()

@@ -116,14 +116,16 @@ def _step_sums(vectors: DataFrame, words: np.ndarray, prior: float) -> tuple[np.
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, bound = np.zeros((k, width)), 0.0
         for batch in batches:
-            for counts in _dense(batch["_terms"], batch["_counts"], width):
-                shares, expected = _infer(counts, words, prior)
-                ratio = counts / (expected @ words + 1e-100)
-                sums += expected.T @ ratio
+            for rows, terms, counts, weights in _blocks(batch["_terms"], batch["_counts"], words):
+                shares, expected = _infer(counts, weights, prior)
+                mixed = np.matmul(expected[:, None, :], weights)[:, 0, :] + 1e-100
+                ratio = counts / mixed
+                for t in range(k):
+                    sums[t] += np.bincount(terms.ravel(), (ratio * expected[:, t, None]).ravel(), width)
                 log_shares = np.log(expected + 1e-300)
-                bound += float((counts * np.log(expected @ words + 1e-100)).sum() + ((prior - shares) * log_shares).sum()
+                bound += float((counts * np.log(mixed)).sum() + ((prior - shares) * log_shares).sum()
                                + _log_gamma(shares).sum() - _log_gamma(shares.sum(1)).sum()
-                               + len(counts) * (math.lgamma(prior * k) - k * math.lgamma(prior)))
+                               + len(rows) * (math.lgamma(prior * k) - k * math.lgamma(prior)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(k), pa.int32()), pa.array([bound] + [0.0] * (k - 1)), pa.array(list(sums), pa.list_(pa.float64()))],
             names=["topic", "bound", "sums"])
@@ -140,50 +142,68 @@ def _step_sums(vectors: DataFrame, words: np.ndarray, prior: float) -> tuple[np.
     return sums, bound
 
 
-CELLS = 2_000_000  # numbers of a block of dense posts: 16 MB
+CELLS = 300_000  # numbers of a block's word weights: 2.4 MB, so that rounds stay in a core's cache
 
 
-def _dense(terms: pa.Array, counts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """Posts as dense rows, some at a time."""
-    step = max(1, CELLS // max(1, width))
-    for lo in range(0, len(terms), step):
-        ids, values = terms[lo:lo + step], counts[lo:lo + step]
-        out = np.zeros((len(ids), width))
-        rows = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
-        out[rows, ids.flatten().to_numpy()] = values.flatten().to_numpy()
-        yield out
+def _blocks(terms: pa.Array, counts: pa.Array, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Posts of like length, some at a time: their rows, the terms they have, the counts, and the terms' weights (posts x topics
+    x terms). Shorter ones are filled up with counts of zero."""
+    by_term = np.ascontiguousarray(words.T)
+    lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    ids, values = np.append(terms.flatten().to_numpy(zero_copy_only=False), 0), np.append(counts.flatten().to_numpy(zero_copy_only=False), 0.0)
+    order = np.argsort(lengths, kind="stable")
+    widths = np.maximum(lengths[order], 1)
+    lo = 0
+    while lo < len(order):
+        few = widths[lo:lo + CELLS]
+        hi = lo + max(1, int(np.searchsorted(few * np.arange(1, len(few) + 1), CELLS // len(words), side="right")))
+        rows, across = order[lo:hi], np.arange(widths[hi - 1])
+        at = np.where(across < lengths[rows][:, None], starts[rows][:, None] + across, len(ids) - 1)
+        yield rows, ids[at], values[at], np.ascontiguousarray(by_term[ids[at]].transpose(0, 2, 1))
+        lo = hi
 
 
 def _infer(counts: np.ndarray, words: np.ndarray, prior: float, rounds: int = 100,
            change: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Topic weights of posts, and exp of their expected log shares; a post is done when its weights hardly change."""
-    shares = np.ones((len(counts), len(words)))
-    expected = np.exp(_expected_log(shares))
-    open_ = np.arange(len(counts))
+    """Topic weights of posts, and exp of their expected log shares; a post is done when its weights hardly change.
+
+    ``words`` are the weights of each post's own terms (posts x topics x terms), or (topics x terms) the same for all.
+    """
+    if words.ndim == 2:
+        words = np.broadcast_to(words, (len(counts), *words.shape))
+    old = np.ones((len(counts), words.shape[1]))
+    now = np.exp(_expected_log(old))
+    shares, expected = old.copy(), now.copy()
+    at, open_ = np.arange(len(counts)), np.ones(len(counts), bool)
     for _ in range(rounds):
-        old, now = shares[open_], expected[open_]
-        new = prior + now * ((counts[open_] / (now @ words + 1e-100)) @ words.T)
-        shares[open_], expected[open_] = new, np.exp(_expected_log(new))
-        open_ = open_[np.abs(new - old).mean(axis=1) >= change]
-        if not len(open_):
+        ratio = counts / (np.matmul(now[:, None, :], words)[:, 0, :] + 1e-100)
+        new = prior + now * np.matmul(words, ratio[:, :, None])[:, :, 0]
+        now = np.exp(_expected_log(new))
+        shares[at[open_]], expected[at[open_]] = new[open_], now[open_]
+        open_ &= np.abs(new - old).mean(axis=1) >= change
+        old, left = new, np.count_nonzero(open_)
+        if not left:
             break
+        if left < 0.8 * len(at):  # posts that are done stay as they are, and go once they are many
+            at, counts, words, old, now = at[open_], counts[open_], words[open_], old[open_], now[open_]
+            open_ = np.ones(left, bool)
     return shares, expected
 
 
 def _expected_log(weights: np.ndarray) -> np.ndarray:
     """Mean logarithms of shares that are Dirichlet with these weights, row by row."""
-    return _digamma(weights) - _digamma(weights.sum(axis=1, keepdims=True))
+    found = _digamma(np.concatenate([weights, weights.sum(axis=1, keepdims=True)], axis=1))
+    return found[:, :-1] - found[:, -1:]
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
-    """Recurrence up to 6, then the asymptotic series."""
-    x, shift = np.array(x, float), np.zeros(np.shape(x))
-    for _ in range(6):
-        low = x < 6
-        shift[low] -= 1 / x[low]
-        x[low] += 1
-    inverse = 1 / (x * x)
-    return shift + np.log(x) - 0.5 / x - inverse * (1 / 12 - inverse * (1 / 120 - inverse * (1 / 252 - inverse / 240)))
+    """The asymptotic series at x + 6, less 1 / x + ... + 1 / (x + 5), whose terms are paired over y = x (x + 5)."""
+    x = np.asarray(x, float)
+    y, z = x * (x + 5), x + 6
+    inverse = 1 / (z * z)
+    before = (2 * x + 5) * ((3 * y + 20) * y + 24) / (y * (y + 4) * (y + 6))
+    return np.log(z) - 0.5 / z - inverse * (1 / 12 - inverse * (1 / 120 - inverse * (1 / 252 - inverse / 240))) - before
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -222,9 +242,10 @@ def topic_shares(df: DataFrame, model: TopicModel | BatchTopicModel, tokens: str
 
     @F.pandas_udf("array<double>")
     def infer(terms: pd.Series, counts: pd.Series) -> pd.Series:
-        parts = [_infer(c, words, prior)[0] for c in _dense(
-            pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float64())), words.shape[1])]
-        return pd.Series([r / r.sum() for part in parts for r in part], dtype=object)
+        out = np.empty((len(terms), len(words)))
+        for at, _, found, weights in _blocks(pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float64())), words):
+            out[at] = _infer(found, weights, prior)[0]
+        return pd.Series([r / r.sum() for r in out], dtype=object)
 
     return rows.select(*keep, infer(*_sparse()).alias("topic_shares"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +85,65 @@ def term_totals(df: DataFrame, tokens: str = "tokens", max_n: int = 2, known: Se
     return df.select(F.inline(F.concat(seen, held))).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
+SLICE = 1 << 21  # tokens that a task counts at a time
+
+
+def _counted(known: Sequence[str] | None, max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Occurrences (cf) and posts (df) of each n-gram of known words, or of each word, in slices of whole posts.
+
+    An n-gram is a number whose digits to the base ``len(known) + 1`` are its words, counted from 1.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            posts = batch.column(0)
+            ends = np.cumsum(posts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(posts):
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + SLICE, side="right")))
+                yield counted(posts.slice(start, stop - start))
+                start = stop
+
+    def counted(posts: pa.Array) -> pa.RecordBatch:
+        tokens = posts.flatten()
+        post = np.repeat(np.arange(len(posts)), posts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        if known is None:
+            coded = tokens.dictionary_encode()
+            found, words, most = coded.indices, coded.dictionary, len(coded.dictionary) + 1
+        else:
+            found, words, most = pa.compute.index_in(tokens, pa.array(known, tokens.type)), None, (len(known) + 1) ** max_n
+        word = found.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1  # 0: another word
+        run, alive, seen = word, word > 0, []
+        for n in range(1, max_n + 1 if known is not None else 2):
+            if n > 1:  # longer by the word n - 1 places on, if it is of the same post
+                size = max(len(word) - n + 1, 0)
+                run = run[:size] * (len(known) + 1) + word[n - 1:]
+                alive = alive[:size] & (word[n - 1:] > 0) & (post[:size] == post[n - 1:])
+            seen.append(post[:len(run)][alive] * most + run[alive])
+        every = np.sort(np.concatenate(seen))
+        fresh = np.ones(len(every), bool)  # the first of an n-gram in a post
+        fresh[1:] = every[1:] != every[:-1]
+        gram, cf = np.unique(every % most, return_counts=True)
+        df = np.unique(every[fresh] % most, return_counts=True)[1]
+        term = words.take(pa.array(gram - 1)).cast(pa.string()) if known is None else pa.array(gram, pa.int64())
+        return pa.RecordBatch.from_arrays([term, pa.array(cf, pa.int64()), pa.array(df, pa.int64())], ["term", "cf", "df"])
+
+    return run
+
+
+def _totals(df: DataFrame, tokens: str, known: Sequence[str] | None = None, max_n: int = 1) -> DataFrame:
+    """:func:`term_totals` of n-grams of ``known``, or of all words, counted as numbers in tasks."""
+    kind = "string" if known is None else "long"
+    parts = df.select(tokens).mapInArrow(_counted(known, max_n), f"term {kind}, cf long, df long")
+    totals = parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    if known is None:
+        return totals
+    spelled, base = F.array(F.lit(None).cast("string"), *map(F.lit, known)), len(known) + 1
+    digits = [F.floor(F.col("term") / F.lit(base**n)) % base if n else F.col("term") % base for n in range(max_n - 1, -1, -1)]
+    words = [F.element_at(spelled, (d + 1).cast("int")) for d in digits]
+    return totals.withColumn("term", F.array_join(F.array(*words), " "))  # without nulls
+
+
 KNOWN_WORDS = 4000  # words that may travel inside an expression
 
 
@@ -95,15 +157,16 @@ def corpus_vocabulary(df: DataFrame, size: int = 1000, min_df: int = 5, max_df:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "word-totals")
-    # Distinct words of a post and all of them are exploded by themselves: generated code, no structs to build.
-    seen = df.select(F.explode(tokens).alias("term"), F.lit(1).cast("long").alias("cf"), F.lit(0).cast("long").alias("df"))
-    held = df.select(F.explode(F.array_distinct(tokens)).alias("term"), F.lit(0).cast("long").alias("cf"), F.lit(1).cast("long").alias("df"))
-    seen.unionAll(held).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).write.parquet(path)
+    _totals(df, tokens).write.parquet(path)
     totals = spark.read.parquet(path)
     least = vocabulary(totals, df, size, min_df, max_df).agg(F.min("cf").alias("least"), F.count(F.lit(1)).alias("n")).first()  # one row
     reached = totals.filter((F.col("df") >= min_df) & (F.col("cf") >= (least["least"] if least["n"] == size else 1)))
     known = [r["term"] for r in reached.select("term").limit(KNOWN_WORDS + 1).collect()]
-    counted = term_totals(df, tokens, max_n, sorted(known) if len(known) <= KNOWN_WORDS else None) if known else totals
+    if not known:
+        return vocabulary(totals, df, size, min_df, max_df)
+    # Digits tell an n-gram as long as no word holds a space; below 2^31 there is room for the posts of a slice.
+    plain = len(known) <= KNOWN_WORDS and (len(known) + 1) ** max_n < 1 << 31 and not any(" " in word for word in known)
+    counted = _totals(df, tokens, sorted(known), max_n) if plain else term_totals(df, tokens, max_n, sorted(known) if len(known) <= KNOWN_WORDS else None)
     return vocabulary(counted, df, size, min_df, max_df)
 
 
