@@ -106,6 +106,23 @@ def test_pages_that_declare_an_article_are_differenced_too(spark):
     assert bare[0] == "Title 0\nown 0 a\nown 0 b" and bare[9] == got[9][0]
 
 
+def test_pages_between_copies_are_differenced(spark, monkeypatch):
+    """Every page of a run of copies loses the menu that the pages before and after the run share with it, across ranges and buckets."""
+    monkeypatch.setattr(html_main, "RANGE", 4)
+    monkeypatch.setattr(html_main, "BUCKET", 8)
+    plain = "<div>menu {}</div><p>a copied text of some length</p><p>and a second line of it</p>"
+    other = "<div>menu {}</div><p>another text {}</p>"
+    rows = []
+    for host, n in (("a", 30), ("b", 3), ("c", 1), ("d", 2)):
+        rows += [(len(rows), f"http://{host}.x/1/0", other.format(host, host))]
+        rows += [(len(rows) + i, f"http://{host}.x/1/{i + 1:02}", plain.format(host)) for i in range(n)]
+    rows += [(len(rows) + i, f"http://e.x/{i}", plain.format("e")) for i in range(5)]  # nothing but copies
+    rows += [(len(rows) + i, f"http://f.x/{i:02}", plain.format("f")) for i in range(9)] + [(len(rows) + 9, "http://f.x/99", other.format("f", "f"))]
+    text = "a copied text of some length\nand a second line of it"
+    want = {i: f"menu e\n{text}" if "e.x" in u else text if "copied" in h else f"another text {u[7]}" for i, u, h in rows}
+    assert {r["page_id"]: r["text"] for r in extracted(spark, rows)} == want
+
+
 def test_empty(spark):
     assert extracted(spark, []) == []
 
