@@ -99,5 +99,9 @@ def test_terms_are_counted_as_numbers(spark):
         assert sorted(words._totals(df, "tokens", known, n).collect()) == sorted(words.term_totals(df, max_n=n, known=known).collect())
     assert sorted(words._totals(df, "tokens").collect()) == sorted(words.term_totals(df, max_n=1).dropna().collect())
     spaced = spark.createDataFrame([(["a b", "c", "a", "b"],)] * 3, "tokens array<string>")
-    got = words.corpus_vocabulary(spaced, 50, 1, 1.0).collect()
+    got = words.corpus_vocabulary(spaced, 50, 1, 1.0, as_numbers=True).collect()
     assert got == words.vocabulary(words.term_totals(spaced), spaced, 50, 1, 1.0).collect()
+    full = df.dropna().select(F.array_compact("tokens").alias("tokens"))
+    for size, n in ((3, 2), (9, 3), (500, 2)):
+        want = words.vocabulary(words.term_totals(full, max_n=n), full, size, 3, 0.9).collect()
+        assert words.corpus_vocabulary(full, size, 3, 0.9, max_n=n, as_numbers=True).collect() == want

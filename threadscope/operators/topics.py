@@ -62,7 +62,7 @@ def _fit_features(rows: DataFrame, tokens: str, max_n: int, vocab_size: int, min
     if min_df < 1 or max_df > 1:
         posts = rows.count()
         min_df, max_df = min_df * posts if min_df < 1 else min_df, max_df / max(1, posts) if max_df > 1 else max_df
-    vocab = corpus_vocabulary(rows, vocab_size, min_df, max_df, tokens, max_n)
+    vocab = corpus_vocabulary(rows, vocab_size, min_df, max_df, tokens, max_n, as_numbers=True)
     terms = [r["term"] for r in vocab.orderBy(F.desc("cf"), "term").collect()]  # at most ``vocab_size``
     if not terms:
         raise ValueError("no term is in as many posts as asked")

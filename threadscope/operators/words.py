@@ -148,16 +148,23 @@ KNOWN_WORDS = 4000  # words that may travel inside an expression
 
 
 def corpus_vocabulary(df: DataFrame, size: int = 1000, min_df: int = 5, max_df: float = 0.7, tokens: str = "tokens",
-                      max_n: int = 2) -> DataFrame:
+                      max_n: int = 2, as_numbers: bool = False) -> DataFrame:
     """:func:`vocabulary` of a corpus, without counting the n-grams that cannot be in it. Reads ``df`` several times.
 
     An n-gram is no more frequent than any of its words. Words are counted first; the ``size``-th of those that qualify has a
     count that every term of the vocabulary reaches, so only n-grams of words that reach it are counted, a small part of all.
-    Where more than ``KNOWN_WORDS`` words do, all n-grams are counted.
+    Where more than ``KNOWN_WORDS`` words do, all n-grams are counted. ``as_numbers`` counts in Arrow batches, for models that run
+    such tasks anyway.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "word-totals")
-    _totals(df, tokens).write.parquet(path)
+    if as_numbers:
+        _totals(df, tokens).write.parquet(path)
+    else:
+        # Distinct words of a post and all of them are exploded by themselves: generated code, no structs to build.
+        seen = df.select(F.explode(tokens).alias("term"), F.lit(1).cast("long").alias("cf"), F.lit(0).cast("long").alias("df"))
+        held = df.select(F.explode(F.array_distinct(tokens)).alias("term"), F.lit(0).cast("long").alias("cf"), F.lit(1).cast("long").alias("df"))
+        seen.unionAll(held).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).write.parquet(path)
     totals = spark.read.parquet(path)
     least = vocabulary(totals, df, size, min_df, max_df).agg(F.min("cf").alias("least"), F.count(F.lit(1)).alias("n")).first()  # one row
     reached = totals.filter((F.col("df") >= min_df) & (F.col("cf") >= (least["least"] if least["n"] == size else 1)))
@@ -165,7 +172,7 @@ def corpus_vocabulary(df: DataFrame, size: int = 1000, min_df: int = 5, max_df:
     if not known:
         return vocabulary(totals, df, size, min_df, max_df)
     # Digits tell an n-gram as long as no word holds a space; below 2^31 there is room for the posts of a slice.
-    plain = len(known) <= KNOWN_WORDS and (len(known) + 1) ** max_n < 1 << 31 and not any(" " in word for word in known)
+    plain = as_numbers and len(known) <= KNOWN_WORDS and (len(known) + 1) ** max_n < 1 << 31 and not any(" " in word for word in known)
     counted = _totals(df, tokens, sorted(known), max_n) if plain else term_totals(df, tokens, max_n, sorted(known) if len(known) <= KNOWN_WORDS else None)
     return vocabulary(counted, df, size, min_df, max_df)
 
